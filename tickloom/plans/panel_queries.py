@@ -47,7 +47,7 @@ cte("panel", ("bars",), """
 
 
 def panel(spark, sf_dir):
-    return P.factor_panel(A.panel_bars(spark, sf_dir))
+    return P.factor_panel(A.bars(spark, sf_dir))
 
 
 # name -> (inventory ids, columns)
@@ -102,7 +102,7 @@ def panel_latest_top20(spark, sf_dir):
          round(lead(close,20) OVER w,6) AS close_lead20 FROM panel WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date)""")
 def window_lag_lead(spark, sf_dir):
     w = by_date()
-    return P.add_base_windows(A.panel_bars(spark, sf_dir)).where("stock_rows >= 120").select(
+    return P.add_base_windows(A.bars(spark, sf_dir)).where("stock_rows >= 120").select(
         "ts_code", day("trade_date"), F.round(F.lag("ma20", 5).over(w), 6).alias("ma20_lag5"),
         F.round(F.lead("close", 1).over(w), 6).alias("close_lead1"),
         F.round(F.lead("close", 20).over(w), 6).alias("close_lead20"))

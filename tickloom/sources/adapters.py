@@ -62,20 +62,13 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.sum("l_extendedprice"), 2).alias("amount"),
         )
     )
-    w = Window.partitionBy("l_suppkey").orderBy("trade_date")
-    return out.select(
-        ts_code_of(F.col("l_suppkey")).alias("ts_code"),
-        "trade_date", "open", "high", "low", "close",
-        F.lag("close").over(w).alias("pre_close"),
-        "vol", "amount",
-        (F.col("vol") / 25.0).alias("turnover_rate"),
-        F.col("l_suppkey").alias("instrument_key"),
+    # the second and last exchange: everything windowed by ts_code reuses it
+    w = Window.partitionBy("ts_code").orderBy("trade_date")
+    keyed = out.select(
+        ts_code_of(F.col("l_suppkey")).alias("ts_code"), "trade_date", "open", "high", "low", "close", "vol", "amount",
+        (F.col("vol") / 25.0).alias("turnover_rate"), F.col("l_suppkey").alias("instrument_key"),
     )
-
-
-def panel_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars laid out once by ts_code; every window partitioned by ts_code reuses this exchange."""
-    return bars(spark, sf_dir).repartition("ts_code")
+    return keyed.withColumn("pre_close", F.lag("close").over(w))
 
 
 def _valuation_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
