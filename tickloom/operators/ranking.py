@@ -59,10 +59,10 @@ def average_rank(df: DataFrame, group: list[str], value: str, out: str, bound: i
     v = F.col(value)
     has = v.isNotNull()
     if bound <= plain_rows:
+        # rows below plus one, and rows not above, from one sorted window
         w = Window.partitionBy(*group, has).orderBy(v)
-        same = Window.partitionBy(*group, v)
         everyone = Window.partitionBy(*group, has)
-        rank = F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0
+        rank = (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2.0
         if pct:
             rank = rank / F.count(F.lit(1)).over(everyone)
         return df.withColumn(out, F.when(has, rank))

@@ -8,7 +8,7 @@ from tickloom.plans.registry import COVERS, ORACLES, QUERIES
 
 FLAGSHIP = "screen_universe"
 
-for _name in ("scan_queries", "panel_queries", "pattern_queries"):
+for _name in ("scan_queries", "panel_queries", "pattern_queries", "validation_queries"):
     importlib.import_module(f"tickloom.plans.{_name}")
 
 __all__ = ["COVERS", "FLAGSHIP", "ORACLES", "QUERIES"]
