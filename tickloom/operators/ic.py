@@ -120,30 +120,24 @@ def panel_ic(panel: DataFrame, features: list[str], returns: dict[int, str], bou
              min_dates: int = 20, plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
     """Mean, deviation and t of daily correlations per feature and horizon over complete rows.
 
-    Up to `plain_rows` instruments every row moves once, by date: ranks are taken
-    column by column in that layout and the unpivot and both aggregations by date
-    stay in the same stage. Larger cross-sections are ranked in long form by ranges.
+    Up to `plain_rows` instruments every row moves once, by date: return ranks, the
+    unpivot of the features, their ranks and the daily aggregation stay in that stage.
+    Larger cross-sections are ranked by value ranges instead.
     """
     ys = list(returns.values())
     cols = [*features, *ys]
     full = panel.select("trade_date", *[F.col(c).cast("double").alias(c) for c in cols]).dropna("any", subset=cols)
+    ranked = full
+    for y in ys:
+        ranked = R.average_rank(ranked, ["trade_date"], y, f"_r_{y}", bound, plain_rows=plain_rows)
+    ry = [f"_r_{y}" for y in ys]
+    item = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))
+    long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
     if bound <= plain_rows:
-        w = Window.partitionBy("trade_date")
-        ranked = full
-        for c in cols:
-            o = w.orderBy(c)
-            ranked = ranked.withColumn(f"_r_{c}", (F.rank().over(o) + F.count(F.lit(1)).over(o)) / 2.0)
-        item = F.explode(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_r_{f}").alias("rx")) for f in features]))
-        ry = [f"_r_{y}" for y in ys]
-        long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
+        # values are complete here; the layout by date already serves this window
+        o = Window.partitionBy("trade_date", "feature").orderBy("x")
+        long = long.withColumn("rx", (F.rank().over(o) + F.count(F.lit(1)).over(o)) / 2.0)
     else:
-        ranked = full
-        for y in ys:
-            ranked = R.average_rank(ranked, ["trade_date"], y, f"_r_{y}", bound, plain_rows=plain_rows)
-        ry = [f"_r_{y}" for y in ys]
-        item = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))
-        long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
         long = R.average_rank(long, ["trade_date", "feature"], "x", "rx", bound, plain_rows=plain_rows)
     daily = long.groupBy("trade_date", "feature").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sx"),

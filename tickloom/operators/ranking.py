@@ -60,11 +60,10 @@ def average_rank(df: DataFrame, group: list[str], value: str, out: str, bound: i
     has = v.isNotNull()
     if bound <= plain_rows:
         # rows below plus one, and rows not above, from one sorted window
-        w = Window.partitionBy(*group, has).orderBy(v)
-        everyone = Window.partitionBy(*group, has)
-        rank = (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2.0
+        w = Window.partitionBy(*group).orderBy(v.asc_nulls_last())
+        rank = (F.rank().over(w) + F.count(v).over(w)) / 2.0
         if pct:
-            rank = rank / F.count(F.lit(1)).over(everyone)
+            rank = rank / F.count(v).over(Window.partitionBy(*group))
         return df.withColumn(out, F.when(has, rank))
     # distinct values with their counts: a hot value is one row here
     counts = df.where(has).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
