@@ -126,7 +126,8 @@ def panel_ic(panel: DataFrame, features: list[str], returns: dict[int, str], bou
     """
     ys = list(returns.values())
     cols = [*features, *ys]
-    full = panel.select("trade_date", *[F.col(c).cast("double").alias(c) for c in cols]).dropna("any", subset=cols)
+    # plain references: renaming each column would multiply the optimizer's constraint set
+    full = panel.select("trade_date", *cols).dropna("any", subset=cols)
     ranked = full
     for y in ys:
         ranked = R.average_rank(ranked, ["trade_date"], y, f"_r_{y}", bound, plain_rows=plain_rows)
