@@ -9,7 +9,8 @@ EPS = 1e-9
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    # least and greatest skip nulls, so a null must be kept on purpose
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def clamp01(c: Column) -> Column:

@@ -224,7 +224,7 @@ def profitability_mature() -> Column:
     c = F.col
     roe = clamp(30 + c("a_roe") * 1.2, 5, 60)
     roe = F.when(F.coalesce(c("d_roe") > 0, F.lit(False)), F.least(F.lit(60.0), roe + 10)).otherwise(roe)
-    gm = F.least(F.lit(40.0), 40 / (1 + F.exp(-(c("a_gross_margin") - 20) / 5)))
+    gm = 40 / (1 + F.exp(-(c("a_gross_margin") - 20) / 5))  # never above 40
     score = F.when(roe.isNotNull() & gm.isNotNull(), roe * 0.7 + gm * 0.3).otherwise(F.coalesce(roe, gm))
     score = _add(score, clamp(c("d_net_income") * 20, -10, 10))
     score = _add(score, clamp(c("a_op_yoy") * 50, -10, 10))

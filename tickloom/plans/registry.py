@@ -11,7 +11,7 @@ from tickloom.plans.oracle_base import with_ctes
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[tuple[str, ...], str]] = {}
 COVERS: dict[str, str] = {}
 
 
@@ -24,7 +24,12 @@ def query(name: str, covers: str, ctes: tuple[str, ...] = (), sql: str | None =
         QUERIES[name] = fn
         COVERS[name] = covers
         if sql is not None:
-            ORACLES[name] = with_ctes(ctes, sql)
+            _SQL[name] = (ctes, sql)
         return fn
 
     return keep
+
+
+def oracle_texts() -> dict[str, str]:
+    """Checking SQL of every query that has one, with its shared table expressions."""
+    return {name: with_ctes(ctes, sql) for name, (ctes, sql) in _SQL.items()}
