@@ -6,6 +6,7 @@ of short arrays; everything after that is column arithmetic without another shuf
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -220,111 +221,138 @@ def _add(score: Column, bonus: Column, lo: float = 0.0, hi: float = 100.0) -> Co
     return F.when(bonus.isNotNull(), clamp(score + bonus, lo, hi)).otherwise(score)
 
 
-def profitability_mature() -> Column:
+# Each scorer is a list of steps. A step sees the column of the step before it, so
+# expressions stay small instead of nesting into one another.
+Step = Callable[[Column], Column]
+
+
+def _cap(x: Column) -> Column:
+    return F.least(F.lit(100.0), x)
+
+
+def _floor0(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), x)
+
+
+def profitability_mature() -> list[Step]:
     c = F.col
-    roe = clamp(30 + c("a_roe") * 1.2, 5, 60)
-    roe = F.when(F.coalesce(c("d_roe") > 0, F.lit(False)), F.least(F.lit(60.0), roe + 10)).otherwise(roe)
+    roe = F.when(c("d_roe") > 0, F.least(F.lit(60.0), clamp(30 + c("a_roe") * 1.2, 5, 60) + 10)).otherwise(clamp(30 + c("a_roe") * 1.2, 5, 60))
     gm = 40 / (1 + F.exp(-(c("a_gross_margin") - 20) / 5))  # never above 40
-    score = F.when(roe.isNotNull() & gm.isNotNull(), roe * 0.7 + gm * 0.3).otherwise(F.coalesce(roe, gm))
-    score = _add(score, clamp(c("d_net_income") * 20, -10, 10))
-    score = _add(score, clamp(c("a_op_yoy") * 50, -10, 10))
-    score = _add(score, clamp(c("d_eps") * 15, -5, 8))
-    return F.when(roe.isNull() & gm.isNull(), 50.0).otherwise(clamp(score, 0, 100))
+    return [
+        lambda s: roe,
+        lambda s: F.when(s.isNotNull() & gm.isNotNull(), s * 0.7 + gm * 0.3).otherwise(F.coalesce(s, gm)),
+        lambda s: _add(s, clamp(c("d_net_income") * 20, -10, 10)),
+        lambda s: _add(s, clamp(c("a_op_yoy") * 50, -10, 10)),
+        lambda s: _add(s, clamp(c("d_eps") * 15, -5, 8)),
+        lambda s: F.when(c("a_roe").isNull() & c("a_gross_margin").isNull(), 50.0).otherwise(clamp(s, 0, 100)),
+    ]
 
 
-def growth_mature() -> Column:
+def growth_mature() -> list[Step]:
     c, g, y = F.col, F.col("cagr"), F.col("a_or_yoy")
     base = F.when((g > 0.03) & (g <= 0.15), 50 + g * 200).when(g > 0.15, 60.0).when(g >= 0, 50 + g * 100).otherwise(50 + g * 150)
     bonus = F.when(y > 15, F.least(F.lit(12.0), (y - 15) * 0.4)).when(y > 5, 0.0).when(y > -5, F.greatest(F.lit(-8.0), y)).otherwise(
         F.greatest(F.lit(-15.0), y * 0.8))
-    score = _add(clamp(base, 10, 90), F.when(y.isNotNull(), bonus))
-    score = _add(score, clamp(c("accel") * 15, -8, 8))
-    score = _add(score, clamp(c("d_operate_profit") * 12, -6, 8))
-    return F.when(g.isNull(), 50.0).otherwise(clamp(score, 0, 100))
+    return [
+        lambda s: clamp(base, 10, 90),
+        lambda s: _add(s, F.when(y.isNotNull(), bonus)),
+        lambda s: _add(s, clamp(c("accel") * 15, -8, 8)),
+        lambda s: _add(s, clamp(c("d_operate_profit") * 12, -6, 8)),
+        lambda s: F.when(g.isNull(), 50.0).otherwise(clamp(s, 0, 100)),
+    ]
 
 
-def health_mature() -> Column:
-    c, d, p = F.col, F.col("a_debt_ratio"), F.col("a_profit_to_debt")
-    debt = F.when(d < 20, 40.0).when(d < 50, 40 - (d - 20) * 0.4).when(d < 70, 28 - (d - 50)).otherwise(F.greatest(F.lit(0.0), 8 - (d - 70) * 0.3))
-    s = F.when(d.isNotNull(), debt * 0.5 + 25.0).otherwise(50.0)
+def health_mature() -> list[Step]:
+    c, d, p, m = F.col, F.col("a_debt_ratio"), F.col("a_profit_to_debt"), F.col("d_money_cap")
+    debt = F.when(d < 20, 40.0).when(d < 50, 40 - (d - 20) * 0.4).when(d < 70, 28 - (d - 50)).otherwise(_floor0(8 - (d - 70) * 0.3))
     z = (c("a_current_ratio") - 2.0) / 0.8
-    s = F.when(z.isNotNull(), s * 0.6 + F.exp(z * z * -0.5) * 30 * 0.4).otherwise(s)
     has_cash = F.size("v_op_cashflow") >= 3
-    s = F.when(has_cash, F.least(F.lit(100.0), s + c("cash_positive") * 20)).otherwise(s)
-    cover = F.when(p > 20, 20.0).when(p > 10, 15 + (p - 10) * 0.5).when(p > 2, p).otherwise(F.greatest(F.lit(0.0), p * 0.5))
-    s = F.when(p.isNotNull(), F.least(F.lit(100.0), s + cover)).otherwise(s)
-    m = c("d_money_cap")
-    s = F.when(m > 0.1, F.least(F.lit(100.0), s + 5)).when(m < -0.15, F.greatest(F.lit(0.0), s - 5)).otherwise(s)
-    return F.when(d.isNull() & z.isNull() & ~has_cash, 50.0).otherwise(clamp(s, 0, 100))
+    cover = F.when(p > 20, 20.0).when(p > 10, 15 + (p - 10) * 0.5).when(p > 2, p).otherwise(_floor0(p * 0.5))
+    return [
+        lambda s: F.when(d.isNotNull(), debt * 0.5 + 25.0).otherwise(50.0),
+        lambda s: F.when(z.isNotNull(), s * 0.6 + F.exp(z * z * -0.5) * 12.0).otherwise(s),
+        lambda s: F.when(has_cash, _cap(s + c("cash_positive") * 20)).otherwise(s),
+        lambda s: F.when(p.isNotNull(), _cap(s + cover)).otherwise(s),
+        lambda s: F.when(m > 0.1, _cap(s + 5)).when(m < -0.15, _floor0(s - 5)).otherwise(s),
+        lambda s: F.when(d.isNull() & z.isNull() & ~has_cash, 50.0).otherwise(clamp(s, 0, 100)),
+    ]
 
 
-def profitability_growth() -> Column:
+def profitability_growth() -> list[Step]:
     c, y = F.col, F.col("a_or_yoy")
-    s = (50 + F.when(c("d_net_income") > 0, F.least(F.lit(15.0), c("d_net_income") * 30)).otherwise(0.0)
-         + F.when(c("d_gross_margin") > 0, F.least(F.lit(10.0), c("d_gross_margin") * 20)).otherwise(0.0)
-         + F.when(y > 20, F.least(F.lit(12.0), (y - 20) * 0.3)).when(y < 0, -F.least(F.lit(10.0), F.abs(y) * 0.2)).otherwise(0.0))
-    return clamp(F.when(c("subflavor") == "pre_revenue", clamp(s, 35, 70)).otherwise(s), 0, 100)
+    base = (50 + F.when(c("d_net_income") > 0, F.least(F.lit(15.0), c("d_net_income") * 30)).otherwise(0.0)
+            + F.when(c("d_gross_margin") > 0, F.least(F.lit(10.0), c("d_gross_margin") * 20)).otherwise(0.0)
+            + F.when(y > 20, F.least(F.lit(12.0), (y - 20) * 0.3)).when(y < 0, -F.least(F.lit(10.0), F.abs(y) * 0.2)).otherwise(0.0))
+    return [lambda s: base, lambda s: clamp(F.when(c("subflavor") == "pre_revenue", clamp(s, 35, 70)).otherwise(s), 0, 100)]
 
 
-def growth_growth() -> Column:
-    c, g, y, sub = F.col, F.col("cagr"), F.col("a_or_yoy"), F.col("subflavor")
-    up = lambda k, cap: 50 + F.least(F.lit(cap), g * k)
+def growth_growth() -> list[Step]:
+    c, g, y, sub, a, o = F.col, F.col("cagr"), F.col("a_or_yoy"), F.col("subflavor"), F.col("accel"), F.col("d_opex")
+    up = lambda k, most: 50 + F.least(F.lit(most), g * k)
     base = F.when(sub == "pre_revenue", F.when(g > 0, up(100, 40.0)).otherwise(50.0)).when(sub == "hypergrowth", up(120, 45.0)).otherwise(up(160, 40.0))
-    s = clamp(base, 20, 95)
-    s = F.when((sub == "hypergrowth") & (y > 30), F.least(F.lit(100.0), s + 10)).when(y > 15, F.least(F.lit(100.0), s + 5)).when(
-        y < -10, F.greatest(F.lit(0.0), s - 10)).otherwise(s)
-    a = c("accel")
-    s = _add(s, F.when(a > 0, clamp(a * 25, -5, 15)).otherwise(F.greatest(F.lit(-10.0), a * 20)))
-    o = c("d_opex")
-    s = F.when((sub == "pre_revenue") & (o > 0.05), F.least(F.lit(100.0), s + 8)).when(
-        (sub == "pre_revenue") & (o < -0.05), F.greatest(F.lit(0.0), s - 8)).otherwise(s)
-    return F.when(g.isNull(), 50.0).otherwise(clamp(s, 0, 100))
-
-
-def health_growth() -> Column:
-    c, d, p, burn = F.col, F.col("a_debt_ratio"), F.col("a_profit_to_debt"), F.col("a_op_cashflow")
+    early = sub == "pre_revenue"
+    return [
+        lambda s: clamp(base, 20, 95),
+        lambda s: F.when((sub == "hypergrowth") & (y > 30), _cap(s + 10)).when(y > 15, _cap(s + 5)).when(y < -10, _floor0(s - 10)).otherwise(s),
+        lambda s: _add(s, F.when(a > 0, clamp(a * 25, -5, 15)).when(a <= 0, F.greatest(F.lit(-10.0), a * 20))),
+        lambda s: F.when(early & (o > 0.05), _cap(s + 8)).when(early & (o < -0.05), _floor0(s - 8)).otherwise(s),
+        lambda s: F.when(g.isNull(), 50.0).otherwise(clamp(s, 0, 100)),
+    ]
+
+
+def health_growth() -> list[Step]:
+    c, d, p, burn, t = F.col, F.col("a_debt_ratio"), F.col("a_profit_to_debt"), F.col("a_op_cashflow"), F.col("d_op_cashflow")
     burning = F.coalesce((F.size("v_op_cashflow") >= 3) & c("subflavor").isin("pre_revenue", "hypergrowth") & (burn < 0), F.lit(False))
     cash = F.coalesce(c("last_cash"), c("last_assets") * 0.15, F.lit(0.0))
     runway = F.least(F.lit(40.0), cash / F.greatest(F.abs(burn), F.lit(1.0)) / 4 * 10)
     has_runway = burning & (cash > 0)
-    s = F.when(has_runway, runway * 0.5 + 25.0).otherwise(50.0)
-    t = c("d_op_cashflow")
-    s = F.when(burning & (t > 0), F.least(F.lit(100.0), s + 12)).when(burning & (t < -0.1), F.greatest(F.lit(0.0), s - 10)).otherwise(s)
-    debt = F.when(d < 40, 30.0).when(d < 60, 20.0).otherwise(F.greatest(F.lit(0.0), 20 - (d - 60) * 0.5))
-    s = F.when(d.isNotNull(), s * 0.6 + debt * 0.4).otherwise(s)
-    s = F.when(p > 15, F.least(F.lit(100.0), s + 8)).when(p > 5, F.least(F.lit(100.0), s + 3)).when(p < 0, F.greatest(F.lit(0.0), s - 8)).otherwise(s)
-    return F.when(~has_runway & d.isNull(), 50.0).otherwise(clamp(s, 0, 100))
+    debt = F.when(d < 40, 30.0).when(d < 60, 20.0).otherwise(_floor0(20 - (d - 60) * 0.5))
+    return [
+        lambda s: F.when(has_runway, runway * 0.5 + 25.0).otherwise(50.0),
+        lambda s: F.when(burning & (t > 0), _cap(s + 12)).when(burning & (t < -0.1), _floor0(s - 10)).otherwise(s),
+        lambda s: F.when(d.isNotNull(), s * 0.6 + debt * 0.4).otherwise(s),
+        lambda s: F.when(p > 15, _cap(s + 8)).when(p > 5, _cap(s + 3)).when(p < 0, _floor0(s - 8)).otherwise(s),
+        lambda s: F.when(~has_runway & d.isNull(), 50.0).otherwise(clamp(s, 0, 100)),
+    ]
 
 
-def earnings_quality() -> Column:
+def earnings_quality() -> list[Step]:
     c, r, a = F.col, F.col("a_cash_ratio"), F.abs("a_accruals")
     enough = F.size("_gaps") >= 3
     has_r, has_a = enough & r.isNotNull(), enough & a.isNotNull()
     cash = F.when(r > 1, F.least(F.lit(30.0), 15 + (r - 1) * 5)).when(r > 0.5, (r - 0.5) * 30).otherwise(0.0)
-    s = F.when(has_r, cash * 0.5 + 25.0).otherwise(50.0)
     acc = F.when(a < 0.03, 20.0).when(a < 0.06, 12.0).otherwise(5.0) + F.when(c("d_accruals") < 0, 5.0).otherwise(0.0)
-    s = F.when(has_a, F.least(F.lit(100.0), s + acc)).otherwise(s)
     n3 = lambda x: F.size(x) >= 3
-    down = lambda x, k: F.greatest(F.lit(0.0), x - k)
-    rise = lambda x, k: F.least(F.lit(100.0), x + k)
     ar = F.when(n3("v_accounts_receiv"), c("d_accounts_receiv"))
-    s = F.when(ar > 0.2, down(s, 10)).when(ar > 0.1, down(s, 5)).when(ar < -0.05, rise(s, 5)).otherwise(s)
     o = F.when(n3("v_operate_profit") & n3("v_net_income"), c("a_op_ratio"))
-    s = F.when(o < 0.5, down(s, 10)).when(o > 0.8, rise(s, 5)).otherwise(s)
     e = F.when(n3("v_profit_dedt") & n3("v_net_income"), c("a_dedt_ratio"))
-    s = F.when(e < 0.5, down(s, 12)).when(e < 0.7, down(s, 6)).when(e > 0.9, rise(s, 3)).otherwise(s)
-    return F.when(~has_r & ~has_a, 50.0).otherwise(clamp(s, 0, 100))
+    return [
+        lambda s: F.when(has_r, cash * 0.5 + 25.0).otherwise(50.0),
+        lambda s: F.when(has_a, _cap(s + acc)).otherwise(s),
+        lambda s: F.when(ar > 0.2, _floor0(s - 10)).when(ar > 0.1, _floor0(s - 5)).when(ar < -0.05, _cap(s + 5)).otherwise(s),
+        lambda s: F.when(o < 0.5, _floor0(s - 10)).when(o > 0.8, _cap(s + 5)).otherwise(s),
+        lambda s: F.when(e < 0.5, _floor0(s - 12)).when(e < 0.7, _floor0(s - 6)).when(e > 0.9, _cap(s + 3)).otherwise(s),
+        lambda s: F.when(~has_r & ~has_a, 50.0).otherwise(clamp(s, 0, 100)),
+    ]
+
+
+def run_scorers(df: DataFrame, scorers: dict[str, list[Step]]) -> DataFrame:
+    """Runs all scorers side by side, one projection per step."""
+    for i in range(max(map(len, scorers.values()))):
+        df = df.withColumns({n: st[i](F.col(n) if i else F.lit(None).cast("double")) for n, st in scorers.items() if i < len(st)})
+    return df
 
 
 def quality_scores(s: DataFrame) -> DataFrame:
     """Four rounded dimensions, weighted by stage, and the label."""
     c = F.col
     grow = c("stage") == "growth"
-    d = s.select(
-        "*", F.round(F.when(grow, profitability_growth()).otherwise(profitability_mature()), 1).alias("profitability"),
-        F.round(F.when(grow, growth_growth()).otherwise(growth_mature()), 1).alias("growth_quality"),
-        F.round(F.when(grow, health_growth()).otherwise(health_mature()), 1).alias("financial_health"),
-        F.round(earnings_quality(), 1).alias("earnings_quality"))
+    d = run_scorers(s, {"_pm": profitability_mature(), "_gm": growth_mature(), "_hm": health_mature(), "_pg": profitability_growth(),
+                        "_gg": growth_growth(), "_hg": health_growth(), "_eq": earnings_quality()})
+    d = d.select(
+        "*", *[F.round(F.when(grow, c(g)).otherwise(c(m)), 1).alias(n) for n, g, m in (
+            ("profitability", "_pg", "_pm"), ("growth_quality", "_gg", "_gm"), ("financial_health", "_hg", "_hm"))],
+        F.round("_eq", 1).alias("earnings_quality")).drop("_pm", "_gm", "_hm", "_pg", "_gg", "_hg", "_eq")
     dims = ["profitability", "growth_quality", "financial_health", "earnings_quality"]
     total = sum((c(n) * w for n, w in zip(dims, STAGE_WEIGHTS["other"])), F.lit(0.0))
     for st in ("growth", "mature", "cyclical", "declining"):
