@@ -244,3 +244,28 @@ def financial(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ar").alias("accounts_receiv"), F.col("cost").alias("oper_cost"),
         k.alias("instrument_key"),
     )
+
+
+# Fixed values of the adapter: frequent words of the invented prose stand for the vocabulary
+# of announcements; "{name}" becomes the instrument's name.
+HIT_WORDS = [("that", "{name}"), ("with", "因涉嫌违规被立案调查"), ("from", "重大诉讼 被告"), ("tion", "计划减持 3.5% "), ("this", "中标 订单"), ("nicht", "专利 突破")]
+HIT_HOSTS = ["cninfo.com.cn", "eastmoney.com", "xueqiu.com", "gov.cn", "news.example.com", "blog.example.net"]
+
+
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hit per document, over its whole text, assigned to an instrument."""
+    n = instrument_count(spark, sf_dir)
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    key = F.pmod(i, F.lit(n).cast("long"))
+    basic = stock_basic(spark, sf_dir).select("instrument_key", "ts_code", "symbol", "name", "industry")
+    body = F.col("text")
+    for word, shown in HIT_WORDS:
+        body = F.replace(body, F.lit(word), F.replace(F.lit(shown), F.lit("{name}"), F.col("name")))
+    shift = F.date_sub(F.lit("2024-01-31").cast("date"), (i % 120).cast("int"))
+    host = F.element_at(F.array(*[F.lit(h) for h in HIT_HOSTS]), (i % 6 + 1).cast("int"))
+    j = d.withColumn("instrument_key", key).join(basic, "instrument_key")
+    return j.select(
+        "doc_id", "ts_code", "symbol", "name", "industry", "source", "lang",
+        F.concat(F.lit("https://www."), host, F.lit("/a/"), i.cast("string"), F.when(i % 7 == 0, "?stockCode=600000").otherwise("")).alias("url"),
+        F.when(i % 3 == 0, F.date_format(shift, "yyyyMMdd")).when(i % 3 == 1, F.date_format(shift, "yyyy/MM/dd")).otherwise(F.date_format(shift, "yyyy-MM-dd")).alias("date"),
+        F.split_part(body, F.lit("\n"), F.lit(1)).alias("title"), body.alias("snippet"))
