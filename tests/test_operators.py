@@ -98,6 +98,16 @@ def test_quantiles_follow_qcut(spark):
         assert got[got["signal_date"] == d].set_index("quantile")["n"].to_dict() == want
 
 
+def test_quantiles_and_ic_same_in_both_plans(spark):
+    rng = np.random.default_rng(4)
+    rows = [(dt.date(2026, 1, 1 + d), f"{600000 + i}", None if i % 29 == 0 else float(rng.integers(0, 3)), float(rng.normal())) for d in range(2) for i in range(120)]
+    df = spark.createDataFrame(rows, "signal_date date, ts_code string, f double, ret_1d double")
+    for fn, key in ((lambda p: ic.quantile_returns(df, ["f"], ["ret_1d"], 5, 120, plain_rows=p), ["signal_date", "quantile"]),
+                    (lambda p: ic.ic_by_date(df, ["f"], ["ret_1d"], 120, plain_rows=p), ["signal_date"])):
+        a, b = (fn(p).toPandas().sort_values(key).reset_index(drop=True) for p in (1000, 10))
+        pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
 def test_top_n_ties_by_code(spark):
     df = spark.createDataFrame([("b", 90.0), ("a", 90.0), ("c", 80.0)], "ts_code string, s double").withColumn("d", F.lit(1))
     got = [r["ts_code"] for r in ranking.top_n(df, ["d"], 2, F.desc("s"), F.col("ts_code")).orderBy(F.desc("s"), "ts_code").collect()]

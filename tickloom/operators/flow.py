@@ -39,7 +39,7 @@ def industry_trend(listed: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("before") + F.col("c") <= F.col("half"), F.col("s")).otherwise(0.0)).alias("f0"), F.sum("s").alias("total"))
     split = d.where((F.col("before") < F.col("half")) & (F.col("before") + F.col("c") > F.col("half"))).select(
         "industry", "trade_date", (F.col("half") - F.col("before")).alias("take"))
-    # the event at position `take` of that day, found from coarse to fine: hours, then rows of one hour
+    # the event at position `take` of that day, found from coarse to fine: blocks of 4096 ids, then rows of one block
     day_rows = listed.join(split, ["industry", "trade_date"]).withColumn("b", F.floor(F.col("event_id") / 4096))
     blocks = day_rows.groupBy("industry", "b").agg(F.count(F.lit(1)).alias("bc"), F.sum("net_amount").alias("bs"), F.max("take").alias("take"))
     wb = Window.partitionBy("industry").orderBy("b")

@@ -29,15 +29,14 @@ def ic_by_date(df: DataFrame, factors: list[str], returns: list[str], bound: int
     """Pearson and rank correlation per date over rows where factor and return are present."""
     keys = [*by, "factor", "return_col"]
     p = long_pairs(df, factors, returns, list(by))
-    valid = p.where("x is not null and y is not null")
-    ranked = R.average_rank(valid, keys, "x", "_rx", bound, plain_rows=plain_rows)
+    # a pair with one side missing loses both, so groups without any valid pair still report n = 0
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    p = p.select(*keys, F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
+    ranked = R.average_rank(p, keys, "x", "_rx", bound, plain_rows=plain_rows)
     ranked = R.average_rank(ranked, keys, "y", "_ry", bound, plain_rows=plain_rows)
-    out = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), guarded_corr("x", "y").alias("ic"), guarded_corr("_rx", "_ry").alias("rank_ic"),
+    return ranked.groupBy(*keys).agg(
+        F.count("x").alias("n"), guarded_corr("x", "y").alias("ic"), guarded_corr("_rx", "_ry").alias("rank_ic"),
         F.avg("y").alias("mean_return"))
-    # groups without any valid pair still report n = 0
-    every = p.select(*keys).distinct()
-    return every.join(out, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def summarize_ic(ic: DataFrame) -> DataFrame:
@@ -55,16 +54,24 @@ def quantile_returns(df: DataFrame, factors: list[str], returns: list[str], quan
     """Return statistics per date and factor quantile; equal factor values are ordered by ts_code."""
     keys = ["signal_date", "factor", "return_col"]
     v = long_pairs(df, factors, returns, ["signal_date", "ts_code"]).where("x is not null and y is not null")
+    group = [*keys, "quantile"]
+    basics = [F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_return"), F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("hit_rate")]
+    if bound <= plain_rows:
+        # one layout by date, factor and return serves sizes, order and both aggregations
+        w = Window.partitionBy(*keys)
+        r = v.select("*", F.row_number().over(w.orderBy("x", "ts_code")).alias("_r"), F.dense_rank().over(w.orderBy("x")).alias("_dr"))
+        r = r.select("*", F.count(F.lit(1)).over(w).alias("_n"), F.max("_dr").over(w).alias("_u"))
+        r = r.withColumn("_q", F.least(F.lit(quantiles), "_u", "_n")).where("_q >= 2")
+        return r.withColumn("quantile", _bucket()).groupBy(*group).agg(*basics, F.median("y").alias("median_return"))
     size = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("x").alias("_u"))
     size = size.withColumn("_q", F.least(F.lit(quantiles).cast("long"), "_u", "_n")).where("_q >= 2")
     r = R.row_rank(v, keys, "x", "ts_code", "_r", bound, plain_rows=plain_rows).join(size, keys)
-    bucket = F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * F.col("_q") / (F.col("_n") - 1))).cast("int")
-    b = r.withColumn("quantile", bucket)
-    group = [*keys, "quantile"]
-    stats = b.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_return"),
-                                  F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
-    med = R.percentiles(b, group, "y", {"median_return": 0.5}, bound, plain_rows)
-    return stats.join(med, group)
+    b = r.withColumn("quantile", _bucket())
+    return b.groupBy(*group).agg(*basics).join(R.percentiles(b, group, "y", {"median_return": 0.5}, bound, plain_rows), group)
+
+
+def _bucket() -> Column:
+    return F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * F.col("_q") / (F.col("_n") - 1))).cast("int")
 
 
 def top_n_returns(df: DataFrame, factors: list[str], returns: list[str], n: int) -> DataFrame:
