@@ -67,7 +67,7 @@ def quantile_returns(df: DataFrame, factors: list[str], returns: list[str], quan
     size = size.withColumn("_q", F.least(F.lit(quantiles).cast("long"), "_u", "_n")).where("_q >= 2")
     r = R.row_rank(v, keys, "x", "ts_code", "_r", bound, plain_rows=plain_rows).join(size, keys)
     b = r.withColumn("quantile", _bucket())
-    return b.groupBy(*group).agg(*basics).join(R.percentiles(b, group, "y", {"median_return": 0.5}, bound, plain_rows), group)
+    return b.groupBy(*group).agg(*basics).join(R.percentiles(b.select(*group, "y"), group, "y", {"median_return": 0.5}, bound, plain_rows), group)
 
 
 def _bucket() -> Column:
