@@ -132,7 +132,9 @@ def event_time_bars(spark, sf_dir):
     return R.bars_from_events(event_prices(spark, sf_dir)).withColumn("bar_start", F.date_format("bar_start", "yyyy-MM-dd"))
 
 
-@query("sliding_list_hits", "R-1")
+@query("sliding_list_hits", "R-1", ("top_list",), """
+  SELECT ts_code, strftime(CAST(trade_date - CAST(o AS INTEGER) AS DATE),'%Y-%m-%d') AS window_start, count(*) AS hits, round(sum(value),4) AS value
+  FROM (SELECT t.ts_code, t.trade_date, e.value FROM top_list t JOIN events e USING (event_id)), range(60) r(o) GROUP BY 1, 2""")
 def sliding_list_hits(spark, sf_dir):
     return R.sliding_hits(event_prices(spark, sf_dir)).select(
         "ts_code", F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "hits", F.round("value", 4).alias("value"))
