@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import quality_ledger
+from tickloom.llm import quality_ledger, simhash
 from tickloom.llm.shared import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_ledger.apply_policy(quality_ledger.ledger(docs), "base", "passes_base")
@@ -40,5 +46,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+QUERIES = {"op2_simhash": op2_simhash, "op7_quality_rules": op7_quality_rules}
 SQL = {"op7_quality_rules": OP7_SQL}
