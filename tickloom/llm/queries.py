@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import quality_ledger, simhash
+from tickloom.llm import arc_warc, pii, quality_ledger, simhash
 from tickloom.llm.shared import table
 
 
@@ -46,5 +46,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_quality_rules": op7_quality_rules}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("spans").alias("found"))
+    counts = [F.expr(f"size(filter(found, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    weak = F.filter("found", lambda s: s["score"] < pii.THRESHOLD)
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"),
+                        F.size(weak).cast("long").alias("n_low_score"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = arc_warc.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_warc": op10_warc}
 SQL = {"op7_quality_rules": OP7_SQL}
