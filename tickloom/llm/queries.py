@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arc_warc, pii, quality_ledger, simhash
+from tickloom.llm import arc_warc, pii, quality_ledger, simhash, url_filter
 from tickloom.llm.shared import table
 
 
@@ -46,6 +46,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.labelled_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("spans").alias("found"))
     counts = [F.expr(f"size(filter(found, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
@@ -60,5 +65,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_warc": op10_warc}
+QUERIES = {"op2_simhash": op2_simhash, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
 SQL = {"op7_quality_rules": OP7_SQL}
