@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arc_warc, pii, quality_ledger, simhash, url_filter
+from tickloom.llm import arc_warc, mixing, pii, quality_ledger, simhash, url_filter
 from tickloom.llm.shared import table
 
 
@@ -14,6 +14,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.labelled_domains(table(spark, sf_dir, "labels"))
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, keep_text=False)
+    shares = [F.round(F.get("posterior", k), 6).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return out.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_ledger.apply_policy(quality_ledger.ledger(docs), "base", "passes_base")
@@ -65,5 +72,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
+QUERIES = {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
 SQL = {"op7_quality_rules": OP7_SQL}
