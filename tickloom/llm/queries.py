@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arc_warc, mixing, pii, quality_ledger, simhash, url_filter
+from tickloom.llm import arc_warc, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
 from tickloom.llm.shared import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = sentencepiece_codec.DEFAULT_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.round_trip(docs, sentencepiece_codec.model_bytes(model))
+    return both.select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.xxhash64("decoded").alias("decoded_hash"), "same")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -72,5 +78,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
 SQL = {"op7_quality_rules": OP7_SQL}
