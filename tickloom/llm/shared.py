@@ -30,10 +30,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: it cuts lineage and outlives lost executors."""
+def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: it cuts lineage and outlives lost executors.
+
+    files: at most so many, for tables known to be small beside the number of shuffle partitions."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

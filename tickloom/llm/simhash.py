@@ -31,6 +31,8 @@ from tickloom.llm.shared import discard, saved
 RADIUS, BLOCK, SEED = 3, 16, 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 CHUNK = 1 << 16
+#: Intermediate tables are cut into files by their rows, not by the number of shuffle partitions.
+NODES_IN_FILE, EDGES_IN_FILE = 20_000, 500_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -146,25 +148,26 @@ def edges(spread: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, files: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of the edges (a, b).
 
     Large-star and small-star in turn until nothing changes. A node's smallest neighbour is found with partial
     aggregation and written, so that the join back to a crowded node can be split by adaptive execution."""
-    now, before = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"), None
+    now, before = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", files), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        files = 1 + state[0] // EDGES_IN_FILE
         if state == before:
             return now.selectExpr("a AS node", "b AS root").union(now.selectExpr("b AS node", "b AS root").distinct())
         before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars")
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars", files)
         large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
-        mid = saved(large, "edges")
-        least2 = saved(mid.groupBy("a").agg(F.min("b").alias("m")), "stars")
+        mid = saved(large, "edges", files)
+        least2 = saved(mid.groupBy("a").agg(F.min("b").alias("m")), "stars", files)
         joined = mid.join(least2, "a")
         small = joined.selectExpr("b AS a", "m AS b").union(least2.selectExpr("a", "m AS b")).where("a <> b").distinct()
-        after = saved(small, "edges")
+        after = saved(small, "edges", files)
         for old in (now, least, mid, least2):
             discard(old)
         now = after
@@ -173,11 +176,12 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(key, fp, component): one row per row of docs; component is the smallest key reachable over links."""
     own = saved(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = saved(own.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    roots = saved(components(edges(variants(nodes.select("fp")))), "roots")
+    files = 1 + own.count() // NODES_IN_FILE
+    nodes = saved(own.groupBy("fp").agg(F.min("key").alias("least")), "nodes", files)
+    roots = saved(components(edges(variants(nodes.select("fp"))), files), "roots", files)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = placed.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = saved(placed.join(best, "root").select("fp", "component"), "classes")
+    of_fp = saved(placed.join(best, "root").select("fp", "component"), "classes", files)
     return own.join(of_fp, "fp").select("key", "fp", "component")
 
 
