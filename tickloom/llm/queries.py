@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arc_warc, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
+from tickloom.llm import ann_tree, arc_warc, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
 from tickloom.llm.shared import table
 
 
@@ -20,6 +20,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann_tree.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.labelled_domains(table(spark, sf_dir, "labels"))
     out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, keep_text=False)
@@ -78,5 +83,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
 SQL = {"op7_quality_rules": OP7_SQL}
