@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann_tree, arc_warc, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
+from tickloom.llm import ann_tree, arc_warc, lm_score, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
 from tickloom.llm.shared import table
 
 
@@ -20,6 +20,40 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.scored(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"),
+                      F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"), F.col("seen").alias("n_seen"))
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT k, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
+ranked AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM w GROUP BY word),
+total AS (SELECT count(*) AS n FROM w),
+c1 AS (
+  SELECT id, n FROM ranked WHERE id <= 65535
+  UNION ALL SELECT 0, greatest((SELECT n FROM total) - coalesce(sum(n), 0), 1) FROM ranked WHERE id <= 65535),
+x AS (SELECT k, doc_id, i, CASE WHEN id <= 65535 THEN id ELSE 0 END AS v FROM w JOIN ranked USING (word)),
+own AS (
+  SELECT a.k, a.v AS u, b.v, count(*) AS n FROM x a JOIN x b ON a.k = b.k AND b.i = a.i + 1 GROUP BY a.k, a.v, b.v),
+c2 AS (SELECT u, v, sum(n) AS c FROM own GROUP BY u, v),
+pairs AS (
+  SELECT k, sum(o.n * CASE WHEN c > o.n THEN ln(c - o.n) - ln(cu.n) ELSE ln(0.4) + ln(cv.n) - ln((SELECT n FROM total)) END) AS s,
+         sum(CASE WHEN c > o.n THEN o.n ELSE 0 END) AS seen
+  FROM (SELECT own.k, own.u, own.v, own.n, c2.c FROM own JOIN c2 USING (u, v)) o
+  JOIN (SELECT id, n AS n FROM c1) cu ON cu.id = o.u JOIN c1 cv ON cv.id = o.v GROUP BY k),
+firsts AS (SELECT k, ln(c1.n) - ln((SELECT n FROM total)) AS s FROM x JOIN c1 ON c1.id = x.v WHERE i = 1),
+d AS (
+  SELECT doc_id, sum(len(words))::BIGINT AS n_words, sum(coalesce(firsts.s, 0) + coalesce(pairs.s, 0)) AS s, sum(coalesce(seen, 0))::BIGINT AS n_seen
+  FROM t LEFT JOIN firsts USING (k) LEFT JOIN pairs USING (k) GROUP BY doc_id)
+SELECT doc_id, n_words, CASE WHEN n_words > 0 THEN round(s, 4) END AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 6) END AS mean_log_score, n_seen
+FROM d
+"""
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann_tree.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -83,5 +117,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
-SQL = {"op7_quality_rules": OP7_SQL}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
+SQL = {"op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL}
