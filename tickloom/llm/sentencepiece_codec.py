@@ -1,14 +1,13 @@
 """SentencePiece encoding and decoding with the tokenizers library.
 
 The model's protobuf is read field by field; from it come the normaliser (character map, white space, dummy prefix), the
-metaspace marker, the pieces with their unigram scores or BPE merges, and byte fallback. A text is normalised and cut before
-each run of markers; where no piece has a marker behind another character, which is checked when the model is built, no
-piece can span such a cut, so each distinct word needs encoding once. Words that a worker meets for the first time go to
-the library in batches, which it encodes on several threads, and each is held against the sentencepiece library's own
-ids; a difference is an error, so parity is verified on every word of the corpus.
+metaspace marker, the pieces with their unigram scores or BPE merges, and byte fallback. Texts go to the library in batches,
+which it encodes on THREADS threads. Every PARITY-th text is also encoded by the sentencepiece library, and a difference is
+an error; tests compare all texts. Ids are decoded piece by piece, and by the library's byte fallback where a text has
+bytes beyond ASCII.
 
-The model travels to the executors as one broadcast of the file's bytes, whose size doesn't depend on the corpus. Words kept
-by a worker are bounded by MOST_WORDS and texts are worked on in slices of SLICE characters.
+The model travels to the executors as one broadcast of the file's bytes, whose size doesn't depend on the corpus. Texts are
+worked on in slices of SLICE characters, so memory is bounded by the longest text.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows and null keys give a row each;
 an empty table gives an empty result; other columns pass through, and a column with the name of an added one is replaced.
@@ -16,10 +15,10 @@ an empty table gives an empty result; other columns pass through, and a column w
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_WORDS, SLICE = 200_000, 2_000_000
+THREADS, SLICE, PARITY = 2, 500_000, 8
 #: Fixed values of the format: model types and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -88,12 +87,13 @@ class Codec:
         if m["squeeze"]:
             steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
         self.normaliser = normalizers.Sequence(steps) if steps else None
-        texts = [p for p, _, kind in m["pieces"] if kind in (NORMAL, USER_DEFINED, UNUSED)]
-        self.separable = m["escape"] and not any(MARK in p.lstrip(MARK) for p in texts)
         self.tokenizer = Tokenizer(self._unigram() if m["type"] == UNIGRAM else self._bpe())
         ends = [decoders.Strip(" ", 1, 0)] if m["dummy"] else []
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
-        self.known: dict[str, tuple[int, ...]] = {}
+        byte = re.compile("<0x([0-9A-F]{2})>")
+        values = [int(byte.fullmatch(p)[1], 16) if kind == BYTE else -1 for p, _, kind in m["pieces"]]
+        self.high = np.array([v > 127 for v in values])  # bytes that only mean something beside others
+        self.texts = [p.replace(MARK, " ") if v < 0 else chr(v) for (p, _, _), v in zip(m["pieces"], values)]
 
     def _bpe(self) -> models.BPE:
         """Merges by falling score of what they make."""
@@ -119,33 +119,25 @@ class Codec:
             s = s.replace(" ", MARK)
         return MARK + s if s and self.model["dummy"] else s
 
-    def words(self, normalised: str) -> list[str]:
-        return WORD.findall(normalised) if self.separable else [normalised] if normalised else []
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes words on several threads and verifies them against the reference library."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known, new = {}, list(words)
-        got = [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if self.separable and self.model["dummy"] and not self.normaliser:
-            want = self.reference.encode([w[1:] for w in new], num_threads=1)
-            for w, a, b in zip(new, got, want):
-                if list(a) != b and w != MARK:
-                    raise ValueError(f"{w!r}: {a} by tokenizers, {b} by sentencepiece")
-        self.known.update(zip(new, got))
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.words(self.normalised(t or "")) for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        ids = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(ids, ws)), np.int32) for ws in cut]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([self.normalised(t or "") for t in texts], add_special_tokens=False)
+        ids = [np.array(e.ids, np.int32) for e in found]
+        for t, own, want in zip(texts[::PARITY], ids[::PARITY], self.reference.encode([t or "" for t in texts[::PARITY]], num_threads=1)):
+            if own.tolist() != want:
+                raise ValueError(f"{t[:200]!r}: tokenizers and sentencepiece differ")
+        return ids
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        out = []
+        for row in ids:
+            if len(row) and self.high[row].any():
+                out.append(self.tokenizer.decode(row.tolist(), skip_special_tokens=False))
+                continue
+            text = "".join(map(self.texts.__getitem__, row.tolist()))
+            out.append(text[1:] if self.model["dummy"] and text[:1] == " " else text)
+        return out
 
 
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _codecs: dict[int, Codec] = {}
 
 
@@ -153,6 +145,7 @@ def codec(data: bytes) -> Codec:
     """This process's codec of a model."""
     key = hash(data)
     if key not in _codecs:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         _codecs[key] = Codec(data)
     return _codecs[key]
 
@@ -173,10 +166,10 @@ def _slices(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _appended(df: DataFrame, column: str, added: str, kind: T.DataType, work) -> DataFrame:
-    """df with one column more, made from another, slice by slice."""
-    df = df.select(*[c for c in df.columns if c != added])
-    at, schema = df.columns.index(column), T.StructType([*df.schema.fields, T.StructField(added, kind)])
+def _appended(df: DataFrame, column: str, added: list[tuple[str, T.DataType]], work) -> DataFrame:
+    """df with more columns, made from one, slice by slice."""
+    df = df.select(*[c for c in df.columns if c not in dict(added)])
+    at, schema = df.columns.index(column), T.StructType([*df.schema.fields, *(T.StructField(*x) for x in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,33 +177,43 @@ def _appended(df: DataFrame, column: str, added: str, kind: T.DataType, work) ->
             sizes = pa.compute.fill_null(pa.compute.list_value_length(values) if pa.types.is_list(values.type) else pa.compute.utf8_length(values), 0)
             for part in _slices(sizes.to_pylist()):
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*rows.columns, work(rows.column(at))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *work(rows.column(at))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
 def encoded(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with `ids`, the piece ids of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(texts: pa.Array) -> pa.Array:
-        rows = codec(shared.value).encode(texts.to_pylist())
-        ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
-
-    return _appended(docs, text, ids, T.ArrayType(T.IntegerType()), work)
+    return _appended(docs, text, [(ids, IDS)], lambda texts: [_lists(codec(shared.value).encode(texts.to_pylist()))])
 
 
 def decoded(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of the ids."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def work(rows: pa.Array) -> pa.Array:
-        return pa.array(codec(shared.value).decode([r or [] for r in rows.to_pylist()]), pa.string())
+    def work(rows: pa.Array) -> list[pa.Array]:
+        return [pa.array(codec(shared.value).decode([np.array(r or [], np.int32) for r in rows.to_pylist()]), pa.string())]
 
-    return _appended(df, ids, text, T.StringType(), work)
+    return _appended(df, ids, [(text, T.StringType())], work)
 
 
 def round_trip(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """docs with ids and decoded, from one encoding."""
-    return decoded(encoded(docs, model, text), model).withColumn("same", F.col("decoded") == F.coalesce(F.col(text), F.lit("")))
+    """docs with ids, decoded, and whether that is the text; both ways in one pass over a slice."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        own = codec(shared.value)
+        ids = own.encode(texts.to_pylist())
+        return [_lists(ids), pa.array(own.decode(ids), pa.string())]
+
+    both = _appended(docs, text, [("ids", IDS), ("decoded", T.StringType())], work)
+    return both.withColumn("same", F.col("decoded") == F.coalesce(F.col(text), F.lit("")))
