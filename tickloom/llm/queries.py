@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann_tree, arc_warc, lm_score, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
+from tickloom.llm import ann_tree, arc_warc, license_scan, lm_score, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
 from tickloom.llm.shared import table
 
 
@@ -20,6 +20,31 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(list(license_scan.TEMPLATES.items()), "license string, text string")
+    found = license_scan.scan(table(spark, sf_dir, "documents"), templates)
+    return found.select(F.col("key").alias("doc_id"), "license", F.round("containment", 6).alias("containment"))
+
+
+_NOTICES = ",\n  ".join("({!r}, '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
+OP3_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES
+  {_NOTICES}) x(license, text)),
+tw AS (SELECT license, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM t),
+ts AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+tm AS (SELECT license, count(*) AS m, CASE WHEN count(*) >= 32 THEN 64 ELSE pow(2, ceil(log2(count(*))))::INT END AS s FROM ts GROUP BY license),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT k, doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+hits AS (SELECT k, doc_id, pos, ts.license, ts.sh, m, s FROM ds JOIN ts USING (sh) JOIN tm USING (license)),
+placed AS (
+  SELECT *, pos // s AS win FROM hits
+  UNION ALL SELECT *, pos // s - 1 AS win FROM hits WHERE pos // s > 0 AND pos % s <> s - 1),
+held AS (SELECT k, doc_id, license, win, count(DISTINCT sh) / any_value(m) AS share FROM placed GROUP BY k, doc_id, license, win)
+SELECT doc_id, license, round(max(share), 6) AS containment FROM held WHERE share >= 0.8 GROUP BY doc_id, license
+"""
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_score.scored(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"),
@@ -117,5 +142,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
-SQL = {"op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
+SQL = {"op3_license_scan": OP3_SQL, "op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL}
