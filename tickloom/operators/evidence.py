@@ -75,8 +75,11 @@ def expand_queries(basic: DataFrame) -> DataFrame:
 def chunk_items(df: DataFrame, items: str, budget: int, out: str = "chunk") -> DataFrame:
     """Splits an ordered array of texts into chunks under a token budget, without leaving the row.
 
-    A token is half a character pair; an oversized text fills a chunk of its own.
+    A token is half a character pair; the budget is 50 at least; an oversized text fills a chunk of its own and is cut to
+    twice the budget less 1000 characters, 120 at least. Adds `<out>` (chunk numbers) and replaces the texts by their cuts.
     """
+    budget = max(50, budget)
+    most = max(120, budget * 2 - 1000)
     need = lambda t: F.ceil(F.length(t) / 2).cast("int")
     start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("ids"))
 
@@ -90,7 +93,8 @@ def chunk_items(df: DataFrame, items: str, budget: int, out: str = "chunk") -> D
             F.when(own, 0).otherwise(F.when(full, 0).otherwise(acc["used"]) + n).alias("used"),
             F.concat(acc["ids"], F.array(chunk)).alias("ids"))
 
-    return df.withColumn(out, F.aggregate(items, start, step, lambda a: a["ids"]))
+    df = df.withColumn(out, F.aggregate(items, start, step, lambda a: a["ids"]))
+    return df.withColumn(items, F.transform(items, lambda t: F.when(need(t) > budget, F.substring(t, 1, most)).otherwise(t)))
 
 
 def theme_matches(texts: DataFrame, text_col: str, themes: dict[str, list[str]], keys: list[str], most: int = 2) -> DataFrame:

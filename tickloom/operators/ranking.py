@@ -19,8 +19,9 @@ RANGES = 64
 
 
 def code_order(col: str) -> Column:
-    """A long that orders like the first seven bytes of an ASCII code."""
-    return F.conv(F.hex(F.rpad(F.substring(col, 1, 7), 7, " ")), 16, 10).cast("long")
+    """A long that orders like the first seven bytes of a code in UTF-8."""
+    head = F.substring(F.encode(F.col(col), "UTF-8"), 1, 7)
+    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
 
 
 def _with_range(df: DataFrame, group: list[str], value: str, tie: str | None) -> DataFrame:

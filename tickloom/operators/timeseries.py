@@ -64,6 +64,8 @@ def add_ema(df: DataFrame, span: int, columns: dict[str, str], start: int = 1) -
     """
     a = 2.0 / (span + 1)
     keep = 1.0 - a
+    if keep ** EMA_BLOCK > 1e-12:
+        raise ValueError(f"span {span} reaches past the {EMA_BLOCK} rows that are carried")
     idx = F.col("rn") - start
     block = F.floor(idx / EMA_BLOCK)
     pos = idx - block * EMA_BLOCK

@@ -99,11 +99,21 @@ def evidence_digest(spark, sf_dir):
     return top_n(h, ["ts_code"], 10, F.col("p"), F.desc("d"), F.col("doc_id")).select("ts_code", "doc_id")
 
 
-@query("evidence_chunks", "T-10")
+@query("evidence_chunks", "T-10", (), """
+  WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS items FROM documents WHERE text IS NOT NULL),
+  st AS (
+    SELECT doc_id, items, 1 AS i, 0 AS chunk, 0 AS used, -1 AS own, 0 AS kept FROM d
+    UNION ALL
+    SELECT doc_id, items, i + 1, CASE WHEN need > 120 THEN here + 1 ELSE here END, CASE WHEN need > 120 THEN 0 WHEN is_full THEN need ELSE used + need END,
+           here, kept + CASE WHEN need > 120 THEN least(len(items[i]), 120) ELSE len(items[i]) END
+    FROM (SELECT *, chunk + CASE WHEN is_full THEN 1 ELSE 0 END AS here
+          FROM (SELECT *, used > 0 AND used + need > 120 AS is_full FROM (SELECT *, CAST(ceil(len(items[i]) / 2.0) AS INTEGER) AS need FROM st WHERE i <= len(items)))))
+  SELECT doc_id, len(any_value(items)) AS items, max(own) + 1 AS chunks, max(kept) AS kept_chars FROM st GROUP BY doc_id""")
 def evidence_chunks(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("items"))
     c = V.chunk_items(d, "items", 120)
-    return c.select("doc_id", F.size("items").alias("items"), (F.array_max("chunk") + 1).alias("chunks"))
+    kept = F.aggregate("items", F.lit(0), lambda n, t: n + F.length(t))
+    return c.where("items is not null").select("doc_id", F.size("items").alias("items"), (F.array_max("chunk") + 1).alias("chunks"), kept.alias("kept_chars"))
 
 
 # a fixed list of themes; keyword words of the given prose

@@ -159,7 +159,21 @@ def post_audit_trim(spark, sf_dir):
     return X.trim_after_audit(s, ["run_id"]).select("run_id", "ts_code", "list_type", "final_rank")
 
 
-@query("diversified_picks", "K-5")
+@query("diversified_picks", "K-5", ("snap",), """
+  WITH RECURSIVE ordered AS (
+    SELECT run_id, ts_code, industry, market AS theme, row_number() OVER (PARTITION BY run_id ORDER BY alpha_rank_score DESC, ts_code) AS position
+    FROM snap WHERE alpha_rank_score IS NOT NULL),
+  walk AS (
+    SELECT run_id, CAST(0 AS BIGINT) AS at_row, CAST([] AS VARCHAR[]) AS themes, CAST([] AS VARCHAR[]) AS industries, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT run_id FROM ordered)
+    UNION ALL
+    SELECT run_id, position, CASE WHEN fits THEN list_append(themes, theme) ELSE themes END, CASE WHEN fits THEN list_append(industries, industry) ELSE industries END,
+           CASE WHEN fits THEN list_append(taken, position) ELSE taken END
+    FROM (SELECT w.*, o.position, o.theme, o.industry, len(taken)<10 AND len(list_filter(themes, lambda x: x=o.theme))<4 AND len(list_filter(industries, lambda x: x=o.industry))<4 AS fits
+          FROM walk w JOIN ordered o ON o.run_id=w.run_id AND o.position=w.at_row+1)),
+  last AS (SELECT run_id, arg_max(taken, at_row) AS taken FROM walk GROUP BY run_id),
+  picked AS (SELECT o.*, CASE WHEN list_contains(taken, position) THEN 0 ELSE 1 END AS filled FROM ordered o JOIN last USING (run_id))
+  SELECT run_id, ts_code, theme AS primary_theme, industry, position, CAST(row_number() OVER (PARTITION BY run_id ORDER BY filled, position) AS INTEGER) AS pick_order
+  FROM picked QUALIFY pick_order<=10""")
 def diversified_picks(spark, sf_dir):
     s = snapshots(spark, sf_dir).where("alpha_rank_score is not null")
     w = R.Window.partitionBy("run_id").orderBy(F.desc("alpha_rank_score"), "ts_code")

@@ -177,7 +177,24 @@ def fundamental_summary_text(spark, sf_dir):
     return quality(spark, sf_dir).select("ts_code", "summary")
 
 
-@query("fundamental_bullets", "B-14")
+_LOSING = "(stage='growth' AND NOT coalesce(a_net_income>0,false))"
+_SWAY = "CASE WHEN {0}>{1} THEN '{2}' WHEN {0}<-{1} THEN '{3}' ELSE '{4}' END"
+_BULLETS = ", ".join([
+    "CASE WHEN cagr IS NOT NULL THEN '营收'||CASE WHEN cagr>0.15 THEN '快速增长' WHEN cagr>0.05 THEN '稳健增长' WHEN cagr>0 THEN '缓慢增长' ELSE '下滑' END||printf('（年化%.1f%%），基于%d个季度数据。',cagr*100,n_revenue) END",
+    f"CASE WHEN d_net_income IS NULL THEN NULL WHEN {_LOSING} THEN CASE WHEN d_net_income>0 THEN '公司尚处投入期，但亏损幅度收窄，经营杠杆逐步显现。' ELSE '公司尚处投入期，盈利路径有待兑现，关注现金消耗节奏。' END "
+    f"ELSE '净利润趋势'||{_SWAY.format('d_net_income', 0.05, '改善', '承压', '平稳')}||'。' END",
+    f"CASE WHEN d_gross_margin IS NOT NULL THEN '毛利率'||{_SWAY.format('d_gross_margin', 0.03, '改善', '承压', '稳定')}||'，反映产品竞争力和成本控制能力。' END",
+    f"CASE WHEN d_op_cashflow IS NOT NULL THEN '经营现金流'||{_SWAY.format('d_op_cashflow', 0.05, '改善', '走弱', '稳定')}||'。' END",
+    "CASE WHEN a_debt_ratio>60 THEN printf('资产负债率偏高（%.0f%%），关注偿债压力。',a_debt_ratio) WHEN a_debt_ratio<30 THEN printf('资产负债率低（%.0f%%），财务结构稳健。',a_debt_ratio) END",
+    "CASE WHEN a_or_yoy IS NOT NULL THEN '营收同比'||CASE WHEN a_or_yoy>20 THEN '高增长' WHEN a_or_yoy>10 THEN '稳健增长' WHEN a_or_yoy>0 THEN '低速增长' ELSE '下滑' END||printf('（近四季均值%.1f%%）。',a_or_yoy) END",
+    "CASE WHEN a_op_yoy>0 THEN printf('营业利润同比增长%.1f%%，主业盈利改善。',a_op_yoy) WHEN a_op_yoy<-10 THEN printf('营业利润同比下滑%.1f%%，关注主业承压。',a_op_yoy) END",
+    "CASE WHEN a_debt_ratio>40 AND a_profit_to_debt<3 THEN printf('利润对债务覆盖不足（利润/负债=%.1f%%），关注偿债能力。',a_profit_to_debt) END",
+    "CASE WHEN stage='growth' AND subflavor='pre_revenue' THEN '企业处于早期成长阶段，评分侧重成长潜力和现金可持续性，不因当前未盈利而直接否定。' END",
+    "CASE WHEN completeness<0.5 THEN printf('财务数据覆盖度有限（%.0f%%），部分指标基于有限样本估计。',completeness*100) END"])
+
+
+@query("fundamental_bullets", "B-14", ("quality",), f"""
+  SELECT ts_code, array_to_string(list_filter([{_BULLETS}], lambda x: x IS NOT NULL)[1:5], '|') AS bullets FROM quality""")
 def fundamental_bullets(spark, sf_dir):
     return quality(spark, sf_dir).select("ts_code", F.array_join("bullets", "|").alias("bullets"))
 

@@ -25,6 +25,8 @@ def with_ctes(names: tuple[str, ...], body: str) -> str:
         return body
     parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"
@@ -43,7 +45,7 @@ cte("bars0", (), """
          arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close,
          round(sum(l_quantity*(1+l_discount)), 2) AS vol, round(sum(l_extendedprice), 2) AS amount
   FROM (SELECT *, round(10 + 0.5*ln(l_extendedprice/l_quantity/2000), 10) AS p,
-               {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_partkey % 8192} AS o
+               {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_partkey} AS o
         FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0)
   GROUP BY ALL""")
 cte("bars", ("bars0",), f"""

@@ -101,7 +101,7 @@ _MONTHS = "SELECT ts_code, CAST(m AS DATE) AS target FROM stock_basic, (SELECT D
     ON t.ts_code=b.ts_code AND t.target >= b.price_date""")
 def asof_backward_price(spark, sf_dir):
     ends = A.table(spark, sf_dir, "lineitem").select(F.last_day(F.col("l_shipdate").cast("date")).alias("target")).distinct()
-    targets = A.stock_basic(spark, sf_dir).select("ts_code").crossJoin(F.broadcast(ends))  # one row per month, calendar-sized
+    targets = A.stock_basic(spark, sf_dir).select("ts_code").crossJoin(ends)  # one row per month: the question is every instrument at every month end
     b = A.bars(spark, sf_dir).withColumn("price_date", F.col("trade_date")).withColumn("price", F.col("close"))
     return asof.last_bar_at_or_before(b, targets, "target", ["price_date", "price"]).select(
         "ts_code", day("target"), day("price_date"), r6("price"))

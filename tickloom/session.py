@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
 
 def build_session(app: str = "tickloom", master: str | None = None, shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -26,12 +22,3 @@ def build_session(app: str = "tickloom", master: str | None = None, shuffle_part
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set (tests)."""
-    path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    if path is None:
-        path = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
-    return path

@@ -41,13 +41,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("d"),
     ).where("l_quantity > 0 and l_extendedprice > 0")
     week = F.trunc("d", "week")
-    # one sortable long per line keeps min_by/max_by in the hash aggregate
-    seq = (
-        F.shiftleft(F.datediff("d", week).cast("long"), 60)
-        .bitwiseOR(F.shiftleft(F.col("l_orderkey"), 17))
-        .bitwiseOR(F.shiftleft(F.col("l_linenumber").cast("long"), 13))
-        .bitwiseOR(F.col("l_partkey") % 8192)
-    )
+    # day, order, line and part side by side in one 38-digit number: whole keys in order, and min_by/max_by stay in the
+    # hash aggregate; keys beyond their digits are an error, not another order
+    digits = F.concat(F.datediff("d", week).cast("string"), F.lpad("l_orderkey", 18, "0"), F.lpad("l_linenumber", 5, "0"), F.lpad("l_partkey", 14, "0"))
+    fits = (F.col("l_orderkey") < 10**18) & (F.col("l_linenumber") < 10**5) & (F.col("l_partkey") < 10**14)
+    seq = F.when(fits, digits.cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a key of lineitem has more digits than the order of lines keeps")))
     price = F.round(10 + 0.5 * F.log(F.col("l_extendedprice") / F.col("l_quantity") / 2000), 10)
     out = (
         line.select("l_suppkey", week.alias("trade_date"), (F.col("l_quantity") * (1 + F.col("l_discount"))).alias("q"),
