@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that make a theme name too vague to act on.
-NOISE_WORDS = ["市场", "行情", "热点", "综合", "其他"]
+# Words that make a theme name too vague to act on, and the wordings of verdicts in the order they are tried.
+NOISE_WORDS = ["股票", "辨识度", "传统经济", "蓝筹", "龙虎榜", "游资", "机构", "复盘", "涨停"]
+VERDICT_WORDS = {"fail": ["fail", "否决"], "warn": ["warn", "存疑", "谨慎"], "pass": ["pass", "通过"]}
 MAX_THEME_NAME = 12
 
 
 def verdict(c: Column) -> Column:
     """pass, warn or fail from free wording; unclear wording is warn."""
     t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.when(t.rlike("fail|reject|不通过|否决"), "fail").when(t.rlike("^pass|^ok|^通过"), "pass").otherwise("warn")
+    found = F.lit("warn")
+    for name, words in reversed(VERDICT_WORDS.items()):
+        found = F.when(t.rlike("|".join(words)), name).otherwise(found)
+    return found
 
 
 def quality_label(score: Column) -> Column:
@@ -36,14 +40,17 @@ def position_card(pos: Column, amplitude: Column, dist: Column) -> Column:
 
 
 def actionable_theme(name: Column) -> Column:
-    return (F.length(name) > 0) & (F.length(name) <= MAX_THEME_NAME) & ~name.rlike("|".join(NOISE_WORDS))
+    own = F.trim(F.coalesce(name, F.lit("")))
+    return (F.length(own) > 0) & (F.length(own) <= MAX_THEME_NAME) & ~own.rlike("|".join(NOISE_WORDS))
 
 
 def normalise_findings(findings: Column, allowed: list[str], fallback: Column) -> Column:
-    """Findings with a description; category, confidence and an allow-listed source filled in, or the fallback list."""
-    ok = F.filter(findings, lambda f: F.length(F.trim(F.coalesce(f["description"], F.lit("")))) > 0)
+    """Findings with a description, their evidence and date; category, confidence and an allow-listed source filled in, or the fallback list."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    ok = F.filter(findings, lambda f: F.length(said(f["description"])) > 0)
     full = F.transform(ok, lambda f: F.struct(
-        F.coalesce(f["category"], F.lit("general")).alias("category"), f["description"].alias("description"),
+        F.when(said(f["category"]) == "", "other").otherwise(said(f["category"])).alias("category"), said(f["description"]).alias("description"),
+        said(f["evidence"]).alias("evidence"), F.when(said(f["date"]) != "", said(f["date"])).alias("date"),
         F.coalesce(f["confidence"], F.lit(0.5)).alias("confidence"),
         F.when(f["source_url"].rlike("|".join(a.replace(".", r"\.") for a in allowed)), f["source_url"]).alias("source_url")))
     return F.when(F.size(full) > 0, full).otherwise(fallback)

@@ -47,12 +47,18 @@ def audit_features(audits: DataFrame, tier) -> DataFrame:
     for v, r in VERDICT_RISK.items():
         risk = F.when(F.col("verdict") == v, r).otherwise(risk)
     per = audits.groupBy("ts_code").agg(F.max(risk).alias("audit_risk_score"), F.sum(F.size("findings")).alias("positive_finding_count"),
-                                        F.avg("business_quality_score").alias("business_quality_score"))
+                                        F.avg(_or("business_quality_score", 50.0)).alias("business_quality_score"))
     cats = audits.select("ts_code", F.explode("catalysts").alias("k")).distinct().groupBy("ts_code").agg(F.count(F.lit(1)).alias("catalyst_diversity"))
     src = audits.select("ts_code", F.explode("sources").alias("u")).groupBy("ts_code").agg(F.avg(tier(F.col("u"))).alias("source_quality_score"))
     return per.join(cats, "ts_code", "left").join(src, "ts_code", "left").na.fill(0.0, ["source_quality_score"]).na.fill(0, ["catalyst_diversity"])
 
 
+def passed_audit(candidates: DataFrame, audits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates whose worst verdict is pass, and the audits of those candidates."""
+    kept = worst_verdict(candidates, audits).where("worst_verdict = 'pass'")
+    return kept, audits.join(kept.select("ts_code").distinct(), "ts_code", "left_semi")
+
+
 def add_alpha(df: DataFrame) -> DataFrame:
     """Quality, setup and audit pillars, penalties and regime terms to a 0-100 score."""
     c = F.col
@@ -116,7 +122,7 @@ def trim_after_audit(ranked: DataFrame, run: list[str], theme_cap: int = 8, tota
     Only the first `total_cap` of each list can survive, so both lists are cut per task before the merge.
     """
     c = F.col
-    d = ranked.withColumn("_theme", c("list_type").isin("theme_driven", "both"))
+    d = ranked.where(c("list_type").isin("theme_driven", "both", "technical")).withColumn("_theme", c("list_type") != "technical")
     order = [F.desc("alpha_rank_score"), F.col("ts_code")]
     d = top_n(d, [*run, "_theme"], total_cap + theme_cap, *order)
     d = d.withColumn("_pos", F.row_number().over(Window.partitionBy(*run, "_theme").orderBy(*order)))

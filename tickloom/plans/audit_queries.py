@@ -42,19 +42,34 @@ cte("aud", ("hits", "veto"), f"""
 
 @query("audit_features", "A-22", ("aud",), """
   SELECT ts_code, max(CASE verdict WHEN 'fail' THEN 0.95 WHEN 'pass' THEN 0.1 ELSE 0.45 END)::DOUBLE AS audit_risk_score, CAST(sum(len(f)) AS BIGINT) AS positive_finding_count,
-    len(list_distinct(flatten(array_agg(f)))) AS catalyst_diversity, round(avg(tier),6) AS source_quality_score, round(avg(bq),6) AS business_quality_score FROM aud GROUP BY 1""")
+    len(list_distinct(flatten(array_agg(f)))) AS catalyst_diversity, round(avg(tier),6) AS source_quality_score, round(avg(coalesce(nullif(bq,0),50)),6) AS business_quality_score FROM aud GROUP BY 1""")
 def audit_features(spark, sf_dir):
     f = U.audit_features(audits(spark, sf_dir), X.source_tier)
     return f.select("ts_code", "audit_risk_score", "positive_finding_count", "catalyst_diversity", *rounded(["source_quality_score", "business_quality_score"]))
 
 
-@query("audit_gate", "P-12", ("aud", "stock_basic"), """
+@query("audit_verdicts", "P-12", ("aud", "stock_basic"), """
   SELECT ts_code, coalesce(['pass','warn','fail'][m+1],'warn') AS worst_verdict FROM stock_basic LEFT JOIN (
     SELECT ts_code, max(CASE verdict WHEN 'fail' THEN 2 WHEN 'pass' THEN 0 ELSE 1 END) AS m FROM aud GROUP BY 1) USING (ts_code)""")
-def audit_gate(spark, sf_dir):
+def audit_verdicts(spark, sf_dir):
     return U.worst_verdict(A.stock_basic(spark, sf_dir).select("ts_code"), audits(spark, sf_dir)).select("ts_code", "worst_verdict")
 
 
+_PASSED = "SELECT ts_code FROM stock_basic WHERE ts_code IN (SELECT ts_code FROM aud GROUP BY 1 HAVING bool_and(verdict='pass'))"
+
+
+@query("audit_gate", "P-12", ("aud", "stock_basic"), f"SELECT ts_code, 'pass' AS worst_verdict FROM ({_PASSED})")
+def audit_gate(spark, sf_dir):
+    kept, _ = U.passed_audit(A.stock_basic(spark, sf_dir).select("ts_code"), audits(spark, sf_dir))
+    return kept.select("ts_code", "worst_verdict")
+
+
+@query("audits_behind_gate", "P-12", ("aud", "stock_basic"), f"SELECT ts_code, doc_id, verdict FROM aud WHERE ts_code IN ({_PASSED})")
+def audits_behind_gate(spark, sf_dir):
+    _, kept = U.passed_audit(A.stock_basic(spark, sf_dir).select("ts_code"), audits(spark, sf_dir))
+    return kept.select("ts_code", "doc_id", "verdict")
+
+
 @query("business_quality_rollup", "A-23", ("aud",), """
   SELECT ts_code, doc_id, quarters, bq AS business_quality_score, CASE WHEN bq>=65 THEN '改善' WHEN bq<40 THEN '承压' ELSE '平稳' END AS label
   FROM aud QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY quarters DESC, bq DESC, doc_id)=1""")
@@ -100,27 +115,45 @@ def position_fields(spark, sf_dir):
                                               P.tag_position(c("ma_trend"), c("close_position")).alias("tagged"))
 
 
-@query("verdict_wording", "F-16", (), """
-  SELECT event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'pass' ELSE 'warn' END AS verdict FROM events""")
+# wordings as they come, each with the verdict that a reader gives it
+_WORDINGS = [("Passed", "pass"), ("did not pass: FAIL", "fail"), ("Warning, pass with care", "warn"), ("存疑，通过", "warn"), ("审核通过", "pass"), ("否决", "fail"), ("谨慎", "warn"), ("unclear", "warn"), ("ok", "warn")]
+
+
+@query("verdict_wording", "F-16", (), f"""
+  SELECT event_id, [{', '.join(f"'{v}'" for _, v in _WORDINGS)}][CAST(event_id%{len(_WORDINGS)} AS INTEGER)+1] AS verdict FROM events""")
 def verdict_wording(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events")
-    words = F.when(F.col("event_type") == "error", " FAILED ").when(F.col("event_type") == "purchase", "Passed").otherwise(F.col("event_type"))
-    return e.select("event_id", P.verdict(words).alias("verdict"))
+    words = F.array(*[F.concat(F.lit(w + " "), F.col("event_type")) for w, _ in _WORDINGS])
+    return A.table(spark, sf_dir, "events").select("event_id", P.verdict(F.get(words, (F.col("event_id") % len(_WORDINGS)).cast("int"))).alias("verdict"))
+
+
+# every word that spoils a name, tried on part names, beside names that are fine but for their length
+_THEME = "substr(p_name,1,6)||['股票','辨识度','传统经济','蓝筹','龙虎榜','游资','机构','复盘','涨停','芯片','', '市场'][CAST(p_partkey%12 AS INTEGER)+1]||CASE WHEN p_partkey%5=0 THEN p_name ELSE '' END"
 
 
-@query("actionable_theme_names", "F-27", (), "SELECT p_partkey, CAST(length(p_name)<=12 AS INTEGER) AS actionable FROM part")
+@query("actionable_theme_names", "F-27", (), f"""
+  SELECT p_partkey, CAST(p_partkey%12>=9 AND length(trim(t)) BETWEEN 1 AND 12 AS INTEGER) AS actionable FROM (SELECT p_partkey, {_THEME} AS t FROM part)""")
 def actionable_theme_names(spark, sf_dir):
-    return A.table(spark, sf_dir, "part").select("p_partkey", P.actionable_theme(F.col("p_name")).cast("int").alias("actionable"))
+    ends = F.array(*map(F.lit, ["股票", "辨识度", "传统经济", "蓝筹", "龙虎榜", "游资", "机构", "复盘", "涨停", "芯片", "", "市场"]))
+    p = F.col("p_partkey")
+    name = F.concat(F.substring("p_name", 1, 6), F.get(ends, (p % 12).cast("int")), F.when(p % 5 == 0, F.col("p_name")).otherwise(""))
+    return A.table(spark, sf_dir, "part").select("p_partkey", P.actionable_theme(name).cast("int").alias("actionable"))
 
 
 @query("finding_normaliser", "F-29", ("aud",), """
-  SELECT doc_id, len(f) AS kept, round(0.5*len(f),2)::DOUBLE AS confidence FROM aud""")
+  SELECT doc_id, len(f) AS kept, round(0.5*len(f),2)::DOUBLE AS confidence, CAST((len(f)+1)//2 AS BIGINT) AS other,
+    array_to_string([k || CASE WHEN (i-1)%3=0 THEN '' ELSE '2024' END FOR k, i IN f], '|') AS told FROM aud""")
 def finding_normaliser(spark, sf_dir):
     a = audits(spark, sf_dir)
-    raw = F.transform("findings", lambda k: F.struct(k.alias("category"), k.alias("description"), F.lit(None).cast("double").alias("confidence"), F.col("sources")[0].alias("source_url")))
-    empty = F.array().cast("array<struct<category:string,description:string,confidence:double,source_url:string>>")
+    raw = F.transform("findings", lambda k, i: F.struct(
+        F.when(i % 2 == 0, F.lit(" ")).otherwise(k).alias("category"), F.concat(F.lit(" "), k).alias("description"), k.alias("evidence"),
+        F.when(i % 3 == 0, F.lit("")).otherwise("2024").alias("date"), F.lit(None).cast("double").alias("confidence"), F.col("sources")[0].alias("source_url")))
+    blank = F.array(F.struct(*[F.lit(None).cast("string").alias(x) for x in ("category", "description", "evidence", "date")], F.lit(None).cast("double").alias("confidence"), F.lit("").alias("source_url")))
+    raw = F.concat(raw, blank)  # a finding without a description goes
+    empty = F.array().cast("array<struct<category:string,description:string,evidence:string,date:string,confidence:double,source_url:string>>")
     n = a.select("doc_id", P.normalise_findings(raw, [d for d, _ in X.SOURCE_TIERS], empty).alias("n"))
-    return n.select("doc_id", F.size("n").cast("long").alias("kept"), F.round(F.aggregate("n", F.lit(0.0), lambda s, x: s + x["confidence"]), 2).alias("confidence"))
+    told = F.array_join(F.transform("n", lambda x: F.concat(x["evidence"], F.coalesce(x["date"], F.lit("")))), "|")
+    return n.select("doc_id", F.size("n").cast("long").alias("kept"), F.round(F.aggregate("n", F.lit(0.0), lambda s, x: s + x["confidence"]), 2).alias("confidence"),
+                    F.size(F.filter("n", lambda x: x["category"] == "other")).cast("long").alias("other"), told.alias("told"))
 
 
 @query("search_payload_hits", "T-1", (), "SELECT page_id, url, url AS title FROM pages")
