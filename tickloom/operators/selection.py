@@ -164,3 +164,51 @@ def diversify(ranked: DataFrame, run: str, rank: str, max_theme: int = 4, max_in
 
     schema = T.StructType([*small.schema.fields, T.StructField("pick_order", T.IntegerType())])
     return small.groupBy(run).applyInPandas(fold, schema)
+
+
+def theme_strength(themes: DataFrame) -> DataFrame:
+    """Themes (theme, status, capital_signal) with `strength`: the status' weight, a little more with capital behind it."""
+    base = F.lit(0.35)
+    for status, weight in STATUS_WEIGHT.items():
+        base = F.when(F.col("status") == status, weight).otherwise(base)
+    return themes.withColumn("strength", F.when(F.col("capital_signal"), F.least(F.lit(1.1), base + 0.05)).otherwise(base))
+
+
+def list_strength(matched: DataFrame, themes: DataFrame) -> DataFrame:
+    """(ts_code, theme_strength_score): the strongest of a name's matched themes; an unknown theme counts 0.5, none 0."""
+    each = matched.select("ts_code", F.explode_outer("matched_themes").alias("theme"))
+    known = each.join(theme_strength(themes).select("theme", "strength"), "theme", "left")
+    own = F.when(F.col("theme").isNull(), 0.0).otherwise(F.coalesce("strength", F.lit(0.5)))
+    return known.groupBy("ts_code").agg(F.max(own).alias("theme_strength_score"))
+
+
+def dual_list(universe: DataFrame, matched: DataFrame, themes: DataFrame, round_: int = 0, theme_cap: int = 30) -> DataFrame:
+    """Theme names by pre-audit score up to their cap, technical names of the round beside them, and `both` where a name is in both pools.
+
+    universe: ts_code, pre_audit, composite_score, consolidation_score. Adds list_type, theme_strength_score and position:
+    theme names first, then technical ones, each by pre-audit score."""
+    strong = list_strength(matched.where(F.size("matched_themes") > 0), themes)
+    theme = universe.join(strong, "ts_code").orderBy(F.desc("pre_audit"), "ts_code").limit(theme_cap)
+    alone = technical_pool(universe, theme, round_).withColumn("theme_strength_score", F.lit(0.0))
+    whole = technical_pool(universe, theme.where("false"), round_).select("ts_code", F.lit(True).alias("_tech"))
+    theme = theme.join(whole, "ts_code", "left").withColumn("list_type", F.when(F.col("_tech"), "both").otherwise("theme_driven")).drop("_tech")
+    w = Window.orderBy(F.col("list_type") == "technical", F.desc("pre_audit"), "ts_code")  # two capped lists
+    return theme.unionByName(alone).withColumn("position", F.row_number().over(w))
+
+
+def audit_confidence(audits: DataFrame, findings: DataFrame) -> DataFrame:
+    """audits with `confidence`: from the mean confidence of their findings, the verdict and the business quality."""
+    mean = findings.groupBy("doc_id", "ts_code").agg(F.avg("confidence").alias("_mean"))
+    c = F.coalesce(0.3 + F.col("_mean") * 0.5, F.lit(0.5))
+    c = F.when(F.col("verdict") == "pass", F.least(F.lit(1.0), c + 0.2)).when(F.col("verdict") == "fail", F.greatest(F.lit(0.0), c - 0.3)).otherwise(c)
+    return audits.join(mean, ["doc_id", "ts_code"], "left").withColumn("confidence", clamp01(c + (F.col("business_quality_score") - 50) / 250)).drop("_mean")
+
+
+def catalysts(findings: DataFrame) -> DataFrame:
+    """Per name and category: mean confidence, first description, and the timeframe that the descriptions tell.
+
+    findings: ts_code, doc_id, category, confidence, description."""
+    said = lambda words: F.max(F.col("description").rlike(words))
+    return findings.groupBy("ts_code", "category").agg(
+        F.avg("confidence").alias("confidence"), F.min_by("description", "doc_id").alias("description"),
+        F.when(said("近期|已"), "near_term").when(said("规划|计划"), "long_term").otherwise("medium_term").alias("timeframe"))

@@ -56,7 +56,7 @@ def hard_veto(spark, sf_dir):
     return V.hard_veto(A.search_hits(spark, sf_dir), AS_OF, 60, 0.03).select("doc_id", "ts_code", "veto")
 
 
-@query("veto_by_instrument", "T-5 T-7", ("veto", "hits"), """
+@query("veto_by_instrument", "", ("veto", "hits"), """
   SELECT ts_code, count(veto) AS veto_hits, CASE WHEN count(veto)>0 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT h.doc_id, h.ts_code, veto FROM hits h LEFT JOIN veto v USING (doc_id)) GROUP BY 1""")
 def veto_by_instrument(spark, sf_dir):
     v = V.hard_veto(A.search_hits(spark, sf_dir), AS_OF, 60, 0.03)
@@ -74,7 +74,7 @@ def positive_findings(spark, sf_dir):
     return V.positive_findings(A.search_hits(spark, sf_dir)).select("doc_id", "ts_code", "category", "confidence")
 
 
-@query("findings_per_instrument", "A-24 A-25 A-26 P-17 T-15", ("find",), """
+@query("findings_per_instrument", "P-17 T-15", ("find",), """
   SELECT ts_code, count(*) AS findings, count(DISTINCT category) AS categories, 5-count(DISTINCT category) AS gaps FROM find GROUP BY 1""")
 def findings_per_instrument(spark, sf_dir):
     f = V.positive_findings(A.search_hits(spark, sf_dir))

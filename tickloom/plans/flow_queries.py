@@ -141,7 +141,7 @@ cte("alpha", ("reg", "scr", "top_list"), f"""
    FROM scr c JOIN reg r ON r.ts_code=c.ts_code LEFT JOIN (SELECT ts_code AS hc, count(*) AS h FROM top_list GROUP BY 1) ON hc=c.ts_code)""")
 
 
-@query("alpha_rank", "F-13 F-14 J-19 J-21 K-4", ("alpha",), "SELECT ts_code, market_regime, round(alpha_rank_score,4) AS alpha_rank_score FROM alpha")
+@query("alpha_rank", "F-13 F-14 J-19", ("alpha",), "SELECT ts_code, market_regime, round(alpha_rank_score,4) AS alpha_rank_score FROM alpha")
 def alpha_rank(spark, sf_dir):
     t = M.latest_timing(A.bars(spark, sf_dir)).select("ts_code", "timing_bos", "timing_score")
     u = screened(spark, sf_dir).join(t, "ts_code").join(W.hit_counts(A.top_list(spark, sf_dir)), "ts_code", "left")
@@ -185,7 +185,7 @@ cte("rounds", ("scr",), " UNION ALL ".join(
     f"SELECT {r} AS round, ts_code, composite_score AS s FROM scr WHERE consolidation_score>={X.RELAXATION[r][2]} QUALIFY row_number() OVER (ORDER BY composite_score DESC, ts_code)<={X.RELAXATION[r][3]}" for r in X.RELAXATION))
 
 
-@query("technical_pool_rounds", "P-8 K-1 K-2 J-5 U-1 U-2 U-3", ("rounds",), "SELECT round, ts_code, round(s,4) AS composite_score FROM rounds")
+@query("technical_pool_rounds", "P-8 K-1", ("rounds",), "SELECT round, ts_code, round(s,4) AS composite_score FROM rounds")
 def technical_pool_rounds(spark, sf_dir):
     u = screened(spark, sf_dir).select("ts_code", "composite_score", "consolidation_score")
     rounds = F.explode(F.array(*[F.struct(F.lit(r).alias("round"), F.lit(float(v[2])).alias("floor"), F.lit(v[3]).alias("cap")) for r, v in X.RELAXATION.items()]))
@@ -196,7 +196,7 @@ def technical_pool_rounds(spark, sf_dir):
     return top.select("round", "ts_code", r6("composite_score", 4))
 
 
-@query("pre_audit_score", "F-11 A-34", ("scr", "top_list"), """
+@query("pre_audit_score", "F-11", ("scr", "top_list"), """
   SELECT ts_code, round(0.35*fundamental_quality_score+0.15*valuation_quality_score+0.35*consolidation_score+0.15*squeeze_readiness-0.05*least(1.0,coalesce(h,0)/5.0),4) AS pre_audit
   FROM scr LEFT JOIN (SELECT ts_code AS hc, count(*) AS h FROM top_list GROUP BY 1) ON hc=ts_code""")
 def pre_audit_score(spark, sf_dir):
