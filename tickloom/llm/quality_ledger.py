@@ -10,6 +10,8 @@ to be dropped, and a column that has the name of a measurement is replaced by it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,14 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
-#: Rule name and the condition under which a document fails it, all in whole numbers. The order fixes the bits.
-RULES: list[tuple[str, str]] = [
-    ("too_few_words", "n_words < 10"),
-    ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols_per_word", "10 * n_symbols > 3 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
-    ("short_words", "10 * word_chars < 25 * n_words"),
-    ("long_words", "word_chars > 15 * n_words"),
+#: Rule name and the condition on the measurements under which a document fails it, in whole numbers. The order fixes the bits.
+RULES: list[tuple[str, Callable[[Column], Column]]] = [
+    ("too_few_words", lambda m: m["n_words"] < 10),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    ("symbols_per_word", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
+    ("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    ("short_words", lambda m: 10 * m["word_chars"] < 25 * m["n_words"]),
+    ("long_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 
@@ -42,39 +44,55 @@ def policy_mask(version: str) -> int:
     return sum(BIT[name] for name in POLICIES[version])
 
 
-def repeated_words(df: DataFrame, words: str) -> DataFrame:
-    """Adds n_repeat_words: words covered by 5-word windows that occur twice or more in the array `words`.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once. Kept inside one expression, so that a filter on the outcome, which Spark moves
+    below projections, doesn't unfold the steps again for each mention."""
+    return F.transform(F.array(value), use)[0]
+
+
+def repeated_words(words: Column) -> Column:
+    """Words covered by 5-word windows that occur twice or more in the array.
 
     Windows are compared by a 64-bit hash within one text. Only texts in which some window repeats are sorted."""
-    w = F.col(words)
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-    df = df.withColumn("_h", F.when(F.size(w) >= WINDOW, hashes))
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("_s")
-    twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("total"))
-    covered = F.aggregate(
-        F.sort_array(F.transform(twice, lambda x: x["i"])), start,
-        lambda a, i: F.struct(i.alias("last"), (a["total"] + F.least(F.lit(WINDOW), i - a["last"])).alias("total")), lambda a: a["total"])
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_h", "_s")
+    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashes = F.when(F.size(words) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])))
+
+    def twice(s: Column) -> Column:
+        return F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+
+    def covered(at: Column) -> Column:
+        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("total"))
+        return F.aggregate(at, start, lambda a, i: F.struct(i.alias("last"), (a["total"] + F.least(F.lit(WINDOW), i - a["last"])).alias("total")), lambda a: a["total"])
+
+    def of(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = _let(ordered, lambda s: covered(F.sort_array(F.transform(twice(s), lambda x: x["i"]))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), found)
+
+    return F.coalesce(_let(hashes, of), F.lit(0).cast("long"))
+
+
+def measured(text: Column) -> Column:
+    """A struct of MEASURES and `failed`, the bits of the rules that the text fails."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def of(w: Column, rows: Column) -> list[Column]:
+        return [F.size(w), F.char_length(F.array_join(w, "")), F.regexp_count(text, F.lit(SYMBOLS)), F.size(rows) - F.size(F.array_distinct(rows)), repeated_words(w), F.size(rows)]
 
+    def named(w: Column, rows: Column) -> Column:
+        return F.struct(*[c.cast("long").alias(name) for name, c in zip(MEASURES, of(w, rows))])
 
-def _length(c: Column) -> Column:
-    return F.char_length(c).cast("long")
+    numbers = _let(F.struct(F.array_remove(F.split(text, SPACE), "").alias("w"), lines.alias("rows")), lambda x: named(x["w"], x["rows"]))
+    return _let(numbers, lambda m: F.struct(*[m[name].alias(name) for name in MEASURES],
+                                            sum((F.when(rule(m), F.lit(BIT[name])).otherwise(0) for name, rule in RULES), F.lit(0)).cast("int").alias("failed")))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and `failed`, the bits of the rules that the document fails."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*MEASURES, "failed"} and c != text])
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumns({"_w": F.array_remove(F.split(t, SPACE), ""), "_lines": lines})
-    df = df.withColumns({
-        "n_words": F.size("_w").cast("long"), "word_chars": _length(F.array_join("_w", "")), "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        "n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
-    df = repeated_words(df, "_w").drop("_w", "_lines")
-    return df.withColumn("failed", sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(0) for name, rule in RULES), F.lit(0)).cast("int"))
+    added = [*MEASURES, "failed"]
+    kept = [c for c in docs.columns if c.lower() not in added or c == text]
+    entries = docs.select(*kept, measured(F.coalesce(F.col(text), F.lit(""))).alias("_entry"))
+    return entries.select(*kept, *[F.col("_entry")[c].alias(c) for c in added])
 
 
 def apply_policy(entries: DataFrame, version: str, verdict: str = "kept") -> DataFrame:
