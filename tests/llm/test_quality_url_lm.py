@@ -66,7 +66,9 @@ def test_url_scores_on_held_out_labels(spark):
 def slow_scores(texts, vocabulary):
     split = [lm_score.split(t) for t in texts]
     n = Counter(w for ws in split for w in ws)
-    top = sorted(n, key=lambda w: (-n[w], w))[:vocabulary]
+    at_least = Counter(n.values())
+    fits = {v for v in at_least if sum(k for u, k in at_least.items() if u >= v) <= vocabulary}
+    top = [w for w in n if n[w] in fits]
     ids = {w: i for i, w in enumerate(top, 1)}
     seqs, total = [[ids.get(w, 0) for w in ws] for ws in split], sum(n.values())
     c1 = Counter(v for s in seqs for v in s)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import saved
+from tickloom.llm.shared import hash_sample, saved
 
 #: Bound of the sample the tree is fitted on; branches of a node; sampled vectors a leaf has; rows of a block; queries beside it.
 SAMPLE, BRANCHES, LEAF, BLOCK, QUERIES = 20_000, 8, 150, 2_000, 2_000
@@ -144,7 +144,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     most2 = own.agg(F.max("norm2")).first()[0]
     if most2 is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
+    sample = hash_sample(own, "id", SAMPLE).select("v").toPandas()
     tree = build_tree(raised(np.stack(sample["v"].to_numpy()).astype(float), most2))
     shared = spark.sparkContext.broadcast(tree)
 
@@ -157,7 +157,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     blocks = {r.leaf: 1 + r["count"] // BLOCK for r in placed.groupBy("leaf").count().collect()}  # one number a leaf, bounded by the sample
     index = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.get(F.from_json(F.lit(str([blocks.get(i, 1) for i in range(tree["leaves"])])), "array<int>"), F.col("leaf"))).cast("int"))
     queries = saved(own.where(is_query(F.col("id"))).select("id", "v").withColumn("row", F.monotonically_increasing_id()), "queries")
-    trial = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toPandas()
+    trial = hash_sample(queries, "id", CALIBRATION).toPandas()
     if not len(trial):
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     visits = _calibrated(placed, trial, tree, most2, k, target)

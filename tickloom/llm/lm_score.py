@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents, computed by joins of n-gram counts.
 
-The model is of order 2 over a closed vocabulary: the VOCABULARY most frequent words, ties by the word, and one unknown word for the
-rest, so that unigram counts have a fixed bound and may be broadcast. Bigram counts cover every document; their table is
+The model is of order 2 over a closed vocabulary: the words more frequent than the least cut that leaves at most VOCABULARY of
+them, and one unknown word for the rest, so that unigram counts have a fixed bound and may be broadcast. Bigram counts cover every document; their table is
 partitioned by the bigram's hash and grows with the corpus. Bigrams are counted per document first, joined to the table,
 and summed per document. A bigram's count is taken without the document's own occurrences, so a document doesn't vouch for itself:
 
@@ -76,7 +76,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     words = saved(word_counts(docs.select("text")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    room, least = vocabulary, 1
+    for r in words.groupBy("n").count().orderBy(F.desc("n")).limit(vocabulary + 1).collect():  # a value has a word at least
+        room -= r["count"]
+        if room < 0:
+            least = r.n + 1
+            break
+    top = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))  # at most `vocabulary` rows
     ids = spark.sparkContext.broadcast({r.word.encode(): k for k, r in enumerate(top, 1)})
     known = np.array([0] + [r.n for r in top], np.float64)
     known[0] = max(total - known.sum(), 1)  # the unknown word

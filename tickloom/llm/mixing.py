@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import SPACE, saved
+from tickloom.llm.shared import SPACE, hash_sample, saved
 
 #: Bound of the labelled sample; columns of the hashed words; steps, step size and pull of the descent.
 MOST_LABELLED, BUCKETS, STEPS, STEP, PULL = 20_000, 1 << 14, 24, 0.5, 0.02
@@ -53,7 +53,7 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
 def posteriors(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id", domains: tuple[str, ...] = DOMAINS) -> DataFrame:
     """docs with _tokens and _posterior, an array in the order of domains."""
     number = F.element_at(F.create_map(*[x for k, d in enumerate(domains) for x in (F.lit(d), F.lit(float(k)))]), F.col("domain"))
-    sample = labelled.where(F.col("domain").isin(*domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    sample = hash_sample(labelled.where(F.col("domain").isin(*domains)), "doc_id", MOST_LABELLED)
     sample = saved(sample.select(F.col("doc_id").alias("_key"), number.alias("_label")), "labelled")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropna("any", subset=["_key"])
     chosen = saved(texts.join(F.broadcast(sample), "_key").dropDuplicates(["_key"]), "sample")

@@ -56,7 +56,7 @@ WITH t AS (
   SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 w AS (SELECT k, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
-ranked AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM w GROUP BY word),
+ranked AS (SELECT word, count(*) AS n, CASE WHEN count(*) OVER (ORDER BY count(*) DESC) <= 65535 THEN row_number() OVER (ORDER BY count(*) DESC, word) ELSE 65536 END AS id FROM w GROUP BY word),
 total AS (SELECT count(*) AS n FROM w),
 c1 AS (
   SELECT id, n FROM ranked WHERE id <= 65535
