@@ -10,8 +10,11 @@ from tickloom.operators import snapshots as S
 
 def sliding_hits(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Listing events per instrument over 60-day windows sliding by a day; late rows fall to the watermark."""
-    return (events.withWatermark("ts", watermark).groupBy(F.window("ts", "60 days", "1 day"), "ts_code")
+    days = (events.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("day"), "ts_code")
             .agg(F.count(F.lit(1)).alias("hits"), F.sum("value").alias("value")))
+    # windows begin at midnight, so a day's rows share all their windows: a day is copied into them, not each event
+    return (days.groupBy(F.window(F.window_time("day"), "60 days", "1 day").alias("window"), "ts_code")
+            .agg(F.sum("hits").alias("hits"), F.sum("value").alias("value")))
 
 
 def bars_from_events(events: DataFrame, width: str = "1 day", watermark: str = "1 day") -> DataFrame:
