@@ -128,25 +128,30 @@ def market_regime(spark, sf_dir):
 
 
 _C01 = lambda x: f"greatest(0,least(1,{x}))"
-cte("alpha", ("reg", "scr", "top_list"), f"""
+cte("afeat", ("aud",), """
+  SELECT ts_code AS ac, max(CASE verdict WHEN 'fail' THEN 0.95 WHEN 'pass' THEN 0.1 ELSE 0.45 END)::DOUBLE AS risk, sum(len(f)) AS pf, len(list_distinct(flatten(array_agg(f)))) AS cd,
+    avg(tier) AS sq, avg(coalesce(nullif(bq,0),50)) AS abq FROM aud GROUP BY 1""")
+cte("alpha", ("reg", "scr", "top_list", "afeat"), f"""
   SELECT *, 100*{_C01('''quality*0.4+setup*0.35+audit*0.25-0.12*crowd-0.08*rough
     +CASE WHEN market_regime='uptrend' THEN pull*0.12 WHEN market_regime='range' AND pos<0.4 THEN pull*0.05 ELSE 0 END
     +CASE WHEN market_regime='range' THEN greatest(0,least(1,1-abs(pos-0.3)/0.4))*0.08*conf ELSE 0 END
     +CASE WHEN market_regime='breakout_zone' THEN -0.08*conf WHEN pos>0.9 THEN -0.05 ELSE 0 END
     +CASE WHEN market_regime='downtrend' THEN -0.06*conf WHEN market_regime='bottom_fishing' THEN -0.03*conf ELSE 0 END''')} AS alpha_rank_score
-  FROM (SELECT c.*, r.market_regime, r.pos, r.regime_confidence AS conf, {_C01('fundamental_quality_score/100')}*0.7+{_C01('valuation_quality_score/100')}*0.3 AS quality,
-     {_C01('consolidation_score/100')}*0.5+{_C01('squeeze_readiness/100')}*0.25+{_C01('c.lps_pullback/5')}*0.25 AS setup, 0.25*0.5 AS audit,
+  FROM (SELECT c.*, r.market_regime, r.pos, r.regime_confidence AS conf, {_C01('coalesce(abq,50)/100')}*0.7+{_C01('valuation_quality_score/100')}*0.3 AS quality,
+     {_C01('consolidation_score/100')}*0.5+{_C01('squeeze_readiness/100')}*0.25+{_C01('c.lps_pullback/5')}*0.25 AS setup, {_C01('coalesce(pf,0)/4')}*0.30+{_C01('coalesce(cd,0)/3')}*0.25+{_C01('coalesce(sq,0)')}*0.20+(1-{_C01('coalesce(risk,0.5)')})*0.25 AS audit,
      {_C01(f"0.65*least(1.0,coalesce(h,0)/5.0)+0.35*{_C01('(c.turnover_mult-3)/2')}")} AS crowd, {_C01('c.atr_pct/0.06+c.range_pct_60d/0.5')}/2 AS rough,
      CASE WHEN (timing_bos OR c.bos_20d) AND c.lps_pullback BETWEEN 0.5 AND 4 THEN {_C01('c.lps_pullback/3')} ELSE 0 END AS pull
-   FROM scr c JOIN reg r ON r.ts_code=c.ts_code LEFT JOIN (SELECT ts_code AS hc, count(*) AS h FROM top_list GROUP BY 1) ON hc=c.ts_code)""")
+   FROM scr c JOIN reg r ON r.ts_code=c.ts_code LEFT JOIN (SELECT ts_code AS hc, count(*) AS h FROM top_list GROUP BY 1) ON hc=c.ts_code LEFT JOIN afeat ON ac=c.ts_code)""")
 
 
 @query("alpha_rank", "F-13 F-14 J-19", ("alpha",), "SELECT ts_code, market_regime, round(alpha_rank_score,4) AS alpha_rank_score FROM alpha")
 def alpha_rank(spark, sf_dir):
     t = M.latest_timing(A.bars(spark, sf_dir)).select("ts_code", "timing_bos", "timing_score")
     u = screened(spark, sf_dir).join(t, "ts_code").join(W.hit_counts(A.top_list(spark, sf_dir)), "ts_code", "left")
-    u = u.withColumns({"business_quality_score": F.col("fundamental_quality_score"), "positive_finding_count": F.lit(0.0), "catalyst_diversity": F.lit(0.0),
-                       "source_quality_score": F.lit(0.0), "audit_risk_score": F.lit(0.5)})
+    from tickloom.functions.text import source_tier
+    from tickloom.plans.audit_queries import audits  # which imports this module
+
+    u = u.join(X.audit_features(audits(spark, sf_dir), source_tier), "ts_code", "left")  # a name without audits gets the neutral values of add_alpha
     return X.add_alpha(X.add_regime(u)).select("ts_code", "market_regime", r6("alpha_rank_score", 4))
 
 
