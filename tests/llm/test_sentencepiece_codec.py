@@ -59,6 +59,24 @@ def test_unigram_scores_and_byte_fallback():
         assert ids == own.reference.encode(text) and own.decode([np.array(ids)]) == [text]
 
 
+@pytest.mark.parametrize("at", range(9))
+def test_every_text_is_verified(monkeypatch, at):
+    own = sc.codec(sc.model_bytes())
+    texts = [f"text number {k}" for k in range(9)]
+
+    class Other:
+        """A reference that differs in one text."""
+
+        def encode(self, rows, num_threads=1):
+            return [[7] if t == texts[at] else sp.encode(t) for t in rows]
+
+    sp = own.reference
+    own.encode(texts)
+    monkeypatch.setattr(own, "reference", Other())
+    with pytest.raises(ValueError, match=texts[at]):
+        own.encode(texts)
+
+
 def test_query_matches_reference(spark, reference):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -2,8 +2,7 @@
 
 The model's protobuf is read field by field; from it come the normaliser (character map, white space, dummy prefix), the
 metaspace marker, the pieces with their unigram scores or BPE merges, and byte fallback. Texts go to the library in batches,
-which it encodes on THREADS threads. Every PARITY-th text is also encoded by the sentencepiece library, and a difference is
-an error; tests compare all texts. Ids are decoded piece by piece, and by the library's byte fallback where a text has
+which it encodes on THREADS threads. Every text is also encoded by the sentencepiece library, and a difference is an error. Ids are decoded piece by piece, and by the library's byte fallback where a text has
 bytes beyond ASCII.
 
 The model travels to the executors as one broadcast of the file's bytes, whose size doesn't depend on the corpus. Texts are
@@ -30,7 +29,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-THREADS, SLICE, PARITY = 2, 500_000, 8
+THREADS, SLICE = 2, 500_000
 #: Fixed values of the format: model types and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -121,11 +120,13 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([self.normalised(t or "") for t in texts], add_special_tokens=False)
-        ids = [np.array(e.ids, np.int32) for e in found]
-        for t, own, want in zip(texts[::PARITY], ids[::PARITY], self.reference.encode([t or "" for t in texts[::PARITY]], num_threads=1)):
-            if own.tolist() != want:
-                raise ValueError(f"{t[:200]!r}: tokenizers and sentencepiece differ")
-        return ids
+        out = []
+        for t, own, want in zip(texts, found, self.reference.encode([t or "" for t in texts], num_threads=1), strict=True):
+            ids = own.ids
+            if ids != want:
+                raise ValueError(f"{(t or '')[:200]!r}: tokenizers and sentencepiece differ")
+            out.append(np.array(ids, np.int32))
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         out = []
