@@ -91,3 +91,15 @@ def test_scores_match_brute_force(spark, vocabulary, heavy):
     for i, want in enumerate(slow_scores(texts, vocabulary)):
         assert got[i] == want if want is None else got[i] == pytest.approx(want, rel=1e-9)
     assert lm_score.scored(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("known", [lm_score.KNOWN, 50, 0])
+def test_all_words_are_counted(spark, known):
+    """70,000 words beyond those of the given texts, a text of unseen words, and first words beyond the known ones."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:40]
+    texts += [" ".join(f"w{i}" for i in range(k, 70_000, 7)) for k in range(7)] + ["w1 w8 w15 w1 w8", "zzz yyy xxx www", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.key: r for r in lm_score.scored(df, known=known, heavy=5_000).collect()} if known != lm_score.KNOWN else {r.key: r for r in lm_score.scored(df).collect()}
+    for i, want in enumerate(slow_scores(texts, 10**9)):
+        assert got[i].log_score == want if want is None else got[i].log_score == pytest.approx(want, rel=1e-9)
+    assert got[len(texts) - 3].seen == 0

@@ -1,8 +1,9 @@
 """Stupid-backoff scores of documents, computed by joins of n-gram counts.
 
-The model is of order 2 over a closed vocabulary: the words more frequent than the least cut that leaves at most VOCABULARY of
-them, and one unknown word for the rest, so that unigram counts have a fixed bound and may be broadcast. Bigram counts cover every document; their table is
-partitioned by the bigram's hash and grows with the corpus. Bigrams are counted per document first, joined to the table,
+The model is of order 2 over all words of the corpus. The words more frequent than the least cut that leaves at most KNOWN of
+them have small numbers, and their counts are broadcast; every other word goes by 61 bits of its hash, and its count is joined by
+that hash. Bigram counts cover every document; their table is partitioned by the bigram's hash and grows with the corpus, as the
+table of words does. Nothing of either is collected but what has a fixed bound. Bigrams are counted per document first, joined to the table,
 and summed per document. A bigram's count is taken without the document's own occurrences, so a document doesn't vouch for itself:
 
     score(v | u) = (c(uv) - own) / c(u) if c(uv) > own, else ALPHA * c(v) / N; the first word has c(v) / N.
@@ -10,6 +11,8 @@ and summed per document. A bigram's count is taken without the document's own oc
 Bigrams that hold at least 1/HEAVY of all counted bigrams are at most HEAVY by arithmetic. Their counts are broadcast and scored
 where the texts are read, so that a frequent bigram never meets in one task.
 
+A vocabulary can be closed on request: then the words beyond it are one unknown word, numbered 0.
+
 Defined cases: texts are split at ASCII white space and A-Z is lower-cased; null and empty texts have no words and a null
 score; rows of one id are scored apart as texts but summed as one document, and so are rows without an id; an empty table
 gives an empty result; other columns are ignored.
@@ -22,12 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import saved
 
-VOCABULARY, HEAVY, ALPHA = 65_535, 20_000, 0.4
+KNOWN, HEAVY, ALPHA = 65_535, 20_000, 0.4
+#: Codes of words beyond the known ones start at WORD, those of bigrams with such a word at PAIR; Spark hashes with SEED.
+WORD, PAIR, SEED = 1 << 61, 1 << 62, 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,69 +54,107 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigrams(text: str | None, ids: dict[bytes, int]) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Words, first word's id, and the text's bigrams, u * 65536 + v, with their counts."""
-    words = split(text)
-    seen = np.fromiter((ids.get(w, 0) for w in words), np.int64, len(words))
-    keys, n = np.unique(seen[:-1] << 16 | seen[1:], return_counts=True)
-    return len(words), int(seen[0]) if words else 0, keys, n
+def _code(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED) & (WORD - 1) | WORD
+
+
+def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A key of each bigram: u * 65536 + v of known words, else 62 bits of a hash."""
+    m = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    m = ((m ^ m >> np.uint64(32)) + v.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    m = (m ^ m >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    m = (m ^ m >> np.uint64(32)) & np.uint64(PAIR - 1) | np.uint64(PAIR)
+    return np.where((u < WORD) & (v < WORD), u << 16 | v, m.astype(np.int64))
 
 
-def bigram_counts(texts: DataFrame, ids) -> DataFrame:
-    """(bigram, c) over all texts, combined per batch before the shuffle."""
+def _bigrams(text: str | None, ids: dict[bytes, int], closed: bool) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, first word's code, and the text's bigrams: keys, counts and both words' codes."""
+    words, get = split(text), ids.get
+    codes = (get(w, 0) for w in words) if closed else (get(w) or _code(w) for w in words)
+    seen = np.fromiter(codes, np.int64, len(words))
+    keys, at, n = np.unique(_pair(seen[:-1], seen[1:]), return_index=True, return_counts=True)
+    return len(words), int(seen[0]) if words else 0, keys, n, seen[:-1][at], seen[1:][at]
+
+
+def bigram_counts(texts: DataFrame, ids, closed: bool) -> DataFrame:
+    """(bigram, c, u, v) over all texts, combined per batch before the shuffle; u and v are null where the key has both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [_bigrams(t.as_py(), ids.value)[2:] for t in batch.column(0)]
+            each = [_bigrams(t.as_py(), ids.value, closed)[2:] for t in batch.column(0)]
             if each:
-                keys, at = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n for _, n in each]), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["bigram", "n"])
+                keys, n, u, v = (np.concatenate(x) for x in zip(*each))
+                keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+                n = np.bincount(at, n, len(keys)).astype(np.int64)
+                whole = keys < PAIR
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(u[first], mask=whole), pa.array(v[first], mask=whole)], names=["bigram", "n", "u", "v"])
+
+    counted = texts.mapInArrow(run, "bigram long, n long, u long, v long").groupBy("bigram")
+    return counted.agg(F.sum("n").alias("c"), F.max("u").alias("u"), F.max("v").alias("v"))
 
-    return texts.mapInArrow(run, "bigram long, n long").groupBy("bigram").agg(F.sum("n").alias("c"))
 
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int | None = None, heavy: int = HEAVY, known: int = KNOWN) -> DataFrame:
+    """(key, n_words, log_score, seen): the sum of log scores over all words, and how many bigrams needed no backoff.
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, heavy: int = HEAVY) -> DataFrame:
-    """(key, n_words, log_score, seen): the sum of log scores over all words, and how many bigrams needed no backoff."""
+    vocabulary: closed at so many words, KNOWN at most; None counts all words. known only tells how many counts are broadcast."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     words = saved(word_counts(docs.select("text")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    room, least = vocabulary, 1
-    for r in words.groupBy("n").count().orderBy(F.desc("n")).limit(vocabulary + 1).collect():  # a value has a word at least
+    closed = vocabulary is not None
+    most = vocabulary if closed else known
+    room, least = most, 1
+    for r in words.groupBy("n").count().orderBy(F.desc("n")).limit(most + 1).collect():  # a value has a word at least
         room -= r["count"]
         if room < 0:
             least = r.n + 1
             break
-    top = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))  # at most `vocabulary` rows
+    top = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))  # at most `most` rows
     ids = spark.sparkContext.broadcast({r.word.encode(): k for k, r in enumerate(top, 1)})
-    known = np.array([0] + [r.n for r in top], np.float64)
-    known[0] = max(total - known.sum(), 1)  # the unknown word
-    of_word = np.log(known)
-    table = saved(bigram_counts(docs.select("text"), ids), "bigrams")
-    pairs = table.agg(F.sum("c")).first()[0] or 0
-    common = table.where(F.col("c") * heavy >= pairs).orderBy("bigram").toPandas()
-    hot = spark.sparkContext.broadcast((common["bigram"].to_numpy(np.int64), common["c"].to_numpy(np.float64), of_word))
+    counts_ = np.array([0] + [r.n for r in top], np.float64)
+    counts_[0] = max(total - counts_.sum(), 1)  # the unknown word
+    of_word = np.log(counts_)
     log_total, log_alpha = float(np.log(max(total, 1))), float(np.log(ALPHA))
+    table = saved(bigram_counts(docs.select("text"), ids, closed), "bigrams")
+    pairs = table.agg(F.sum("c")).first()[0] or 0
+    logs = F.broadcast(spark.createDataFrame([(k, float(x)) for k, x in enumerate(of_word)], "word long, log double"))  # at most 65,536 rows
+    others = words.where(F.col("n") < least).select(F.xxhash64("word").bitwiseAND(WORD - 1).bitwiseOR(WORD).alias("word"), F.log("n").alias("log"))
+
+    def with_log(df: DataFrame, side: str) -> DataFrame:
+        """df with the log count of a word: from the broadcast for known words, by the hash for others, so no word is frequent in the shuffle."""
+        named = lambda t: t.withColumnsRenamed({"word": side, "log": f"log_{side}"})
+        near = df.where(F.col(side) < WORD).join(named(logs), side)
+        return near if closed else near.unionByName(df.where(F.col(side) >= WORD).join(named(others), side))
+
+    def with_logs(df: DataFrame) -> DataFrame:
+        """(bigram, c, log_u, back) of bigrams."""
+        u, v = F.coalesce("u", F.shiftright("bigram", 16)), F.coalesce("v", F.col("bigram").bitwiseAND(0xFFFF))
+        both = with_log(with_log(df.select("bigram", "c", u.alias("u"), v.alias("v")), "u"), "v")
+        return both.select("bigram", "c", "log_u", (F.col("log_v") + (log_alpha - log_total)).alias("back"))
+
+    common = with_logs(table.where(F.col("c") * heavy >= pairs)).orderBy("bigram").toPandas()
+    hot = spark.sparkContext.broadcast((common["bigram"].to_numpy(np.int64), *(common[x].to_numpy(np.float64) for x in ("c", "log_u", "back")), of_word))
 
-    def score(keys: np.ndarray, n: np.ndarray, c: np.ndarray, logs: np.ndarray) -> tuple[float, int]:
+    def score(n: np.ndarray, c: np.ndarray, log_u: np.ndarray, back: np.ndarray) -> tuple[float, int]:
         seen = c > n
-        back = log_alpha + logs[keys & 0xFFFF] - log_total
-        each = np.where(seen, np.log(np.maximum(c - n, 1)) - logs[keys >> 16], back)
+        each = np.where(seen, np.log(np.maximum(c - n, 1)) - log_u, back)
         return float((n * each).sum()), int(n[seen].sum())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each rare bigram of a text; the first also has what is known already."""
-        heads, counts, logs = hot.value
+        """A row for each rare bigram of a text, and for a first word that isn't known; the first row also has what is known already."""
+        heads, *of_head, logs = hot.value
         for batch in batches:
             parts = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words_, first, keys, n = _bigrams(t.as_py(), ids.value)
+                words_, first, keys, n, _, _ = _bigrams(t.as_py(), ids.value, closed)
                 at = np.minimum(np.searchsorted(heads, keys), max(len(heads) - 1, 0))
                 is_hot = heads[at] == keys if len(heads) else np.zeros(len(keys), bool)
-                part, seen = score(keys[is_hot], n[is_hot], counts[at[is_hot]], logs) if is_hot.any() else (0.0, 0)
-                part += logs[first] - log_total if words_ else 0.0
+                part, seen = score(n[is_hot], *(x[at[is_hot]] for x in of_head)) if is_hot.any() else (0.0, 0)
                 keys, n = keys[~is_hot], n[~is_hot]
+                if first >= WORD:
+                    keys, n = np.append(keys, first), np.append(n, 1)
+                elif words_:
+                    part += logs[first] - log_total
                 if not len(keys):  # a bigram that there can't be
                     keys, n = np.array([-1 - hash((k, words_)) % (1 << 40)]), np.array([0])
                 zero = np.zeros(len(keys) - 1)
@@ -123,10 +167,10 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                      pa.array(seen.astype(np.int32))], names=["key", "bigram", "n", "words", "part", "seen"])
 
     rows = docs.mapInArrow(spread, "key long, bigram long, n int, words int, part double, seen int")
-    logs = spark.createDataFrame([(k, float(x)) for k, x in enumerate(of_word)], "word int, log double")  # at most 65,536 rows
-    u, v = F.broadcast(logs.select(F.col("word").alias("u"), F.col("log").alias("log_u"))), F.broadcast(logs.select(F.col("word").alias("v"), F.col("log").alias("log_v")))
-    rare = table.where(F.col("c") * heavy < pairs).withColumns({"u": F.shiftright("bigram", 16).cast("int"), "v": F.col("bigram").bitwiseAND(0xFFFF).cast("int")})
-    rare = rare.join(u, "u").join(v, "v").select("bigram", "c", "log_u", (F.col("log_v") + (log_alpha - log_total)).alias("back"))
+    rare = with_logs(table.where(F.col("c") * heavy < pairs))
+    if not closed:  # first words have no pair, and so a count of zero
+        alone = others.select(F.col("word").alias("bigram"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log_u"), (F.col("log") - log_total).alias("back"))
+        rare = rare.unionByName(alone)
     met = rows.join(rare, "bigram", "left")
     known_pair = F.col("c") > F.col("n")
     each = F.when(F.col("n") == 0, 0.0).otherwise(F.col("n") * F.when(known_pair, F.log(F.col("c") - F.col("n")) - F.col("log_u")).otherwise(F.col("back")))
