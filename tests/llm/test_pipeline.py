@@ -59,6 +59,18 @@ def test_rates_meet_targets(spark):
     assert abs(sum(r.copies for r in rows) - sum(r.rate for r in rows)) < 0.05 * len(rows)
 
 
+def test_relative_gaps(spark):
+    """Every domain within a thousandth of its own target: on the given table, and on sharp posteriors of its label shares."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = mixing.mixed(docs.select("doc_id", "text"), mixing.labelled_domains(labels)).collect()
+    targets, whole = [mixing.TARGETS[d] for d in mixing.DOMAINS], sum(r.tokens for r in rows)
+    shares = [sum(r.rate * r.tokens * r.posterior[k] for r in rows) / whole for k in range(3)]
+    assert all(abs(s - t) < 1e-3 * t for s, t in zip(shares, targets))
+    sharp = [(767, [1.0, 0.0, 0.0]), (113, [0.0, 1.0, 0.0]), (120, [0.0, 0.0, 1.0])]
+    _, totals = mixing.fit_rates(spark.createDataFrame(sharp, "_tokens long, _posterior array<double>"), targets)
+    assert all(abs(s - t) < 1e-3 * t for s, t in zip(totals, targets))
+
+
 @pytest.fixture
 def odd(spark):
     text = " ".join(f"word{i}" for i in range(40))

@@ -1,11 +1,11 @@
 """Mixing by soft membership: document rates whose expected domain token totals meet target weights.
 
 A classifier trained on a labelled table gives each document a posterior over domains. A document of t tokens and posterior
-p, kept at rate r, is expected to add r * t * p[k] tokens to domain k. Nonnegative rates minimise the squared gap between
-those totals and their targets, with a small pull towards rate 1 that makes the solution unique, by projected gradient: an
-iteration needs from the documents only the domain totals, so it is one aggregation over (tokens, posterior, rate) that
-sends one number per domain to the driver. Rates aren't stored between iterations; each is a fold over the few
-gradients so far, so nothing that grows with the documents is written but the table of posteriors.
+p, kept at rate r, is expected to add r * t * p[k] tokens to domain k. Of all nonnegative rates whose totals meet
+the targets, those nearest to 1 are taken, by least squares per token. They have the form max(0, 1 + p . m) with one number m[k] per
+domain, found by Newton's method with a line search: a step needs from the documents only sums over domains and pairs of domains, so it is one
+aggregation over (tokens, posterior). Rates aren't stored. Steps go on until every domain is within TOLERANCE of its target, as a
+share of that target; targets that no rates meet, as where a domain has no documents, are met as nearly as can be, and a warning names the gaps.
 
 The classifier is multinomial logistic regression on hashed words (Spark's own), fitted on at most MOST_LABELLED
 labelled documents, those of smallest id hash. All else, totals included, covers every document.
@@ -18,6 +18,9 @@ empty result; columns with the names of added ones are replaced.
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.shared import SPACE, hash_sample, saved
 
-#: Bound of the labelled sample; columns of the hashed words; steps, step size and pull of the descent.
-MOST_LABELLED, BUCKETS, STEPS, STEP, PULL = 20_000, 1 << 14, 24, 0.5, 0.02
+#: Bound of the labelled sample; columns of the hashed words.
+MOST_LABELLED, BUCKETS = 20_000, 1 << 14
+#: Relative gap of a domain; weight that keeps m finite where targets can't be met; aggregations at most, over ten times those of feasible targets.
+TOLERANCE, RIDGE, MOST_STEPS = 1e-4, 1e-8, 100
 DOMAINS = ("clean", "low", "toxic")
 #: Target totals as shares of all tokens of the corpus.
 TARGETS = {"clean": 0.95, "low": 0.02, "toxic": 0.01}
@@ -71,32 +76,48 @@ def posteriors(docs: DataFrame, labelled: DataFrame, text: str = "text", key: st
     return scored.withColumn("_posterior", full).drop("_features", "_p", "_best", "_raw")
 
 
-def rate(gradients: list[list[float]]) -> Column:
-    """The rate of a row after the gradients so far: each step goes down the gap and towards 1, and stays nonnegative."""
-    r = F.lit(1.0)
-    for gaps in gradients:
-        slope = sum((F.get("_posterior", k) * g for k, g in enumerate(gaps)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r * (1 - STEP * PULL) - (slope - PULL) * STEP)
-    return r
+def rate(m: list[float]) -> Column:
+    """The rate of a row."""
+    return F.greatest(F.lit(0.0), sum((F.get("_posterior", k) * x for k, x in enumerate(m)), F.lit(1.0)))
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
-    """Gradients of all steps, and the domain totals, as shares of all tokens, that the last rates give.
+def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[float], list[float]]:
+    """The numbers m of all domains, and the domain totals, as shares of all tokens, that they give.
 
-    members: _tokens and _posterior. Totals and targets are shares, and a document's gradient is taken per token of its own,
-    so the step size suits any corpus."""
-    n, gradients = len(targets), []
+    members: _tokens and _posterior. Totals and targets are shares, so m suits any size of the corpus."""
+    n, want = len(targets), np.array(targets, float)
+    scale = np.maximum(want, 1e-3)
     whole = members.agg(F.sum("_tokens")).first()[0] or 0
-    totals = [0.0] * n
-    for _ in range(STEPS + 1):
-        sums = [F.sum(F.col("_rate") * F.col("_tokens") * F.get("_posterior", k)).alias(f"s{k}") for k in range(n)]
-        got = members.withColumn("_rate", rate(gradients)).agg(*sums).first()
-        totals = [(got[k] or 0.0) / whole if whole else 0.0 for k in range(n)]
-        gaps = [2 * (a - b) for a, b in zip(totals, targets)]
-        if len(gradients) == STEPS or not whole or gradients and max(abs(a - b) for a, b in zip(gaps, gradients[-1])) < 1e-9:
-            break
-        gradients.append([float(f"{g:.12g}") for g in gaps])
-    return gradients, totals
+    if not whole:
+        return [0.0] * n, [0.0] * n
+    p, t, r = [F.get("_posterior", k) for k in range(n)], F.col("_tokens"), F.col("_rate")
+    over = [(i, j) for i in range(n) for j in range(i + 1)]
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual function, its slope, the totals, and the curvature."""
+        terms = [r * r * t, *(r * t * x for x in p), *(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0) for i, j in over)]
+        row = members.withColumn("_rate", rate(m.tolist())).agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(terms)]).first()
+        got = np.array([x or 0.0 for x in row]) / whole
+        curve = np.zeros((n, n))
+        for (i, j), x in zip(over, got[n + 1:]):
+            curve[i, j] = curve[j, i] = x
+        return float(got[0] / 2 - want @ m + RIDGE * m @ m / 2), got[1:n + 1] - want + RIDGE * m, got[1:n + 1], curve + RIDGE * np.eye(n)
+
+    m, steps = np.zeros(n), 1
+    value, slope, totals, curve = at(m)
+    while max(abs(totals - want) / scale) > TOLERANCE and max(abs(slope)) > 1e-10 and steps < MOST_STEPS:
+        way, length = -np.linalg.solve(curve, slope), 1.0
+        while True:
+            new = np.array([float(f"{x:.12g}") for x in m + length * way])
+            after = at(new)
+            steps += 1
+            if after[0] <= value + 1e-4 * length * (way @ slope) or length < 1e-6 or steps >= MOST_STEPS:
+                break
+            length /= 2
+        m, (value, slope, totals, curve) = new, after
+    if max(abs(totals - want) / scale) > TOLERANCE:
+        logging.getLogger(__name__).warning("targets %s are not met: totals %s after %d steps", targets, totals.tolist(), steps)
+    return m.tolist(), totals.tolist()
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -107,9 +128,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     docs = docs.drop(*[c for c in ("tokens", "posterior", "rate", "copies") if c not in (key, text)])
     df = posteriors(docs, labelled, text, key)
     df = saved(df if keep_text else df.drop(text), "members")
-    gradients, _ = fit_rates(df, [targets[d] for d in DOMAINS])
+    m, _ = fit_rates(df, [targets[d] for d in DOMAINS])
     draw = (F.pmod(F.xxhash64(F.lit("mixing"), F.col(key)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    return df.withColumn("rate", rate(gradients)).withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).withColumnsRenamed(
+    return df.withColumn("rate", rate(m)).withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).withColumnsRenamed(
         {"_tokens": "tokens", "_posterior": "posterior"})
 
 
