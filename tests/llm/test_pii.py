@@ -71,3 +71,21 @@ def test_defined_cases(spark):
     assert hidden.columns == docs.columns
     assert [(r.text, r.n_chars) for r in hidden.collect()] == [(None, None), ("", 0)] + [("mail é@x.y <EMAIL>", 18)] * 2
     assert pii.mask_pii(docs.limit(0)).count() == 0
+
+
+def test_accounts_beside_each_other():
+    two = "DE89370400440532013000 GB82WEST12345698765432"
+    assert [s[:3] for s in pii.find_spans(two) if s[0] == "iban"] == [("iban", 0, 22), ("iban", 23, 45)]
+    behind = "XX12 AB34 DE89 3704 0044 0532 0130 00"  # candidates that fail in front of one
+    assert [s[:3] for s in pii.find_spans(behind) if s[0] == "iban"] == [("iban", 10, 37)]
+    assert isinstance(pii.find_spans("DE89 " * 60_000), list)
+
+
+def test_accounts_of_all_countries():
+    for text in ("TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "UA213223130000026007233566001", "BR1800360305000010009795493C1",
+                 "IL620108000000099999999", "MT84MALT011000012345MTLCAST001S", "RU0304452522540817810538091310419"):
+        assert [s[:3] for s in pii.find_spans(f"konto {text}.") if s[0] == "iban"] == [("iban", 6, 6 + len(text))]
+    for country, size in pii.IBAN_LENGTH.items():  # a number of each length with its check digits
+        rest = "1" * (size - 4)
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97
+        assert [s for s in pii.find_spans(f"{country}{check:02d}{rest}") if s[0] == "iban"]
