@@ -321,3 +321,14 @@ def test_trace_skips_malformed_lines(spark):
     with open(base + "/t/bad.json", "w") as f:
         f.write("{broken\n")
     assert [r["event"] for r in readers.read_trace(spark, base + "/t").collect()] == ["start"]
+
+
+def test_technical_list_is_cut_by_pre_audit(spark):
+    from tickloom.operators import selection
+
+    rows = [(f"s{i:02d}", float(i), float(100 - i), 60.0) for i in range(25)]  # the two scores run against each other
+    universe = spark.createDataFrame(rows, "ts_code string, pre_audit double, composite_score double, consolidation_score double")
+    matched = spark.createDataFrame([("s24", ["policy"]), ("s00", [])], "ts_code string, matched_themes array<string>")
+    themes = spark.createDataFrame([("policy", "weak", False)], "theme string, status string, capital_signal boolean")
+    got = [(r.ts_code, r.list_type) for r in selection.dual_list(universe, matched, themes, 0).orderBy("position").collect()]
+    assert got == [("s24", "both")] + [(f"s{i:02d}", "technical") for i in range(23, 13, -1)]

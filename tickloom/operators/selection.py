@@ -104,11 +104,11 @@ def worst_verdict(candidates: DataFrame, audits: DataFrame) -> DataFrame:
     return j.withColumn("worst_verdict", F.when(F.col("_v") == 2, "fail").when(F.col("_v") == 0, "pass").otherwise("warn")).drop("_v")
 
 
-def technical_pool(universe: DataFrame, theme_codes: DataFrame, round_: int) -> DataFrame:
-    """Names outside the theme list above the round's consolidation floor, by composite score."""
+def technical_pool(universe: DataFrame, theme_codes: DataFrame, round_: int, order: str = "composite_score") -> DataFrame:
+    """Names outside the theme list above the round's consolidation floor, the first of them by `order`."""
     _, _, floor, cap = RELAXATION[round_]
     kept = universe.where(F.col("consolidation_score") >= floor).join(theme_codes.select("ts_code"), "ts_code", "left_anti")
-    return kept.orderBy(F.desc("composite_score"), "ts_code").limit(cap).withColumn("list_type", F.lit("technical"))
+    return kept.orderBy(F.desc(order), "ts_code").limit(cap).withColumn("list_type", F.lit("technical"))
 
 
 def theme_pool(universe: DataFrame, round_: int) -> DataFrame:
@@ -189,8 +189,8 @@ def dual_list(universe: DataFrame, matched: DataFrame, themes: DataFrame, round_
     theme names first, then technical ones, each by pre-audit score."""
     strong = list_strength(matched.where(F.size("matched_themes") > 0), themes)
     theme = universe.join(strong, "ts_code").orderBy(F.desc("pre_audit"), "ts_code").limit(theme_cap)
-    alone = technical_pool(universe, theme, round_).withColumn("theme_strength_score", F.lit(0.0))
-    whole = technical_pool(universe, theme.where("false"), round_).select("ts_code", F.lit(True).alias("_tech"))
+    alone = technical_pool(universe, theme, round_, "pre_audit").withColumn("theme_strength_score", F.lit(0.0))
+    whole = technical_pool(universe, theme.where("false"), round_, "pre_audit").select("ts_code", F.lit(True).alias("_tech"))
     theme = theme.join(whole, "ts_code", "left").withColumn("list_type", F.when(F.col("_tech"), "both").otherwise("theme_driven")).drop("_tech")
     w = Window.orderBy(F.col("list_type") == "technical", F.desc("pre_audit"), "ts_code")  # two capped lists
     return theme.unionByName(alone).withColumn("position", F.row_number().over(w))
