@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann_tree, arc_warc, license_scan, lm_score, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
+from tickloom.llm import ann_tree, arc_warc, jaccard_join, license_scan, lm_score, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
 from tickloom.llm.shared import table
 
 
@@ -142,5 +142,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc}
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc,
+           "op11_jaccard_join": op11_jaccard_join}
 SQL = {"op3_license_scan": OP3_SQL, "op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL}
