@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann_tree, arc_warc, jaccard_join, license_scan, lm_score, mixing, pii, quality_ledger, sentencepiece_codec, simhash, url_filter
+from tickloom.llm import (ann_tree, arc_warc, conversation_trie, importance, jaccard_join, license_scan, lm_score, mixing, pii, quality_ledger, sentencepiece_codec,
+                          simhash, url_filter)
 from tickloom.llm.shared import table
 
 
@@ -147,6 +148,46 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 from its polynomial: a table of 256 states, then a fold over the bytes of each distinct word.
+OP12_SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+texts AS (
+  SELECT row_number() OVER () AS k, doc_id, text, 1 AS raw FROM documents UNION ALL SELECT NULL, NULL, text, 0 FROM benchmark),
+split AS MATERIALIZED (
+  SELECT k, doc_id, raw, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+each AS MATERIALIZED (SELECT k, raw, word, count(*) AS n FROM (SELECT k, raw, unnest(words) AS word FROM split) GROUP BY ALL),
+bytes AS (
+  SELECT word, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM each)),
+bucket AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+held AS (SELECT bucket, sum(n * raw) AS s, sum(n * (1 - raw)) AS t FROM each JOIN bucket USING (word) GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM held),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((h.t + 1)::DOUBLE * (w.s + 10000)::DOUBLE) / ((h.s + 1)::DOUBLE * (w.t + 10000)::DOUBLE))) AS gain FROM held h, whole w),
+mean AS (SELECT k, floor(sum(n * gain) / sum(n)) AS weight FROM each JOIN bucket USING (word) JOIN gain USING (bucket) WHERE raw = 1 GROUP BY k),
+scored AS (
+  SELECT k, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM split LEFT JOIN mean USING (k) WHERE raw = 1),
+drawn AS (
+  SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 10 * count(*) OVER () // 100 AS most FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END::BIGINT AS rank FROM scored LEFT JOIN drawn USING (k)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc,
-           "op11_jaccard_join": op11_jaccard_join}
-SQL = {"op3_license_scan": OP3_SQL, "op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL}
+           "op11_jaccard_join": op11_jaccard_join, "op12_importance": op12_importance, "op13_prefix_trie": op13_prefix_trie}
+SQL = {"op3_license_scan": OP3_SQL, "op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL, "op12_importance": OP12_SQL}
