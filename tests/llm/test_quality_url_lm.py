@@ -1,13 +1,10 @@
-"""Quality ledger, URL filter and language-model scores: SQL and brute force on the smallest tables, and defined cases."""
+"""All queries with SQL, quality ledger and URL filter: SQL and brute force on the smallest tables, and defined cases."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import pytest
 
-from tickloom.llm import lm_score, quality_ledger, queries, url_filter
+from tickloom.llm import quality_ledger, queries, url_filter
 from tickloom.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -61,45 +58,3 @@ def test_url_scores_on_held_out_labels(spark):
     judged = url_filter.judge(df.where("i % 4 = 0"), df.where("i % 4 <> 0").select("url", "blocked"), rules=[]).collect()
     pairs = [(a.score, b.score) for a in judged if a.blocked for b in judged if not b.blocked]
     assert sum(a > b for a, b in pairs) >= 0.7 * len(pairs)  # ranks blocked above allowed
-
-
-def slow_scores(texts, vocabulary):
-    split = [lm_score.split(t) for t in texts]
-    n = Counter(w for ws in split for w in ws)
-    at_least = Counter(n.values())
-    fits = {v for v in at_least if sum(k for u, k in at_least.items() if u >= v) <= vocabulary}
-    top = [w for w in n if n[w] in fits]
-    ids = {w: i for i, w in enumerate(top, 1)}
-    seqs, total = [[ids.get(w, 0) for w in ws] for ws in split], sum(n.values())
-    c1 = Counter(v for s in seqs for v in s)
-    c2 = Counter(p for s in seqs for p in zip(s, s[1:]))
-    out = []
-    for s in seqs:
-        own, score = Counter(zip(s, s[1:])), math.log(c1[s[0]] / total) if s else None
-        for u, v in zip(s, s[1:]):
-            left = c2[u, v] - own[u, v]
-            score += math.log(left / c1[u] if left > 0 else lm_score.ALPHA * c1[v] / total)
-        out.append(score)
-    return out
-
-
-@pytest.mark.parametrize(("vocabulary", "heavy"), [(65_535, 20_000), (50, 3), (50, 1_000)])
-def test_scores_match_brute_force(spark, vocabulary, heavy):
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:80] + ["", None, "the", "The the THE", "the of the of " * 2000]
-    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, n double")
-    got = {r.key: r.log_score for r in lm_score.scored(df, vocabulary=vocabulary, heavy=heavy).collect()}
-    for i, want in enumerate(slow_scores(texts, vocabulary)):
-        assert got[i] == want if want is None else got[i] == pytest.approx(want, rel=1e-9)
-    assert lm_score.scored(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("known", [lm_score.KNOWN, 50, 0])
-def test_all_words_are_counted(spark, known):
-    """70,000 words beyond those of the given texts, a text of unseen words, and first words beyond the known ones."""
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:40]
-    texts += [" ".join(f"w{i}" for i in range(k, 70_000, 7)) for k in range(7)] + ["w1 w8 w15 w1 w8", "zzz yyy xxx www", "", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.key: r for r in lm_score.scored(df, known=known, heavy=5_000).collect()} if known != lm_score.KNOWN else {r.key: r for r in lm_score.scored(df).collect()}
-    for i, want in enumerate(slow_scores(texts, 10**9)):
-        assert got[i].log_score == want if want is None else got[i].log_score == pytest.approx(want, rel=1e-9)
-    assert got[len(texts) - 3].seen == 0

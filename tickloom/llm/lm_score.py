@@ -1,179 +1,183 @@
 """Stupid-backoff scores of documents, computed by joins of n-gram counts.
 
-The model is of order 2 over all words of the corpus. The words more frequent than the least cut that leaves at most KNOWN of
-them have small numbers, and their counts are broadcast; every other word goes by 61 bits of its hash, and its count is joined by
-that hash. Bigram counts cover every document; their table is partitioned by the bigram's hash and grows with the corpus, as the
-table of words does. Nothing of either is collected but what has a fixed bound. Bigrams are counted per document first, joined to the table,
-and summed per document. A bigram's count is taken without the document's own occurrences, so a document doesn't vouch for itself:
+The model is of order 3 over all words of the corpus. All counts leave out the document's own occurrences, so that a document doesn't
+vouch for itself. With c such counts and N such words,
 
-    score(v | u) = (c(uv) - own) / c(u) if c(uv) > own, else ALPHA * c(v) / N; the first word has c(v) / N.
+    S(w | u v) = c(uvw) / c(uv) if c(uvw) > 0, else ALPHA * S(w | v);  S(w | v) likewise;
+    S(w) = c(w) / N if c(w) > 0, else ALPHA / N,
 
-Bigrams that hold at least 1/HEAVY of all counted bigrams are at most HEAVY by arithmetic. Their counts are broadcast and scored
-where the texts are read, so that a frequent bigram never meets in one task.
+and a document's first words have as much context as there is.
 
-A vocabulary can be closed on request: then the words beyond it are one unknown word, numbered 0.
+Count table. Texts become blocks of about WORDS words: the hashes of the block's distinct words, and their numbers in order. A block's
+distinct n-grams of all orders are counted first, then dealt by hash into parts, as sorted differences of hashes with their counts.
+A part sums the counts of its n-grams over all blocks, and its table is joined back to the n-grams of each block, whose documents add up their
+logarithms. A part holds about ENTRIES n-grams, so there are as many parts as the corpus needs; a frequent n-gram is one
+entry a block, wherever it stands, so none is hot. Nothing of the table is collected or broadcast. N-grams are told apart by their part and
+40 more bits of a hash: about 3 lookups in ten million meet another n-gram's count, at any size of the corpus.
 
 Defined cases: texts are split at ASCII white space and A-Z is lower-cased; null and empty texts have no words and a null
-score; rows of one id are scored apart as texts but summed as one document, and so are rows without an id; an empty table
-gives an empty result; other columns are ignored.
+score; every row is a document of its own, also where ids repeat or are null; an empty table gives an empty result; other columns are
+ignored. A text is never split between blocks, so memory grows with the longest text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import saved
+from tickloom.llm.shared import WordHashes, fresh_path, mixed_runs, saved
 
-KNOWN, HEAVY, ALPHA = 65_535, 20_000, 0.4
-#: Codes of words beyond the known ones start at WORD, those of bigrams with such a word at PAIR; Spark hashes with SEED.
-WORD, PAIR, SEED = 1 << 61, 1 << 62, 42
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+ORDER, ALPHA = 3, 0.4
+#: Words of a block, n-grams of a part, and bits of a hash beside the part's.
+WORDS, ENTRIES, BITS = 1 << 19, 1 << 20, 40
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER).split()
+def blocks(docs: DataFrame, words: int) -> DataFrame:
+    """(block, keys, lengths, known, low, high, n): known has the hashes of the block's words, low and high their numbers in order."""
 
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts, combined per batch before the shuffle."""
+    def row(block: int, keys: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+        known, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        number = place[at]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([known[order].tobytes()]),
+             pa.array([(number & 0xFFFF).astype("<u2").tobytes()]), pa.array([(number >> 16).astype("<u2").tobytes()]), pa.array([len(hashes)], pa.int64())],
+            names=["block", "keys", "lengths", "known", "low", "high", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, keys, texts, held, block = WordHashes(), [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            n: Counter = Counter()
-            for t in batch.column(0):
-                n.update(split(t.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys.append(k)
+                texts.append(made.of(made.words(t.as_py())))
+                held += len(texts[-1])
+                if held >= words or len(keys) >= words:
+                    yield row(block, keys, texts)
+                    keys, texts, held, block = [], [], 0, block + 1
+        if keys:
+            yield row(block, keys, texts)
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "block long, keys array<long>, lengths array<int>, known binary, low binary, high binary, n long")
 
 
-def _code(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED) & (WORD - 1) | WORD
+def codes(block: dict, order: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each n up to order: hashes of the block's n-grams, and where in the block they start; and the document of each word."""
+    number = np.frombuffer(block["high"], "<u2").astype(np.uint32) << 16 | np.frombuffer(block["low"], "<u2")
+    hashes = np.frombuffer(block["known"], np.uint64)[number]
+    doc = np.repeat(np.arange(len(block["lengths"])), block["lengths"])
+    out, starts = [], []
+    for n in range(1, order + 1):
+        at = np.flatnonzero(doc[n - 1:] == doc[:len(doc) - n + 1])
+        out.append(mixed_runs(hashes, n)[at] >> np.uint64(64 - bits))
+        starts.append(at)
+    return out, starts, doc
 
 
-def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A key of each bigram: u * 65536 + v of known words, else 62 bits of a hash."""
-    m = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    m = ((m ^ m >> np.uint64(32)) + v.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    m = (m ^ m >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    m = (m ^ m >> np.uint64(32)) & np.uint64(PAIR - 1) | np.uint64(PAIR)
-    return np.where((u < WORD) & (v < WORD), u << 16 | v, m.astype(np.int64))
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, so that the high bytes, mostly zero, cost nothing once compressed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _bigrams(text: str | None, ids: dict[bytes, int], closed: bool) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, first word's code, and the text's bigrams: keys, counts and both words' codes."""
-    words, get = split(text), ids.get
-    codes = (get(w, 0) for w in words) if closed else (get(w) or _code(w) for w in words)
-    seen = np.fromiter(codes, np.int64, len(words))
-    keys, at, n = np.unique(_pair(seen[:-1], seen[1:]), return_index=True, return_counts=True)
-    return len(words), int(seen[0]) if words else 0, keys, n, seen[:-1][at], seen[1:][at]
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def bigram_counts(texts: DataFrame, ids, closed: bool) -> DataFrame:
-    """(bigram, c, u, v) over all texts, combined per batch before the shuffle; u and v are null where the key has both."""
+def _gaps(values: np.ndarray) -> bytes:
+    """Ascending numbers as differences, in four bytes each where they fit; the first byte tells."""
+    d = np.diff(values, prepend=np.uint64(0))
+    return b"\4" + d.astype("<u4").tobytes() if not len(d) or d.max() < 1 << 32 else b"\x08" + d.astype("<u8").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [_bigrams(t.as_py(), ids.value, closed)[2:] for t in batch.column(0)]
-            if each:
-                keys, n, u, v = (np.concatenate(x) for x in zip(*each))
-                keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-                n = np.bincount(at, n, len(keys)).astype(np.int64)
-                whole = keys < PAIR
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(u[first], mask=whole), pa.array(v[first], mask=whole)], names=["bigram", "n", "u", "v"])
 
-    counted = texts.mapInArrow(run, "bigram long, n long, u long, v long").groupBy("bigram")
-    return counted.agg(F.sum("n").alias("c"), F.max("u").alias("u"), F.max("v").alias("v"))
+def _sums(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<u4" if data[0] == 4 else "<u8", offset=1), dtype=np.uint64)
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int | None = None, heavy: int = HEAVY, known: int = KNOWN) -> DataFrame:
-    """(key, n_words, log_score, seen): the sum of log scores over all words, and how many bigrams needed no backoff.
+def entries(table: DataFrame, order: int, part_bits: int) -> DataFrame:
+    """(part, block, grams, n): the distinct n-grams of each block in each part, with the block's counts."""
 
-    vocabulary: closed at so many words, KNOWN at most; None counts all words. known only tells how many counts are broadcast."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    words = saved(word_counts(docs.select("text")), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    closed = vocabulary is not None
-    most = vocabulary if closed else known
-    room, least = most, 1
-    for r in words.groupBy("n").count().orderBy(F.desc("n")).limit(most + 1).collect():  # a value has a word at least
-        room -= r["count"]
-        if room < 0:
-            least = r.n + 1
-            break
-    top = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))  # at most `most` rows
-    ids = spark.sparkContext.broadcast({r.word.encode(): k for k, r in enumerate(top, 1)})
-    counts_ = np.array([0] + [r.n for r in top], np.float64)
-    counts_[0] = max(total - counts_.sum(), 1)  # the unknown word
-    of_word = np.log(counts_)
-    log_total, log_alpha = float(np.log(max(total, 1))), float(np.log(ALPHA))
-    table = saved(bigram_counts(docs.select("text"), ids, closed), "bigrams")
-    pairs = table.agg(F.sum("c")).first()[0] or 0
-    logs = F.broadcast(spark.createDataFrame([(k, float(x)) for k, x in enumerate(of_word)], "word long, log double"))  # at most 65,536 rows
-    others = words.where(F.col("n") < least).select(F.xxhash64("word").bitwiseAND(WORD - 1).bitwiseOR(WORD).alias("word"), F.log("n").alias("log"))
-
-    def with_log(df: DataFrame, side: str) -> DataFrame:
-        """df with the log count of a word: from the broadcast for known words, by the hash for others, so no word is frequent in the shuffle."""
-        named = lambda t: t.withColumnsRenamed({"word": side, "log": f"log_{side}"})
-        near = df.where(F.col(side) < WORD).join(named(logs), side)
-        return near if closed else near.unionByName(df.where(F.col(side) >= WORD).join(named(others), side))
-
-    def with_logs(df: DataFrame) -> DataFrame:
-        """(bigram, c, log_u, back) of bigrams."""
-        u, v = F.coalesce("u", F.shiftright("bigram", 16)), F.coalesce("v", F.col("bigram").bitwiseAND(0xFFFF))
-        both = with_log(with_log(df.select("bigram", "c", u.alias("u"), v.alias("v")), "u"), "v")
-        return both.select("bigram", "c", "log_u", (F.col("log_v") + (log_alpha - log_total)).alias("back"))
-
-    common = with_logs(table.where(F.col("c") * heavy >= pairs)).orderBy("bigram").toPandas()
-    hot = spark.sparkContext.broadcast((common["bigram"].to_numpy(np.int64), *(common[x].to_numpy(np.float64) for x in ("c", "log_u", "back")), of_word))
-
-    def score(n: np.ndarray, c: np.ndarray, log_u: np.ndarray, back: np.ndarray) -> tuple[float, int]:
-        seen = c > n
-        each = np.where(seen, np.log(np.maximum(c - n, 1)) - log_u, back)
-        return float((n * each).sum()), int(n[seen].sum())
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each rare bigram of a text, and for a first word that isn't known; the first row also has what is known already."""
-        heads, *of_head, logs = hot.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words_, first, keys, n, _, _ = _bigrams(t.as_py(), ids.value, closed)
-                at = np.minimum(np.searchsorted(heads, keys), max(len(heads) - 1, 0))
-                is_hot = heads[at] == keys if len(heads) else np.zeros(len(keys), bool)
-                part, seen = score(n[is_hot], *(x[at[is_hot]] for x in of_head)) if is_hot.any() else (0.0, 0)
-                keys, n = keys[~is_hot], n[~is_hot]
-                if first >= WORD:
-                    keys, n = np.append(keys, first), np.append(n, 1)
-                elif words_:
-                    part += logs[first] - log_total
-                if not len(keys):  # a bigram that there can't be
-                    keys, n = np.array([-1 - hash((k, words_)) % (1 << 40)]), np.array([0])
-                zero = np.zeros(len(keys) - 1)
-                parts.append((np.full(len(keys), k if k is not None else 0), np.full(len(keys), k is None), keys, n, np.append(words_, zero),
-                              np.append(part, zero), np.append(seen, zero)))
-            if parts:
-                key_, null, big, n, words_, part, seen = (np.concatenate(x) for x in zip(*parts))
+            for block in batch.to_pylist():
+                grams, n = np.unique(np.concatenate(codes(block, order, part_bits + BITS)[0]), return_counts=True)
+                part = (grams >> np.uint64(BITS)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.append(cut[1:], len(grams))
+                low = grams & np.uint64((1 << BITS) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key_.astype(np.int64), mask=null.astype(bool)), pa.array(big), pa.array(n.astype(np.int32)), pa.array(words_.astype(np.int32)), pa.array(part),
-                     pa.array(seen.astype(np.int32))], names=["key", "bigram", "n", "words", "part", "seen"])
-
-    rows = docs.mapInArrow(spread, "key long, bigram long, n int, words int, part double, seen int")
-    rare = with_logs(table.where(F.col("c") * heavy < pairs))
-    if not closed:  # first words have no pair, and so a count of zero
-        alone = others.select(F.col("word").alias("bigram"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log_u"), (F.col("log") - log_total).alias("back"))
-        rare = rare.unionByName(alone)
-    met = rows.join(rare, "bigram", "left")
-    known_pair = F.col("c") > F.col("n")
-    each = F.when(F.col("n") == 0, 0.0).otherwise(F.col("n") * F.when(known_pair, F.log(F.col("c") - F.col("n")) - F.col("log_u")).otherwise(F.col("back")))
-    sums = met.groupBy("key").agg(F.sum("words").alias("n_words"), F.sum(F.col("part") + each).alias("s"),
-                                  F.sum(F.col("seen") + F.when(known_pair & (F.col("n") > 0), F.col("n")).otherwise(0)).alias("seen"))
-    return sums.select("key", "n_words", F.when(F.col("n_words") > 0, F.col("s")).alias("log_score"), "seen")
+                    [pa.array(part[cut], pa.int64()), pa.array(np.full(len(cut), block["block"]), pa.int64()), pa.array([_gaps(low[a:b]) for a, b in zip(cut, ends)], pa.binary()),
+                     pa.array([_pack(n[a:b]) for a, b in zip(cut, ends)], pa.binary())], names=["part", "block", "grams", "n"])
+
+    return table.select("block", "lengths", "known", "low", "high").mapInArrow(run, "part long, block long, grams binary, n binary")
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """(part, block, n): for the n-grams of each block their counts over all blocks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        grams = [_sums(g.as_py()) for g in group.column("grams")]
+        own = np.concatenate([_unpack(n.as_py()) for n in group.column("n")])
+        distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.zeros(len(distinct), np.uint64)
+        np.add.at(total, at, own)
+        cut = np.cumsum([len(g) for g in grams])[:-1]
+        return pa.table({"part": group.column("part"), "block": group.column("block"), "n": pa.array([_pack(x) for x in np.split(total[at], cut)], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(run, "part long, block long, n binary")
+
+
+def summed(table: DataFrame, found: DataFrame, order: int, part_bits: int, whole: int, alpha: float) -> DataFrame:
+    """(key, n_words, log_score, seen) of every document."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.to_pylist()[0]
+        each, starts, doc = codes(block, order, part_bits + BITS)
+        grams, at = np.unique(np.concatenate(each), return_inverse=True)
+        parts = sorted(zip(right.column("part").to_pylist(), right.column("n")), key=lambda p: p[0])
+        total = np.concatenate([_unpack(n.as_py()) for _, n in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
+        lengths = np.array(block["lengths"], np.int64)
+        _, pair, n = np.unique(doc[np.concatenate(starts)] * max(len(grams), 1) + at, return_inverse=True, return_counts=True)
+        others = total[at] - n[pair]
+        size, words = np.cumsum([len(x) for x in each]), len(doc)
+        count = np.zeros((order, words), np.int64)  # of the n-gram that ends at a word
+        for k, (e, s) in enumerate(zip(np.split(others, size[:-1]), starts)):
+            count[k, s + k] = e
+        rest = np.maximum(whole - lengths[doc], 1)
+        back, log_alpha = np.zeros(words), np.log(alpha)
+        score, done = np.zeros(words), np.zeros(words, bool)
+        first = np.arange(words) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # place in the document
+        for k in range(order - 1, 0, -1):
+            has = first >= k
+            seen = has & ~done & (count[k] > 0)
+            score[seen] = back[seen] + np.log(count[k][seen]) - np.log(np.roll(count[k - 1], 1)[seen])
+            done |= seen
+            back[has & ~done] += log_alpha
+            if k == order - 1:
+                full = seen.copy()
+        alone = ~done
+        score[alone] = back[alone] + np.where(count[0][alone] > 0, np.log(np.maximum(count[0][alone], 1)), log_alpha) - np.log(rest[alone])
+        full = full if order > 1 else count[0] > 0
+        sums, seen = (np.bincount(doc, x, len(lengths)) for x in (score, full))
+        return pa.table({"key": pa.array(block["keys"], pa.int64()), "n_words": pa.array(lengths), "log_score": pa.array(sums, mask=lengths == 0), "seen": pa.array(seen.astype(np.int64))})
+
+    return table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "key long, n_words long, log_score double, seen long")
+
+
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, words: int = WORDS, entries_in_part: int = ENTRIES) -> DataFrame:
+    """(key, n_words, log_score, seen): the sum of log scores over all words, and how many words follow their whole context elsewhere."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    made, path = blocks(docs, words), fresh_path(spark, "blocks")
+    made.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(made.schema).parquet(path)
+    whole = table.agg(F.sum("n")).first()[0] or 0
+    part_bits = max(4, (order * whole // entries_in_part).bit_length())
+    found = saved(joined(entries(table, order, part_bits)), "counts")
+    return summed(table.drop("n"), found, order, part_bits, whole, alpha)

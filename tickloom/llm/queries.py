@@ -56,27 +56,25 @@ OP4_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-w AS (SELECT k, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
-ranked AS (SELECT word, count(*) AS n, CASE WHEN count(*) OVER (ORDER BY count(*) DESC) <= 65535 THEN row_number() OVER (ORDER BY count(*) DESC, word) ELSE 65536 END AS id FROM w GROUP BY word),
+w AS MATERIALIZED (
+  SELECT k, i, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u
+  FROM (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM t) WINDOW o AS (PARTITION BY k ORDER BY i)),
 total AS (SELECT count(*) AS n FROM w),
-c1 AS (
-  SELECT id, n FROM ranked WHERE id <= 65535
-  UNION ALL SELECT 0, greatest((SELECT n FROM total) - coalesce(sum(n), 0), 1) FROM ranked WHERE id <= 65535),
-x AS (SELECT k, doc_id, i, CASE WHEN id <= 65535 THEN id ELSE 0 END AS v FROM w JOIN ranked USING (word)),
-own AS (
-  SELECT a.k, a.v AS u, b.v, count(*) AS n FROM x a JOIN x b ON a.k = b.k AND b.i = a.i + 1 GROUP BY a.k, a.v, b.v),
-c2 AS (SELECT u, v, sum(n) AS c FROM own GROUP BY u, v),
-pairs AS (
-  SELECT k, sum(o.n * CASE WHEN c > o.n THEN ln(c - o.n) - ln(cu.n) ELSE ln(0.4) + ln(cv.n) - ln((SELECT n FROM total)) END) AS s,
-         sum(CASE WHEN c > o.n THEN o.n ELSE 0 END) AS seen
-  FROM (SELECT own.k, own.u, own.v, own.n, c2.c FROM own JOIN c2 USING (u, v)) o
-  JOIN (SELECT id, n AS n FROM c1) cu ON cu.id = o.u JOIN c1 cv ON cv.id = o.v GROUP BY k),
-firsts AS (SELECT k, ln(c1.n) - ln((SELECT n FROM total)) AS s FROM x JOIN c1 ON c1.id = x.v WHERE i = 1),
-d AS (
-  SELECT doc_id, sum(len(words))::BIGINT AS n_words, sum(coalesce(firsts.s, 0) + coalesce(pairs.s, 0)) AS s, sum(coalesce(seen, 0))::BIGINT AS n_seen
-  FROM t LEFT JOIN firsts USING (k) LEFT JOIN pairs USING (k) GROUP BY doc_id)
-SELECT doc_id, n_words, CASE WHEN n_words > 0 THEN round(s, 4) END AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 6) END AS mean_log_score, n_seen
-FROM d
+size AS (SELECT k, count(*) AS n FROM w GROUP BY k),
+c1 AS MATERIALIZED (SELECT k, w, sum(count(*)) OVER (PARTITION BY w) - count(*) AS c FROM w GROUP BY k, w),
+c2 AS MATERIALIZED (SELECT k, v, w, sum(count(*)) OVER (PARTITION BY v, w) - count(*) AS c FROM w WHERE v IS NOT NULL GROUP BY k, v, w),
+c3 AS MATERIALIZED (SELECT k, u, v, w, sum(count(*)) OVER (PARTITION BY u, v, w) - count(*) AS c FROM w WHERE u IS NOT NULL GROUP BY k, u, v, w),
+s AS (
+  SELECT w.k, coalesce(c3.c, 0) > 0 AS seen,
+    CASE WHEN coalesce(c3.c, 0) > 0 THEN ln(c3.c) - ln(uv.c)
+         WHEN coalesce(vw.c, 0) > 0 THEN CASE WHEN w.i > 2 THEN ln(0.4) ELSE 0 END + ln(vw.c) - ln(v1.c)
+         ELSE least(w.i - 1, 2) * ln(0.4) + CASE WHEN w1.c > 0 THEN ln(w1.c) ELSE ln(0.4) END - ln(greatest(total.n - size.n, 1)) END AS s
+  FROM w JOIN size USING (k) JOIN c1 w1 ON w1.k = w.k AND w1.w = w.w LEFT JOIN c1 v1 ON v1.k = w.k AND v1.w = w.v
+  LEFT JOIN c2 vw ON vw.k = w.k AND vw.v = w.v AND vw.w = w.w LEFT JOIN c2 uv ON uv.k = w.k AND uv.v = w.u AND uv.w = w.v
+  LEFT JOIN c3 ON c3.k = w.k AND c3.u = w.u AND c3.v = w.v AND c3.w = w.w, total),
+d AS (SELECT k, sum(s) AS s, count(*) FILTER (seen) AS seen FROM s GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(s, 4) AS log_score, round(s / len(words), 6) AS mean_log_score, coalesce(seen, 0)::BIGINT AS n_seen
+FROM t LEFT JOIN d USING (k)
 """
 
 

@@ -5,12 +5,47 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, by which the contracts separate words (Java, Python and DuckDB read it alike).
 SPACE = r"[\x20\x09-\x0D]+"
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class WordHashes:
+    """64-bit hashes of words, kept while they fit."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.known = most, {}
+
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
+        """Words parted by ASCII white space, A-Z in lower case."""
+        return (text or "").encode().translate(LOWER).split()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, digest = self.known, xxhash.xxh64_intdigest
+        for w in set(words).difference(known):
+            known[w] = digest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def mixed_runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n hashes, another one for each n."""
+    last = max(len(hashes) - n + 1, 0)
+    x = hashes[:last] + np.uint64(n)
+    for k in range(1, n):
+        x = (x ^ (x >> np.uint64(29))) * MIX[0] + hashes[k:last + k]
+    x = (x ^ (x >> np.uint64(32))) * MIX[1]
+    return x ^ (x >> np.uint64(29))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
