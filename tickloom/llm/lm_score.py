@@ -164,8 +164,8 @@ def summed(table: DataFrame, found: DataFrame, order: int, part_bits: int, whole
         alone = ~done
         score[alone] = back[alone] + np.where(count[0][alone] > 0, np.log(np.maximum(count[0][alone], 1)), log_alpha) - np.log(rest[alone])
         full = full if order > 1 else count[0] > 0
-        sums, seen = (np.bincount(doc, x, len(lengths)) for x in (score, full))
-        return pa.table({"key": pa.array(block["keys"], pa.int64()), "n_words": pa.array(lengths), "log_score": pa.array(sums, mask=lengths == 0), "seen": pa.array(seen.astype(np.int64))})
+        sums, seen = (np.bincount(doc, x, len(lengths)).astype(float) for x in (score, full))
+        return pa.table({"key": pa.array(block["keys"], pa.int64()), "n_words": pa.array(lengths), "log_score": pa.array(sums, pa.float64(), mask=lengths == 0, from_pandas=False), "seen": pa.array(seen.astype(np.int64))})
 
     return table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "key long, n_words long, log_score double, seen long")
 
