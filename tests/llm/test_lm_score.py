@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tickloom.llm import lm_score
@@ -52,6 +53,12 @@ def test_scores_match_plain_model(spark, more):
     same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), texts, **more)
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for values in (np.sort(rng.integers(0, 1 << 40, 50, dtype=np.uint64)), np.sort(rng.integers(0, 1 << 20, 500, dtype=np.uint64)), np.empty(0, np.uint64)):
+        assert (lm_score._sums(lm_score._gaps(values)) == values).all() and (lm_score._unpack(lm_score._pack(values)) == values).all()
+
+
 def test_many_words(spark):
     """70,000 words beyond those of the given texts: nothing is closed, and unseen words back off."""
     texts = [" ".join(f"w{i}" for i in range(k, 70_000, 7)) for k in range(7)] + ["w1 w8 w15 w1 w8", "w9999999 w1"]

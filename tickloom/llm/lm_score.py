@@ -91,13 +91,18 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _gaps(values: np.ndarray) -> bytes:
-    """Ascending numbers as differences, in four bytes each where they fit; the first byte tells."""
+    """Ascending numbers as differences of four bytes; the few that need more have their place and high half in front."""
     d = np.diff(values, prepend=np.uint64(0))
-    return b"\4" + d.astype("<u4").tobytes() if not len(d) or d.max() < 1 << 32 else b"\x08" + d.astype("<u8").tobytes()
+    high = np.flatnonzero(d >> np.uint64(32))
+    return b"".join(x.astype("<u4").tobytes() for x in (np.array([len(high)]), high, d[high] >> np.uint64(32), d & np.uint64(0xFFFFFFFF)))
 
 
 def _sums(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4" if data[0] == 4 else "<u8", offset=1), dtype=np.uint64)
+    words = np.frombuffer(data, "<u4")
+    n = int(words[0])
+    d = words[1 + 2 * n:].astype(np.uint64)
+    d[words[1:1 + n]] |= words[1 + n:1 + 2 * n].astype(np.uint64) << np.uint64(32)
+    return np.cumsum(d, dtype=np.uint64)
 
 
 def entries(table: DataFrame, order: int, part_bits: int) -> DataFrame:
