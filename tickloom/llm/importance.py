@@ -98,11 +98,15 @@ def bucketed(docs: DataFrame, features, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(*features.value)
         for batch in batches:
-            words = [split(t.as_py()) for t in batch.column(1)]
-            each = [made.of(w) for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([len(b) for b in each], pa.int64()),
-                 pa.array([b.astype(kind).tobytes() for b in each], pa.binary())], names=["key", "n_words", "n_features", "buckets"])
+            n_words, n_features, each = [], [], []
+            for t in batch.column(1):  # one text's words at a time
+                words = split(t.as_py())
+                found = made.of(words)
+                n_words.append(len(words))
+                n_features.append(len(found))
+                each.append(found.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), pa.array(each, pa.binary())],
+                                             names=["key", "n_words", "n_features", "buckets"])
 
     return docs.mapInArrow(run, "key long, n_words long, n_features long, buckets binary")
 
