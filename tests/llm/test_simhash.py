@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tickloom.llm import simhash
+from tickloom.llm import near_copies, simhash
 from tickloom.llm.queries import op2_simhash
 
 
@@ -87,7 +87,7 @@ def odd(spark):
 def test_defined_cases(odd):
     got = sorted((r.key or -1, r.component) for r in simhash.near_duplicates(odd).collect())
     assert got == [(-1, 3), (3, 3), (3, 3), (5, 3), (8, 8), (9, 8), (11, 11), (12, 12)]
-    kept = simhash.keep_one(odd)
+    kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 8, 11, 12]
 

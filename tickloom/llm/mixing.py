@@ -1,11 +1,16 @@
 """Mixing by soft membership: document rates whose expected domain token totals meet target weights.
 
 A classifier trained on a labelled table gives each document a posterior over domains. A document of t tokens and posterior
-p, kept at rate r, is expected to add r * t * p[k] tokens to domain k. Of all nonnegative rates whose totals meet
-the targets, those nearest to 1 are taken, by least squares per token. They have the form max(0, 1 + p . m) with one number m[k] per
-domain, found by Newton's method with a line search: a step needs from the documents only sums over domains and pairs of domains, so it is one
-aggregation over (tokens, posterior). Rates aren't stored. Steps go on until every domain is within TOLERANCE of its target, as a
-share of that target; targets that no rates meet, as where a domain has no documents, are met as nearly as can be, and a warning names the gaps.
+p, kept at rate r, is expected to add r * t * p[k] tokens to domain k. Target weights are shares of the output. The domain of the largest weight
+is to be kept whole, which gives the output's size; a domain that has less than its share of it gives SCARCE of what it has, and
+the others' shares grow in proportion, so a domain without documents gives its weight to the others.
+
+Rates lie in [0, MOST_RATE] and start at 1. They are fitted by projected gradient on the squared gaps of the domain totals: a step adds
+to each rate the same combination of its document's posterior and cuts it to the range. The combination is the gap divided by the domain
+curvature, the sums of t * p[k] * p[l] over documents that can still move, so that a step would close the gaps if no rate met a bound; a step that doesn't
+shrink them is halved. A step needs from the documents only sums over domains and pairs of domains: one aggregation over (tokens, posterior), with
+rates replayed from the steps so far, a few numbers each. Where bounds leave a gap, the output is made SMALLER, down to LEAST_OUTPUT, and the fit goes on. It ends when every domain is within TOLERANCE of its
+target, as a share of it. Gaps that remain are returned, and `summary` has the totals, gaps and repeats as rows.
 
 The classifier is multinomial logistic regression on hashed words (Spark's own), fitted on at most MOST_LABELLED
 labelled documents, those of smallest id hash. All else, totals included, covers every document.
@@ -19,8 +24,12 @@ empty result; columns with the names of added ones are replaced.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -31,11 +40,13 @@ from tickloom.llm.shared import SPACE, hash_sample, saved
 
 #: Bound of the labelled sample; columns of the hashed words.
 MOST_LABELLED, BUCKETS = 20_000, 1 << 14
-#: Relative gap of a domain; weight that keeps m finite where targets can't be met; aggregations at most, over ten times those of feasible targets.
-TOLERANCE, RIDGE, MOST_STEPS = 1e-4, 1e-8, 100
+#: Relative gap of a domain; aggregations at most, ten times what given tables take; rates at most, 1 for no repeats.
+TOLERANCE, MOST_STEPS, MOST_RATE = 1e-3, 120, 1.0
+#: Share of its tokens that a scarce domain gives; factor of the output's size where bounds leave a gap, and the least size it comes to.
+SCARCE, SMALLER, LEAST_OUTPUT = 0.9, 0.95, 0.5
 DOMAINS = ("clean", "low", "toxic")
-#: Target totals as shares of all tokens of the corpus.
-TARGETS = {"clean": 0.95, "low": 0.02, "toxic": 0.01}
+#: Target weights as shares of the output's tokens.
+TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
@@ -76,51 +87,114 @@ def posteriors(docs: DataFrame, labelled: DataFrame, text: str = "text", key: st
     return scored.withColumn("_posterior", full).drop("_features", "_p", "_best", "_raw")
 
 
-def rate(m: list[float]) -> Column:
-    """The rate of a row."""
-    return F.greatest(F.lit(0.0), sum((F.get("_posterior", k) * x for k, x in enumerate(m)), F.lit(1.0)))
+def replayed(posterior: np.ndarray, steps: list[list[float]], most: float) -> np.ndarray:
+    """Rates after the steps."""
+    r = np.ones(len(posterior))
+    for m in steps:
+        r = np.clip(r + posterior @ np.array(m), 0.0, most)
+    return r
+
+
+@dataclass(frozen=True)
+class Fit:
+    """steps: a number a domain each; targets and totals in tokens."""
 
+    steps: list[list[float]]
+    targets: list[float]
+    totals: list[float]
 
-def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[float], list[float]]:
-    """The numbers m of all domains, and the domain totals, as shares of all tokens, that they give.
+    def gaps(self) -> list[float]:
+        return [abs(a - b) / b if b else 0.0 for a, b in zip(self.totals, self.targets)]
 
-    members: _tokens and _posterior. Totals and targets are shares, so m suits any size of the corpus."""
-    n, want = len(targets), np.array(targets, float)
-    scale = np.maximum(want, 1e-3)
-    whole = members.agg(F.sum("_tokens")).first()[0] or 0
-    if not whole:
-        return [0.0] * n, [0.0] * n
-    p, t, r = [F.get("_posterior", k) for k in range(n)], F.col("_tokens"), F.col("_rate")
+
+def fit_rates(members: DataFrame, weights: list[float], most: float = MOST_RATE) -> Fit:
+    """Steps of rates whose domain totals meet the weights. members: _tokens and _posterior."""
+    n = len(weights)
     over = [(i, j) for i in range(n) for j in range(i + 1)]
 
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """The dual function, its slope, the totals, and the curvature."""
-        terms = [r * r * t, *(r * t * x for x in p), *(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0) for i, j in over)]
-        row = members.withColumn("_rate", rate(m.tolist())).agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(terms)]).first()
-        got = np.array([x or 0.0 for x in row]) / whole
+    def sums(steps: list[list[float]], way: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals, and the curvature over documents that can move along `way`."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(n + len(over))
+            for batch in batches:
+                if len(batch):
+                    t, p = batch.column(0).to_numpy(zero_copy_only=False).astype(float), np.array(batch.column(1).flatten()).reshape(len(batch), n)
+                    r = replayed(p, steps, most)
+                    move = p @ way if way is not None else np.zeros(len(p))
+                    free = ((r > 0) | (move > 0)) & ((r < most) | (move < 0))
+                    out[:n] += (r * t) @ p
+                    out[n:] += [((t * free) * p[:, i]) @ p[:, j] for i, j in over]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[f"s{k}" for k in range(len(out))])
+
+        names = [f"s{k}" for k in range(n + len(over))]
+        rows = members.select("_tokens", "_posterior").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+        got = np.array([x or 0.0 for x in rows.agg(*[F.sum(c).alias(c) for c in names]).first()])
         curve = np.zeros((n, n))
-        for (i, j), x in zip(over, got[n + 1:]):
+        for (i, j), x in zip(over, got[n:]):
             curve[i, j] = curve[j, i] = x
-        return float(got[0] / 2 - want @ m + RIDGE * m @ m / 2), got[1:n + 1] - want + RIDGE * m, got[1:n + 1], curve + RIDGE * np.eye(n)
-
-    m, steps = np.zeros(n), 1
-    value, slope, totals, curve = at(m)
-    while max(abs(totals - want) / scale) > TOLERANCE and max(abs(slope)) > 1e-10 and steps < MOST_STEPS:
-        way, length = -np.linalg.solve(curve, slope), 1.0
-        while True:
-            new = np.array([float(f"{x:.12g}") for x in m + length * way])
-            after = at(new)
-            steps += 1
-            if after[0] <= value + 1e-4 * length * (way @ slope) or length < 1e-6 or steps >= MOST_STEPS:
+        return got[:n], curve
+
+    have, curve = sums([], None)
+    if not have.sum():
+        return Fit([], [0.0] * n, [0.0] * n)
+    share = np.array(weights, float) / sum(weights)
+    main = int(np.argmax(np.where(have > 0, share, -1)))
+    aim = np.minimum(share * have[main] / share[main], np.where(np.arange(n) == main, 1.0, SCARCE) * have)
+    steps: list[list[float]] = []
+    totals, used, since, size = have, 1, 0, 1.0
+
+    def far(x: np.ndarray) -> float:
+        return float(np.max(np.abs(x - aim)[aim > 0] / aim[aim > 0]))
+
+    while far(totals) > TOLERANCE and used < MOST_STEPS:
+        way = (aim - totals) / np.maximum(aim, 1e-12 * have.sum())
+        _, curve = sums(steps, way)
+        used += 1
+        whole, length = np.linalg.lstsq(curve + 1e-9 * np.trace(curve) * np.eye(n), aim - totals, rcond=None)[0], 1.0
+        after, best = totals, far(totals)
+        while used < MOST_STEPS:
+            step = [float(f"{x:.12g}") for x in length * whole]
+            after, _ = sums([*steps, step], None)
+            used += 1
+            if far(after) < 0.999 * best or length < 0.1:
                 break
             length /= 2
-        m, (value, slope, totals, curve) = new, after
-    if max(abs(totals - want) / scale) > TOLERANCE:
-        logging.getLogger(__name__).warning("targets %s are not met: totals %s after %d steps", targets, totals.tolist(), steps)
-    return m.tolist(), totals.tolist()
+        if far(after) < best:
+            steps, totals, since = [*steps, step], after, since + 1
+        if far(after) >= 0.9 * best or since > 6:  # bounds are in the way
+            if size <= LEAST_OUTPUT:
+                break
+            aim, size, since = aim * SMALLER, size * SMALLER, 0
+    fit = Fit(steps, aim.tolist(), totals.tolist())
+    if max(fit.gaps()) > TOLERANCE:
+        logging.getLogger(__name__).warning("weights %s are not met: totals %s of %s after %d aggregations", weights, fit.totals, fit.targets, used)
+    return fit
+
+
+def with_rate(members: DataFrame, fit: Fit, most: float = MOST_RATE) -> DataFrame:
+    """members with `rate`."""
+    steps = fit.steps
+
+    @F.pandas_udf("double")
+    def rate(posterior: pd.Series) -> pd.Series:
+        return pd.Series(replayed(np.stack(posterior.to_numpy()), steps, most) if len(posterior) else np.empty(0))
+
+    return members.withColumn("rate", rate("_posterior"))
+
+
+def summary(mixed_docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(domain, weight, share, tokens_before, tokens_after, repeated): what a mix came to; repeated counts documents taken twice or more."""
+    sums = [F.sum(x).alias(n) for k in range(len(weights)) for n, x in (
+        (f"b{k}", F.col("tokens") * F.get("posterior", k)), (f"a{k}", F.col("tokens") * F.col("rate") * F.get("posterior", k)))]
+    one = mixed_docs.agg(F.sum(F.col("tokens") * F.col("rate")).alias("whole"), F.count_if(F.col("copies") > 1).alias("repeated"), *sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(float(w)).alias("weight"), F.try_divide(F.col(f"a{k}"), F.col("whole")).alias("share"),
+                                        F.col(f"b{k}").alias("tokens_before"), F.col(f"a{k}").alias("tokens_after"), F.col("repeated")) for k, (d, w) in enumerate(weights.items())]))
+    return one.select(rows.alias("r")).select("r.*")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", keep_text: bool = True,
+          most_rate: float = MOST_RATE) -> DataFrame:
     """docs with tokens, posterior, rate and copies, the number of times a document is to be taken.
 
     copies is the rate rounded up or down by a draw from the id's hash, so that its expectation is the rate and a rerun
@@ -128,9 +202,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     docs = docs.drop(*[c for c in ("tokens", "posterior", "rate", "copies") if c not in (key, text)])
     df = posteriors(docs, labelled, text, key)
     df = saved(df if keep_text else df.drop(text), "members")
-    m, _ = fit_rates(df, [targets[d] for d in DOMAINS])
+    fit = fit_rates(df, [targets[d] for d in DOMAINS], most_rate)
     draw = (F.pmod(F.xxhash64(F.lit("mixing"), F.col(key)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    return df.withColumn("rate", rate(m)).withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).withColumnsRenamed(
+    return with_rate(df, fit, most_rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).withColumnsRenamed(
         {"_tokens": "tokens", "_posterior": "posterior"})
 
 

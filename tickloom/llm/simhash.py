@@ -183,12 +183,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     best = placed.groupBy("root").agg(F.min("least").alias("component"))
     of_fp = saved(placed.join(best, "root").select("fp", "component"), "classes", files)
     return own.join(of_fp, "fp").select("key", "fp", "component")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group, that of the smallest key; a key that repeats stays once.
-
-    Rows without a key can't be told apart from their copies and stay."""
-    gone = near_duplicates(docs, key, text).where("key <> component").select(F.col("key").alias("_key")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("_key"), "left_anti")
-    return named.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
