@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, pii, quality_ledger, sentencepiece_codec, simhash
+from tickloom.llm import mixing, near_copies, pii, quality_ledger, sentencepiece_codec
 from tickloom.llm.shared import saved, table
 
 POLICY = "v1"
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, that of the smallest id: five-word shingles, similarity 0.8."""
+    return near_copies.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
