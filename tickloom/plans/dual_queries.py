@@ -51,11 +51,11 @@ def theme_list_strength(spark, sf_dir):
   SELECT ts_code, list_type, round(pre_audit,4) AS pre_audit, strength AS theme_strength_score, CAST(row_number() OVER (ORDER BY list_type='technical', pre_audit DESC, ts_code) AS INTEGER) AS position
   FROM (
     WITH th AS (SELECT * FROM pre JOIN strong USING (ts_code) QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=30),
-    pool AS (SELECT ts_code FROM pre WHERE consolidation_score>=20 QUALIFY row_number() OVER (ORDER BY composite_score DESC, ts_code)<=20)
+    pool AS (SELECT ts_code FROM pre WHERE consolidation_score>=20 QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=20)
     SELECT ts_code, pre_audit, strength, 'both' AS list_type FROM th WHERE ts_code IN (SELECT ts_code FROM th INTERSECT SELECT ts_code FROM pool)
     UNION ALL SELECT ts_code, pre_audit, strength, 'theme_driven' FROM th WHERE ts_code IN (SELECT ts_code FROM th EXCEPT SELECT ts_code FROM pool)
     UNION ALL SELECT ts_code, pre_audit, 0.0, 'technical' FROM (
-      SELECT * FROM pre WHERE consolidation_score>=20 AND ts_code NOT IN (SELECT ts_code FROM th) QUALIFY row_number() OVER (ORDER BY composite_score DESC, ts_code)<=20))""")
+      SELECT * FROM pre WHERE consolidation_score>=20 AND ts_code NOT IN (SELECT ts_code FROM th) QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=20))""")
 def dual_list(spark, sf_dir):
     themes = spark.createDataFrame(_THEME_ROWS, "theme string, status string, capital_signal boolean")
     out = U.dual_list(_universe(spark, sf_dir), _matched(spark, sf_dir), themes, 2)
