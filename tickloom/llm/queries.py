@@ -39,8 +39,8 @@ d AS (
 ds AS (SELECT k, doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 hits AS (SELECT k, doc_id, pos, ts.license, ts.sh, m, s FROM ds JOIN ts USING (sh) JOIN tm USING (license)),
 placed AS (
-  SELECT *, pos // s AS win FROM hits
-  UNION ALL SELECT *, pos // s - 1 AS win FROM hits WHERE pos // s > 0 AND pos % s <> s - 1),
+  SELECT *, CASE WHEN m > 64 THEN -1 ELSE pos // s END AS win FROM hits
+  UNION ALL SELECT *, pos // s - 1 AS win FROM hits WHERE m <= 64 AND pos // s > 0 AND pos % s <> s - 1),
 held AS (SELECT k, doc_id, license, win, count(DISTINCT sh) / any_value(m) AS share FROM placed GROUP BY k, doc_id, license, win)
 SELECT doc_id, license, round(max(share), 6) AS containment FROM held WHERE share >= 0.8 GROUP BY doc_id, license
 """
