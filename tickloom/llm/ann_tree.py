@@ -10,8 +10,8 @@ Leaves are cut into blocks of about BLOCK rows by the id's hash, so that a leaf
 block meets its queries in batches of bounded size. Candidates are scored again on the original vectors in double precision, by
 the same sum for equal vectors, so that ties go to the smaller id.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
-rows without an id; repeated ids are rows of their own, but none of a query's own id is its candidate; fewer candidates
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; shorter vectors
+are filled up with zeros; very small and very large ones are scaled for the tree, and scores beyond the range of doubles are infinite or not a number, which come last; repeated ids are rows of their own, but none of a query's own id is its candidate; fewer candidates
 than asked for are all returned; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,13 +35,23 @@ CALIBRATION, TARGET, SEED = 128, 0.96, 11
 
 
 def sound(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v, norm2): the rows that take part, in double precision."""
+    """(id, v): the rows that take part, in double precision and of one length, shorter ones filled up with zeros."""
     v = F.col(vector).cast("array<double>")
     own = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    own = own.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    own = own.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).where("norm2 > 0")
-    width = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.where(F.size("v") == (width.n if width else 0))
+    own = own.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
+    width = own.agg(F.max(F.size("v"))).first()[0] or 0
+    return own.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
+
+
+def scaled(rows: np.ndarray, largest: float) -> np.ndarray:
+    """Rows in units of the largest component of all vectors, so that no square overflows; for the tree only, never for scores."""
+    return np.ldexp(rows, -int(np.frexp(largest)[1]))
+
+
+def pointed(rows: np.ndarray, norm: float) -> np.ndarray:
+    """Queries of one norm, as only their direction tells which vectors are nearest; however small or large they are."""
+    unit = rows / np.abs(rows).max(1, keepdims=True)
+    return unit * (norm / np.sqrt((unit**2).sum(1, keepdims=True)))
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -116,16 +126,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, row position, score): the k best of rows for each query, scored exactly, ties to smaller ids."""
-    rough = queries @ rows.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(rough), rough, 0)).max(1)) if rough.size else np.zeros(len(queries))
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = queries @ rows.T
+    slack = 1e-9 * np.abs(queries).max(1) * np.abs(rows).max() * rows.shape[1] if rough.size else np.zeros(len(queries))
     out = []
     for i in range(len(queries)):
-        r = rough[i]
-        able = np.flatnonzero(r > -np.inf)
-        if len(able) > k:
+        r, able = rough[i], np.flatnonzero(ids != query_ids[i])
+        if len(able) > k and np.isfinite(r).all() and np.isfinite(slack[i]):  # sums beyond the range of numbers are all scored
             able = able[r[able] >= np.partition(r[able], -k)[-k] - slack[i]]
-        exact = (queries[i] * rows[able]).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (queries[i] * rows[able]).sum(1)
         first = np.lexsort((ids[able], -exact))[:k]
         out.append((np.full(len(first), i), able[first], exact[first]))
     return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
@@ -133,7 +143,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query; partial results are cut before the window by Spark's own group limit."""
-    rank = F.expr("row_number() OVER (PARTITION BY query_id, query_row ORDER BY score DESC, id)")
+    rank = F.expr("row_number() OVER (PARTITION BY query_id, query_row ORDER BY isnan(score), score DESC, id)")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -141,16 +151,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     """(query_id, rank, id, score) of the k nearest found for every row for which is_query holds of its id."""
     spark = vectors.sparkSession
     own = saved(sound(vectors, key, vector), "vectors")
-    most2 = own.agg(F.max("norm2")).first()[0]
-    if most2 is None:
+    largest = own.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    if largest is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float((scaled(_matrix(b.column(0)), largest) ** 2).sum(1).max()) if len(b) else 0.0])], names=["norm2"])
+
+    most2 = own.select("v").mapInArrow(norms, "norm2 double").agg(F.max("norm2")).first()[0]
     sample = hash_sample(own, "id", SAMPLE).select("v").toPandas()
-    tree = build_tree(raised(np.stack(sample["v"].to_numpy()).astype(float), most2))
+    tree = build_tree(raised(scaled(np.stack(sample["v"].to_numpy()).astype(float), largest), most2))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = leaf_of(shared.value, raised(_matrix(b.column(1)), most2)) if len(b) else np.empty(0, np.int32)
+            leaf = leaf_of(shared.value, raised(scaled(_matrix(b.column(1)), largest), most2)) if len(b) else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], names=["id", "v", "leaf"])
 
     placed = saved(own.select("id", "v").mapInArrow(place, "id long, v array<double>, leaf int"), "leaves")
@@ -160,12 +177,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     trial = hash_sample(queries, "id", CALIBRATION).toPandas()
     if not len(trial):
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    visits = _calibrated(placed, trial, tree, most2, k, target)
+    visits = _calibrated(placed, trial, tree, most2**0.5, k, target)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = _matrix(b.column(1))
-            bins = [best_bins(shared.value, x, visits) for x in np.column_stack((q, np.zeros(len(q))))] if len(b) else []
+            bins = [best_bins(shared.value, x, visits) for x in np.column_stack((pointed(q, most2**0.5), np.zeros(len(q))))] if len(b) else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bins, pa.list_(pa.int32()))], names=["id", "v", "row", "bins"])
 
     # a visit stands for all blocks of a leaf; its queries are dealt into batches, and a block is repeated for each batch
@@ -193,7 +210,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
-def _calibrated(placed: DataFrame, trial: pd.DataFrame, tree: dict, most2: float, k: int, target: float) -> int:
+def _calibrated(placed: DataFrame, trial: pd.DataFrame, tree: dict, norm: float, k: int, target: float) -> int:
     """Leaf visits whose recall over the trial queries reaches the target: the exact neighbours of a bounded set of queries are
     found over all vectors, each with its leaf, and visits are doubled, then narrowed, until enough of them are met."""
     q, qid = np.stack(trial["v"].to_numpy()), trial["id"].to_numpy()
@@ -210,7 +227,7 @@ def _calibrated(placed: DataFrame, trial: pd.DataFrame, tree: dict, most2: float
 
     found = placed.mapInArrow(exact, "query_row long, query_id long, id long, score double, leaf int")
     truth = _ranked(found, k).select("query_row", "leaf").toPandas()  # at most CALIBRATION * k rows
-    order = [best_bins(tree, np.append(x, 0.0), tree["leaves"]) for x in q]
+    order = [best_bins(tree, np.append(x, 0.0), tree["leaves"]) for x in pointed(q, norm)]
     turn = [{leaf: n for n, leaf in enumerate(o)} for o in order]
     needed = np.sort([turn[r][leaf] + 1 for r, leaf in zip(truth["query_row"], truth["leaf"])])
     visits = 1

@@ -7,8 +7,8 @@ radius of 2; both sides of a pair within the radius emit the variant in the midd
 P = P(Binomial(bits, p) <= 2), and in one of all with 1 - (1 - P) ** tables. `bits` follows the number of texts, so that a bucket
 holds few strangers, and `tables` follows so that RECALL is reached at the least similarity; nearer copies are met more surely.
 
-Variants are shuffled by bucket and sorted by text; each is paired with its predecessor and the first of its bucket, so a
-crowd of copies costs two rows each, not pairs. Another 64-bit fingerprint drops pairs that differ in over FAR bits. Of the rest, each text is
+Variants are shuffled by bucket and sorted by text; each is paired with the first text of its bucket that differs in at most FAR bits of another
+64-bit fingerprint, so a crowd of copies costs a row each, not pairs, and strangers are no pairs. Of the rest, each text is
 verified with its nearest partner first, by exact Jaccard on whole texts; then the pairs between groups found so far are.
 
 Defined cases: texts of equal fingerprints in all tables are one; null and empty texts are copies of each other; a repeated id is a row of its own text; rows without an
@@ -96,26 +96,33 @@ def variants(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
 
 
 def partners(spread: DataFrame, far: int) -> DataFrame:
-    """(a, b, apart): texts beside each other in a bucket, or with its first, and their distance in the other fingerprint."""
+    """(a, b, apart): each text of a bucket with the first text before it that it is near to and that is near to none before, and their distance.
+
+    Such firsts are few: one for each group of near texts and each stranger in a bucket. A group is paired with its first, so it costs its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = last = None  # of the bucket at hand: (bucket, node, fp)
+        heads = None  # of the bucket at hand, in order
         for batch in batches:
             if not len(batch):
                 continue
             bucket, node, fp = (c.to_numpy() for c in batch.columns)
-            if last is not None:
-                bucket, node, fp = (np.concatenate(([h, x], c)) for h, x, c in zip(head, last, (bucket, node, fp)))
-            place = np.arange(len(bucket))
-            new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-            first = np.maximum.accumulate(np.where(new, place, 0))
-            head, last = (bucket[first[-1]], node[first[-1]], fp[first[-1]]), (bucket[-1], node[-1], fp[-1])
-            inside = place[~new]
-            a, b = np.concatenate((inside - 1, first[inside])), np.concatenate((inside, inside))
-            apart = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).astype(np.int64)
-            ok = (node[a] != node[b]) & (apart <= far)
-            x, y = np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]
-            rows = np.unique(np.stack((x, y, apart[ok])), axis=1)
+            if heads is not None:
+                bucket, node, fp = (np.concatenate((h, c)) for h, c in zip(heads, (bucket, node, fp)))
+            last, found, rows = bucket[-1], [], np.arange(len(bucket))
+            firsts = []
+            while len(rows):
+                new = np.concatenate(([True], bucket[rows][1:] != bucket[rows][:-1]))
+                head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+                apart = np.bitwise_count((fp[rows] ^ fp[head]).view(np.uint64)).astype(np.int64)
+                near = ~new & (apart <= far)
+                found.append(np.stack((node[head[near]], node[rows[near]], apart[near])))
+                firsts.append(rows[new & (bucket[rows] == last)])
+                rows = rows[~near & ~new]
+            keep = np.concatenate(firsts)
+            heads = bucket[keep], node[keep], fp[keep]
+            a, b, apart = np.concatenate(found, axis=1)
+            ok = a != b
+            rows = np.unique(np.stack((np.minimum(a, b)[ok], np.maximum(a, b)[ok], apart[ok])), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["a", "b", "apart"])
 
     rows = spread.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long, apart long")
@@ -145,8 +152,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     nodes = saved(own.groupBy("node").agg(F.min("addr").alias("addr"), F.first("fps").alias("fps")), "nodes")
     pairs = saved(partners(variants(nodes, bits, tables), FAR), "pairs")
     address = nodes.select("node", "addr")
-    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("of"))
-    nearest = ends.groupBy("of").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    nearest, other = (pairs.groupBy(x).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b") for x in "ab")
+    nearest = saved(nearest.union(other).distinct(), "nearest")
     found = similar(docs, address, nearest, shingle, similarity)
     roots = components(found)
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
