@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tickloom.operators import ranking as R
+from tickloom.sources.workspace import saved
 
 
 def guarded_corr(x, y) -> Column:
@@ -32,8 +33,7 @@ def ic_by_date(df: DataFrame, factors: list[str], returns: list[str], bound: int
     # a pair with one side missing loses both, so groups without any valid pair still report n = 0
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     p = p.select(*keys, F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
-    ranked = R.average_rank(p, keys, "x", "_rx", bound, plain_rows=plain_rows)
-    ranked = R.average_rank(ranked, keys, "y", "_ry", bound, plain_rows=plain_rows)
+    ranked = R.average_ranks(p, keys, {"x": "_rx", "y": "_ry"}, bound, plain_rows=plain_rows)
     return ranked.groupBy(*keys).agg(
         F.count("x").alias("n"), guarded_corr("x", "y").alias("ic"), guarded_corr("_rx", "_ry").alias("rank_ic"),
         F.avg("y").alias("mean_return"))
@@ -63,6 +63,7 @@ def quantile_returns(df: DataFrame, factors: list[str], returns: list[str], quan
         r = r.select("*", F.count(F.lit(1)).over(w).alias("_n"), F.max("_dr").over(w).alias("_u"))
         r = r.withColumn("_q", F.least(F.lit(quantiles), "_u", "_n")).where("_q >= 2")
         return r.withColumn("quantile", _bucket()).groupBy(*group).agg(*basics, F.median("y").alias("median_return"))
+    v = saved(v, "pairs")
     size = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("x").alias("_u"))
     size = size.withColumn("_q", F.least(F.lit(quantiles).cast("long"), "_u", "_n")).where("_q >= 2")
     r = R.row_rank(v, keys, "x", "ts_code", "_r", bound, plain_rows=plain_rows).join(size, keys)
@@ -129,15 +130,13 @@ def panel_ic(panel: DataFrame, features: list[str], returns: dict[int, str], bou
 
     Up to `plain_rows` instruments every row moves once, by date: return ranks, the
     unpivot of the features, their ranks and the daily aggregation stay in that stage.
-    Larger cross-sections are ranked by value ranges instead.
+    Larger cross-sections are ranked by running totals over distinct values, from one written copy of the complete rows.
     """
     ys = list(returns.values())
     cols = [*features, *ys]
     # plain references: renaming each column would multiply the optimizer's constraint set
     full = panel.select("trade_date", *cols).dropna("any", subset=cols)
-    ranked = full
-    for y in ys:
-        ranked = R.average_rank(ranked, ["trade_date"], y, f"_r_{y}", bound, plain_rows=plain_rows)
+    ranked = R.average_ranks(full, ["trade_date"], {y: f"_r_{y}" for y in ys}, bound, plain_rows=plain_rows)
     ry = [f"_r_{y}" for y in ys]
     item = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))
     long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
@@ -188,6 +187,8 @@ def decile_metrics(df: DataFrame, group: list[str], score: str, ret: str, bound:
                    plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
     """Hit rate, median, spread against the rest and tenth percentile of the top score decile."""
     v = df.where(F.col(score).isNotNull() & F.col(ret).isNotNull())
+    if bound > plain_rows:
+        v = saved(v, "scored")
     cut = R.percentiles(v, group, score, {"cutoff": 0.9}, bound, plain_rows)
     j = v.join(cut, group)
     top = j.where(F.col(score) >= F.col("cutoff"))

@@ -2,10 +2,10 @@
 
 A cross-section is one group (a date, or the whole market) with one row per
 instrument, so its size is bounded by the instrument count. Up to
-`PLAIN_ROWS` instruments a window per group is the cheapest plan. Beyond it a
-group is split by value ranges: cut points per group come from a sketch, ranks are
-counted inside each range and shifted by the exact number of rows in lower ranges.
-The sketch only balances the ranges; the ranks are exact in both plans.
+`PLAIN_ROWS` instruments a window per group is the cheapest plan. Beyond it ranks are
+running totals over the distinct values and their counts (operators/running.py): the
+input is written and read once for all columns that are ranked, no group meets in one task,
+and each rank starts a new lineage, so chained ranks plan in seconds. Both plans give the same ranks.
 """
 
 from __future__ import annotations
@@ -14,70 +14,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tickloom.operators.running import numbered, running
+from tickloom.sources.workspace import saved
+
 PLAIN_ROWS = 1_000_000
-RANGES = 64
-
-
-def code_order(col: str) -> Column:
-    """A long that orders like the first seven bytes of a code in UTF-8."""
-    head = F.substring(F.encode(F.col(col), "UTF-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
-
-
-def _with_range(df: DataFrame, group: list[str], value: str, tie: str | None) -> DataFrame:
-    """Adds `_rng`, the value range of a row inside its group, lower values first."""
-    probs = ", ".join(str(i / RANGES) for i in range(1, RANGES))
-    cuts = df.where(F.col(value).isNotNull()).groupBy(*group).agg(
-        F.array_distinct(F.expr(f"percentile_approx(cast(`{value}` as double), array({probs}), 1000)")).alias("_cuts"))
-    out = df.join(cuts, group, "left")
-    v = F.col(value).cast("double")
-    out = out.withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < v)) * 2
-                         + F.when(F.exists("_cuts", lambda c: c == v), 1).otherwise(0)).drop("_cuts")
-    if tie is None:
-        return out.withColumn("_sub", F.lit(0))
-    # rows that equal a cut may be many (a binary factor): split those by the tie column
-    out = out.withColumn("_key", code_order(tie))
-    sub = out.groupBy(*group, "_rng").agg(
-        F.array_distinct(F.expr(f"percentile_approx(`_key`, array({probs}), 1000)")).alias("_sub_cuts"))
-    single = (F.col("_rng") % 2) == 1
-    return (
-        out.join(sub, [*group, "_rng"], "left")
-        .withColumn("_sub", F.when(single, F.size(F.filter("_sub_cuts", lambda c: c < F.col("_key")))).otherwise(0))
-        .drop("_sub_cuts", "_key")
-    )
-
-
-def _offsets(split: DataFrame, group: list[str]) -> DataFrame:
-    """Rows in lower ranges of the group; at most 2*RANGES*RANGES rows per group."""
-    size = split.groupBy(*group, "_rng", "_sub").agg(F.count(F.lit(1)).alias("_rows"))
-    w = Window.partitionBy(*group).orderBy("_rng", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    return size.select(*group, "_rng", "_sub", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_off"))
+
+
+def placed(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """(group, _name, _v, _ties, _upto, _n): each distinct value of each column, how many rows have it, how many have it or a lower one, and
+    how many have any. df is read once for all columns; a value that many rows share is one row here."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_v")) for v in values]))
+    counts = df.select(*group, each.alias("_e")).select(*group, "_e.*").where("_v IS NOT NULL").groupBy(*group, "_name", "_v").agg(F.count(F.lit(1)).alias("_ties"))
+    upto = saved(running(counts, [*group, "_name"], ["_v"], {"_upto": F.col("_ties")}), "placed")
+    return upto.join(upto.groupBy(*group, "_name").agg(F.max("_upto").alias("_n")), [*group, "_name"])
+
+
+def _attach(df: DataFrame, group: list[str], places: DataFrame, values: dict[str, str], made: Column) -> DataFrame:
+    """df with made, an expression over a place, for each column of values under its new name; null values have none."""
+    out = df
+    for v, name in values.items():
+        own = places.where(F.col("_name") == v).select(*group, F.col("_v").cast(df.schema[v].dataType).alias(v), made.alias(name))
+        out = out.join(own, [*group, v], "left")
+    return out.select(*df.columns, *values.values())
+
+
+def average_ranks(df: DataFrame, group: list[str], values: dict[str, str], bound: int, pct: bool = False, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """Average-tie ranks of non-null values in a group, 1-based, for several columns; `pct` divides by the number of them."""
+    if bound <= plain_rows:
+        for value, out in values.items():
+            v = F.col(value)
+            # rows below plus one, and rows not above, from one sorted window
+            w = Window.partitionBy(*group).orderBy(v.asc_nulls_last())
+            rank = (F.rank().over(w) + F.count(v).over(w)) / 2.0
+            if pct:
+                rank = rank / F.count(v).over(Window.partitionBy(*group))
+            df = df.withColumn(out, F.when(v.isNotNull(), rank))
+        return df
+    df = saved(df, "ranked")
+    rank = F.col("_upto") - (F.col("_ties") - 1) / 2.0
+    return _attach(df, group, placed(df, group, list(values)), values, rank / F.col("_n") if pct else rank)
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, out: str, bound: int, pct: bool = False,
                  plain_rows: int = PLAIN_ROWS) -> DataFrame:
-    """Average-tie rank of non-null values in a group, 1-based; `pct` divides by the number of them."""
-    v = F.col(value)
-    has = v.isNotNull()
-    if bound <= plain_rows:
-        # rows below plus one, and rows not above, from one sorted window
-        w = Window.partitionBy(*group).orderBy(v.asc_nulls_last())
-        rank = (F.rank().over(w) + F.count(v).over(w)) / 2.0
-        if pct:
-            rank = rank / F.count(v).over(Window.partitionBy(*group))
-        return df.withColumn(out, F.when(has, rank))
-    # distinct values with their counts: a hot value is one row here
-    counts = df.where(has).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-    split = _with_range(counts, group, value, None)
-    size = split.groupBy(*group, "_rng").agg(F.sum("_ties").alias("_rows"))
-    lower = Window.partitionBy(*group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    off = size.select(*group, "_rng", F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_off"),
-                      F.sum("_rows").over(Window.partitionBy(*group)).alias("_n"))
-    inside = Window.partitionBy(*group, "_rng").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = split.withColumn("_below", F.coalesce(F.sum("_ties").over(inside), F.lit(0))).join(off, [*group, "_rng"])
-    rank = F.col("_off") + F.col("_below") + (F.col("_ties") + 1) / 2.0
-    ranks = ranks.select(*group, value, (rank / F.col("_n") if pct else rank).alias(out))
-    return df.join(ranks, [*group, value], "left").select(*df.columns, out)
+    """average_ranks of one column."""
+    return average_ranks(df, group, {value: out}, bound, pct, plain_rows)
 
 
 def row_rank(df: DataFrame, group: list[str], value: str, tie: str, out: str, bound: int,
@@ -85,33 +66,24 @@ def row_rank(df: DataFrame, group: list[str], value: str, tie: str, out: str, bo
     """Row number by (value, tie) in a group; rows must have a value."""
     if bound <= plain_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(value, tie)))
-    split = _with_range(df, group, value, tie)
-    off = _offsets(split, group)
-    inside = Window.partitionBy(*group, "_rng", "_sub").orderBy(value, tie)
-    return (
-        split.withColumn("_in", F.row_number().over(inside))
-        .join(off, [*group, "_rng", "_sub"])
-        .withColumn(out, F.col("_in") + F.col("_off"))
-        .select(*df.columns, out)
-    )
+    return numbered(df, group, [value, tie], out)
+
+
+def shares_at_most(df: DataFrame, group: list[str], values: dict[str, str], bound: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """Shares of the group's values that are <= the row's value, for several columns; null for null values."""
+    if bound <= plain_rows:
+        for value, out in values.items():
+            has = F.col(value).isNotNull()
+            df = df.withColumn(out, F.when(has, F.cume_dist().over(Window.partitionBy(*group, has).orderBy(value))))
+        return df
+    df = saved(df, "ranked")
+    return _attach(df, group, placed(df, group, list(values)), values, F.col("_upto") / F.col("_n"))
 
 
 def share_at_most(df: DataFrame, group: list[str], value: str, out: str, bound: int,
                   plain_rows: int = PLAIN_ROWS) -> DataFrame:
-    """Share of the group's values that are <= the row's value; null for null values."""
-    v = F.col(value)
-    has = v.isNotNull()
-    if bound <= plain_rows:
-        w = Window.partitionBy(*group, has).orderBy(v)
-        return df.withColumn(out, F.when(has, F.cume_dist().over(w)))
-    ranked = average_rank(df, group, value, "_avg", bound, plain_rows=plain_rows)
-    ties = df.where(has).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-    n = df.where(has).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        ranked.join(ties, [*group, value], "left").join(n, group, "left")
-        .withColumn(out, (F.col("_avg") + (F.col("_ties") - 1) / 2.0) / F.col("_n"))
-        .select(*df.columns, out)
-    )
+    """shares_at_most of one column."""
+    return shares_at_most(df, group, {value: out}, bound, plain_rows)
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float], bound: int,
@@ -120,19 +92,13 @@ def percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, fl
     df = df.where(F.col(value).isNotNull())
     if bound <= plain_rows:
         return df.groupBy(*group).agg(*[F.percentile(value, p).alias(k) for k, p in probs.items()])
-    # the two rows around each position, found through exact row numbers
-    numbered = row_rank(df.withColumn("_tie", F.xxhash64(*df.columns).cast("string")), group, value, "_tie", "_r",
-                        bound, plain_rows)
-    size = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.join(size, group) if group else numbered.crossJoin(size)
     aggs = []
-    for k, p in probs.items():
+    for k, p in probs.items():  # the values at the two places around the position
         pos = (F.col("_n") - 1) * F.lit(p) + 1
-        lo, frac = F.floor(pos), pos - F.floor(pos)
-        at = lambda r: F.max(F.when(F.col("_r") == r, F.col(value)))
-        frac_v = F.max(frac)
-        aggs.append((at(lo) + F.when(frac_v > 0, (at(lo + 1) - at(lo)) * frac_v).otherwise(0.0)).alias(k))
-    return j.groupBy(*group).agg(*aggs)
+        at = lambda r: F.max(F.when((r > F.col("_upto") - F.col("_ties")) & (r <= F.col("_upto")), F.col("_v")))
+        part = F.max(pos - F.floor(pos))
+        aggs.append((at(F.floor(pos)) + F.when(part > 0, (at(F.floor(pos) + 1) - at(F.floor(pos))) * part).otherwise(0.0)).alias(k))
+    return placed(df, group, [value]).groupBy(*group).agg(*aggs)
 
 
 def top_n(df: DataFrame, group: list[str], n: int, *order: Column) -> DataFrame:

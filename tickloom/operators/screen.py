@@ -56,10 +56,9 @@ def relative_valuation(df: DataFrame, bound: int, p: ScreenParams = ScreenParams
     c = F.col
     df = df.withColumn("industry", F.coalesce("industry", F.lit("Unknown")))
     base = df.columns
-    for m in VALUATION_WEIGHTS:
-        df = df.withColumn(f"_v_{m}", S.positive(c(m))).withColumn("_all", F.lit(0))
-        df = R.share_at_most(df, ["industry"], f"_v_{m}", f"_i_{m}", bound, plain_rows)
-        df = R.share_at_most(df, ["_all"], f"_v_{m}", f"_m_{m}", bound, plain_rows)
+    df = df.withColumns({f"_v_{m}": S.positive(c(m)) for m in VALUATION_WEIGHTS}).withColumn("_all", F.lit(0))
+    for scope, out in (("industry", "i"), ("_all", "m")):
+        df = R.shares_at_most(df, [scope], {f"_v_{m}": f"_{out}_{m}" for m in VALUATION_WEIGHTS}, bound, plain_rows)
     if bound <= plain_rows:
         w = Window.partitionBy("industry")
         df = df.select("*", *[F.count(f"_v_{m}").over(w).alias(f"_n_{m}") for m in VALUATION_WEIGHTS])
