@@ -68,3 +68,39 @@ def test_answers_in_all_forms(spark):
     got = sorted((r.batch, r.ts_code, r.pos, r.theme) for r in picks.collect())
     assert got == [(1, "a", 0, "AI算力"), (2, "a", 2, "机器人"), (2, "b", 2, "机器人"), (3, "a", 1, "AI算力"), (3, "a", 3, "芯片"), (8, "b", 0, "芯片"), (8, "b", 1, "芯片")]
     assert sorted(r.batch for r in damaged.collect()) == [5, 6, 7, 9]
+
+
+def test_verdict_keeps_the_evidence_that_decided(spark):
+    """First veto over all, then the last severe event, then the model's word, softened by findings; sources of the trigger alone or primary ones first."""
+    from tickloom.operators import evidence as V
+
+    rows = [("a", 1, "u1", None, True, True), ("a", 2, "u2", "delisting_risk", False, False), ("a", 3, "u3", "material_reduction", False, False),
+            ("b", 4, "u4", None, True, False), ("b", 5, "u5", None, True, False), ("c", 6, "u6", None, False, True), ("c", 7, "http://www.sse.com.cn/x", None, False, False),
+            ("d", 8, "u8", None, False, False), ("d", 9, "u9", None, False, True), ("d", 10, "u8", None, False, False), ("d", 11, "u11", None, False, False), ("d", 12, "u12", None, False, False)]
+    hits = spark.createDataFrame(rows, "ts_code string, doc_id long, url string, veto string, severe boolean, minor boolean")
+    soft = spark.createDataFrame([("a", "pass"), ("b", "warn"), ("c", "fail"), ("d", "fail"), ("e", "pass")], "ts_code string, verdict string")
+    found = spark.createDataFrame([("c", 1, 0, ["f1", "f2", "f3"]), ("d", 0, 1, None)], "ts_code string, findings int, snippets int, links array<string>")
+    got = {r.ts_code: (r.verdict, r.reason, r.noted, r.sources) for r in V.merged_verdicts(hits, soft, found).collect()}
+    assert got == {"a": ("fail", "delisting_risk", False, ["u2"]), "b": ("fail", "severe_regulatory", False, ["u5"]),
+                   "c": ("warn", None, True, ["http://www.sse.com.cn/x", "f1", "f2"]), "d": ("fail", None, False, ["u8", "u9", "u11"]), "e": ("pass", None, False, [])}
+
+
+def test_refill_rounds_leave_out_what_was_audited(spark):
+    from tickloom.operators import selection as U
+
+    rows = [(f"{i:02d}", float(i), float(i % 7), 20.0 + i, 0.2 if i % 2 else 0.9) for i in range(40)]
+    u = spark.createDataFrame(rows, "ts_code string, pre_audit double, composite_score double, consolidation_score double, volume_boost double")
+    matched = spark.createDataFrame([("01", ["t"]), ("02", ["t"]), ("03", ["t"])], "ts_code string, matched_themes array<string>")
+    themes = spark.createDataFrame([("t", "confirmed", False)], "theme string, status string, capital_signal boolean")
+    named = spark.createDataFrame([("01",)], "ts_code string")
+    one = U.round_candidates(u, matched, named, themes, 0).collect()
+    assert {r.ts_code for r in one if r.list_type == "theme_driven"} == {"01", "02"}  # 01 is named, 03 trades too little
+    assert [r.ts_code for r in sorted(one, key=lambda r: -r.pre_audit) if r.list_type == "technical"] == [f"{i:02d}" for i in range(39, 29, -1)]
+    enough = spark.createDataFrame([(f"{i:02d}",) for i in range(30, 36)], "ts_code string")
+    assert U.refilled(u, matched, named, themes, enough).agg({"round": "max"}).first()[0] == 0
+    few = U.refilled(u, matched, named, themes, enough.limit(1)).collect()
+    assert {r.round for r in few} == {0, 1, 2}
+    tech = [r.ts_code for r in few if r.list_type == "technical"]
+    assert len(tech) == len(set(tech)) and {r.filter_tier for r in few if r.list_type == "technical"} == {"technical"}
+    none = U.round_candidates(u, matched.limit(0), named.limit(0), themes, 0).collect()
+    assert {r.filter_tier for r in none} == {"OFF_THEME_FALLBACK"}

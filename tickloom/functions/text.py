@@ -33,6 +33,10 @@ RESOLVED = r"(胜诉|判决获支持|已结案|已和解|已撤诉|已了结|调
 DEFENDANT = r"(被诉|被告|被仲裁|遭.{0,6}诉讼|因.{0,6}诉讼|涉诉|涉及.{0,6}诉讼|面临.{0,6}诉讼)"
 DELISTING = r"(终止上市|退市风险警示|暂停上市|强制退市)"
 REDUCTION = r"(拟|计划).{0,12}减持|减持计划"
+# Regulatory events that fail a name, and those that are only noted.
+SEVERE_REGULATORY = r"(行政处罚|处罚决定书|纪律处分|公开谴责|市场禁入)"
+MINOR_REGULATORY = r"(监管函|问询函|关注函|责令改正|监管措施决定书)"
+PRIMARY_SOURCES = ["cninfo.com.cn", "sse.com.cn", "szse.cn"]
 LIQUIDATION = r"清仓|全部减持|大比例减持|集中竞价减持"
 
 

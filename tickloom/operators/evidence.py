@@ -52,6 +52,49 @@ def hard_veto(hits: DataFrame, as_of: str, max_age: int, threshold: float, requi
     return hits.withColumn("veto", F.when(usable, F.try_element_at(reasons, F.lit(1))))
 
 
+def regulatory(hits: DataFrame, as_of: str, max_age: int) -> DataFrame:
+    """Hits with `severe` and `minor`: a recent hit, not of another code, with a sentence that names the instrument and such an event."""
+    c = F.col
+    mismatch = F.coalesce(X.url_symbol(c("url")) != c("symbol"), F.lit(False))
+    recent = X.is_recent(X.parse_date(c("date")), F.lit(as_of).cast("date"), max_age) & ~mismatch
+    told = F.split(F.concat_ws("\n", "title", "snippet"), X.SENTENCE_END)
+
+    def says(pattern: str) -> Column:
+        return recent & F.exists(told, lambda s: identity(F.col("name"), F.col("symbol"), s) & s.rlike(pattern))
+
+    return hits.withColumns({"severe": says(X.SEVERE_REGULATORY), "minor": says(X.MINOR_REGULATORY)})
+
+
+def merged_verdicts(hits: DataFrame, soft: DataFrame, findings: DataFrame, order: str = "doc_id") -> DataFrame:
+    """One verdict per instrument with the reason that decided, whether a minor event is noted, and at most five sources.
+
+    hits: ts_code, url, veto, severe, minor, in `order`. soft: ts_code, verdict, as a model gives it. findings: ts_code, findings,
+    snippets, links. The first veto of a hit fails a name; else the last severe event does; both keep only the link that decided. Else the model's
+    verdict holds, but its fail becomes a warning beside a finding or two snippets. The sources are then three links, of primary
+    sources where there are any, and two of the findings'. One aggregation over the hits, rows of one name combined before the shuffle."""
+    c = F.col
+    at = F.struct(order, c("url"))
+    decided = hits.groupBy("ts_code").agg(
+        F.min(F.when(c("veto").isNotNull(), F.struct(order, "veto", "url"))).alias("_first"), F.max(F.when(c("severe"), at)).alias("_severe"), F.max("minor").alias("_minor"))
+    primary = F.lit(False)
+    for domain in X.PRIMARY_SOURCES:
+        primary = primary | c("url").contains(domain)
+    links = hits.where("length(url) > 0").groupBy("ts_code", "url").agg(F.min(order).alias("_at")).withColumn("_primary", primary)
+    links = top_n(links, ["ts_code"], 3, F.desc("_primary"), c("_at")).groupBy("ts_code").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "url"))).alias("_l"), F.max("_primary").alias("_any"))
+    some = F.transform(F.filter("_l", lambda x: ~F.col("_any") | x["url"].rlike("|".join(d.replace(".", "[.]") for d in X.PRIMARY_SOURCES))), lambda x: x["url"])
+    links = links.select("ts_code", some.alias("_links"))
+    j = soft.select("ts_code", c("verdict").alias("_soft")).join(decided, "ts_code", "left").join(links, "ts_code", "left").join(findings, "ts_code", "left")
+    hard = F.when(c("_first").isNotNull(), c("_first.veto")).when(c("_severe").isNotNull(), "severe_regulatory")
+    trigger = F.when(c("_first").isNotNull(), c("_first.url")).otherwise(c("_severe.url"))
+    good = (F.coalesce("findings", F.lit(0)) >= 1) | (F.coalesce("snippets", F.lit(0)) >= 2)
+    verdict = F.when(hard.isNotNull(), "fail").when((c("_soft") == "fail") & good, "warn").otherwise(c("_soft"))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(F.coalesce("_links", none), F.slice(F.coalesce("links", none), 1, 2)))
+    return j.select("ts_code", verdict.alias("verdict"), hard.alias("reason"), ((verdict != "fail") & F.coalesce("_minor", F.lit(False))).alias("noted"),
+                    F.when(hard.isNotNull() & (F.length(trigger) > 0), F.array(trigger)).otherwise(every).alias("sources"))
+
+
 def positive_findings(hits: DataFrame) -> DataFrame:
     """One row per hit and category whose words it carries, with confidence from source and word count."""
     text = F.concat_ws(" ", "title", "snippet")

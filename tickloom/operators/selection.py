@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions.scores import clamp01
 from tickloom.operators.ranking import top_n
+from tickloom.sources.workspace import saved
 
 STATUS_WEIGHT = {"confirmed": 1.0, "web_only": 0.75, "capital_only": 0.7, "weak": 0.4}  # fixed values
 VERDICT_RISK = {"pass": 0.1, "warn": 0.45, "fail": 0.95}
@@ -196,6 +197,38 @@ def dual_list(universe: DataFrame, matched: DataFrame, themes: DataFrame, round_
     return theme.unionByName(alone).withColumn("position", F.row_number().over(w))
 
 
+def round_candidates(universe: DataFrame, matched: DataFrame, named: DataFrame, themes: DataFrame, round_: int, audited: DataFrame | None = None, theme_cap: int = 30) -> DataFrame:
+    """The dual list of one relaxation round: theme and technical pools by the round's thresholds, without what was audited before.
+
+    universe: ts_code, pre_audit, composite_score, consolidation_score, volume_boost. named: ts_code of names that theme texts name; those that
+    miss the theme pool are added to it, audited or not. filter_tier tells technical names that stand in for an absent theme list."""
+    left = universe if audited is None else universe.join(audited.select("ts_code").distinct(), "ts_code", "left_anti")
+    pool = theme_pool(left, round_).select("ts_code")
+    pool = pool.union(universe.join(named.select("ts_code").distinct(), "ts_code", "left_semi").select("ts_code")).distinct()
+    strong = list_strength(matched.where(F.size("matched_themes") > 0), themes)
+    theme = universe.join(pool, "ts_code", "left_semi").join(strong, "ts_code").orderBy(F.desc("pre_audit"), "ts_code").limit(theme_cap)
+    theme = theme.withColumn("list_type", F.lit("theme_driven"))
+    tech = technical_pool(left, theme, round_, "pre_audit").withColumn("theme_strength_score", F.lit(0.0))
+    some = theme.agg((F.count(F.lit(1)) > 0).alias("_some"))
+    tier = F.when(F.col("list_type") == "theme_driven", "theme_driven").when(F.col("_some"), "technical").otherwise("OFF_THEME_FALLBACK")
+    both = theme.unionByName(tech).crossJoin(F.broadcast(some))  # one row
+    return both.select(*universe.columns, "theme_strength_score", "list_type", tier.alias("filter_tier"), F.lit(round_).alias("round"))
+
+
+def refilled(universe: DataFrame, matched: DataFrame, named: DataFrame, themes: DataFrame, passing: DataFrame, least: int = 5, rounds: int = 2) -> DataFrame:
+    """Candidates of the first round and of refill rounds, appended while fewer than `least` distinct names pass their audit.
+
+    passing: ts_code of names whose audit passes. A round leaves out what earlier ones audited; one that isn't needed, or comes after one without new names, gives no rows."""
+    out = saved(round_candidates(universe, matched, named, themes, 0), "round")
+    for r in range(1, rounds + 1):
+        have = out.join(passing.select("ts_code").distinct(), "ts_code", "left_semi").agg(F.count(F.lit(1)).alias("_n"))
+        last = out.agg(F.max("round").alias("_last"))
+        new = round_candidates(universe, matched, named, themes, r, out)
+        go = have.crossJoin(last).where((F.col("_n") < least) & (F.col("_last") == r - 1)).select(F.lit(True).alias("_go"))  # a row or none
+        out = saved(out.union(new.crossJoin(F.broadcast(go)).select(*out.columns)), "round")
+    return out
+
+
 def audit_confidence(audits: DataFrame, findings: DataFrame) -> DataFrame:
     """audits with `confidence`: from the mean confidence of their findings, the verdict and the business quality."""
     mean = findings.groupBy("doc_id", "ts_code").agg(F.avg("confidence").alias("_mean"))

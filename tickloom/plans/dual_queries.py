@@ -15,6 +15,7 @@ from tickloom.plans.oracle_base import cte
 from tickloom.plans.registry import query
 from tickloom.plans.screen_queries import screened
 from tickloom.sources import adapters as A
+from tickloom.sources.workspace import saved
 
 # a status and a capital signal for each theme of the fixed list
 _THEME_ROWS = [("industry three", "confirmed", True), ("policy", "weak", False)]
@@ -24,7 +25,7 @@ def _universe(spark, sf_dir):
     c = F.col
     u = screened(spark, sf_dir).join(W.hit_counts(A.top_list(spark, sf_dir)), "ts_code", "left")
     score = S.pre_audit(c("fundamental_quality_score"), c("valuation_quality_score"), c("consolidation_score"), c("squeeze_readiness"), F.coalesce("toplist_recency_score", F.lit(0.0)))
-    return u.select("ts_code", "composite_score", "consolidation_score", F.round(score, 6).alias("pre_audit"))
+    return u.select("ts_code", "composite_score", "consolidation_score", "volume_boost", F.round(score, 6).alias("pre_audit"))
 
 
 def _matched(spark, sf_dir):
@@ -37,7 +38,7 @@ cte("themed", ("stock_basic",), f"""
 cte("strong", ("themed",), """
   SELECT ts_code, max(CASE theme WHEN 'industry three' THEN 1.05 WHEN 'policy' THEN 0.4 ELSE 0.5 END)::DOUBLE AS strength FROM (SELECT ts_code, unnest(themes) AS theme FROM themed) GROUP BY 1""")
 cte("pre", ("scr", "top_list"), """
-  SELECT ts_code, composite_score, consolidation_score, round(0.35*fundamental_quality_score+0.15*valuation_quality_score+0.35*consolidation_score+0.15*squeeze_readiness-0.05*least(1.0,coalesce(h,0)/5.0),6) AS pre_audit
+  SELECT ts_code, composite_score, consolidation_score, volume_boost, round(0.35*fundamental_quality_score+0.15*valuation_quality_score+0.35*consolidation_score+0.15*squeeze_readiness-0.05*least(1.0,coalesce(h,0)/5.0),6) AS pre_audit
   FROM scr LEFT JOIN (SELECT ts_code AS hc, count(*) AS h FROM top_list GROUP BY 1) ON hc=ts_code""")
 
 
@@ -93,3 +94,32 @@ def growth_catalysts(spark, sf_dir):
     told = h.select("doc_id", F.concat(when, F.col("title")).alias("description"))
     found = V.positive_findings(h).select("ts_code", "doc_id", "category", "confidence")
     return U.catalysts(found.join(told, "doc_id")).withColumn("confidence", F.round("confidence", 6))
+
+
+def _round_sql(r: int, audited: str) -> str:
+    """Theme and technical lists of one round; names are named where their number divides by 9."""
+    boost, limit, floor, cap = U.RELAXATION[r]
+    return f"""
+  left{r} AS (SELECT * FROM pre WHERE ts_code NOT IN ({audited})),
+  pool{r} AS (SELECT ts_code FROM (SELECT * FROM left{r} WHERE volume_boost>={boost} QUALIFY row_number() OVER (ORDER BY consolidation_score DESC, ts_code)<={limit}) UNION SELECT ts_code FROM stock_basic JOIN pre USING (ts_code) WHERE k%9=0),
+  th{r} AS (SELECT pre.*, strength FROM pre JOIN strong USING (ts_code) WHERE ts_code IN (SELECT ts_code FROM pool{r}) QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=30),
+  te{r} AS (SELECT * FROM left{r} WHERE consolidation_score>={floor} AND ts_code NOT IN (SELECT ts_code FROM th{r}) QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<={cap}),
+  all{r} AS (SELECT ts_code, 'theme_driven' AS list_type, 'theme_driven' AS filter_tier, strength, {r} AS round FROM th{r}
+    UNION ALL SELECT ts_code, 'technical', CASE WHEN (SELECT count(*) FROM th{r})>0 THEN 'technical' ELSE 'OFF_THEME_FALLBACK' END, 0.0, {r} FROM te{r})"""
+
+
+_PASSING = "SELECT ts_code FROM stock_basic WHERE k%20=1"
+
+
+@query("refill_rounds", "P-8 P-16 U-1 U-3 K-1", ("pre", "strong", "stock_basic"), f"""
+  WITH {_round_sql(0, "SELECT '' WHERE false")},
+  sum0 AS (SELECT * FROM all0), {_round_sql(1, "SELECT ts_code FROM sum0")},
+  sum1 AS (SELECT * FROM sum0 UNION ALL SELECT * FROM all1 WHERE (SELECT count(*) FROM sum0 WHERE ts_code IN ({_PASSING}))<5), {_round_sql(2, "SELECT ts_code FROM sum1")},
+  sum2 AS (SELECT * FROM sum1 UNION ALL SELECT * FROM all2 WHERE (SELECT count(*) FROM sum1 WHERE ts_code IN ({_PASSING}))<5 AND (SELECT max(round) FROM sum1)=1)
+  SELECT round, ts_code, list_type, filter_tier, strength::DOUBLE AS theme_strength_score FROM sum2""")
+def refill_rounds(spark, sf_dir):
+    themes = spark.createDataFrame(_THEME_ROWS, "theme string, status string, capital_signal boolean")
+    b = A.stock_basic(spark, sf_dir).select("ts_code", "instrument_key")
+    universe = saved(_universe(spark, sf_dir), "universe")
+    out = U.refilled(universe, _matched(spark, sf_dir), b.where("instrument_key % 9 = 0"), themes, b.where("instrument_key % 20 = 1"))
+    return out.select("round", "ts_code", "list_type", "filter_tier", "theme_strength_score")

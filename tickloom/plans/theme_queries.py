@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import text as X
+from tickloom.operators import evidence as V
 from tickloom.operators import themes as H
+from tickloom.operators.ranking import top_n
+from tickloom.plans.evidence_queries import AS_OF
 from tickloom.plans.oracle_base import cte
 from tickloom.plans.registry import query
 from tickloom.sources import adapters as A
@@ -183,3 +187,60 @@ def theme_merge(spark, sf_dir):
     once = H.checked_picks(picks, t, p, named, relaxed=True).groupBy("ts_code", "theme").agg(F.min("pos").alias("pos"))
     out = H.merged(p, once, named)
     return out.select("ts_code", F.array_join("matched_themes", "|").alias("themes"), F.col("off_theme").cast("int").alias("off_theme"))
+
+
+# regulatory events and the verdict of a name
+_REG = [("hand", "被出具问询函"), ("eren", "收到行政处罚")]
+_reg = "snippet"
+for _w, _t in _REG:
+    _reg = f"replace({_reg}, '{_w}', '{_t}')"
+cte("rhits", ("hits",), f"SELECT * REPLACE ({_reg} AS snippet) FROM hits")
+_PARTS = "string_split_regex(title||chr(10)||snippet,'[\\n。；;！!？?]')"
+cte("sev", ("rhits",), f"""
+  SELECT doc_id, bool_or(regexp_matches(s,'{X.SEVERE_REGULATORY}')) AS severe, bool_or(regexp_matches(s,'{X.MINOR_REGULATORY}')) AS minor FROM (
+    SELECT doc_id, name, symbol, unnest({_PARTS}) AS s FROM rhits WHERE NOT (doc_id%7=0 AND symbol<>'600000') AND DATE '{AS_OF}'-dt<=60)
+  WHERE contains(s,name) OR contains(s,symbol) GROUP BY 1""")
+
+
+def regulatory_hits(spark, sf_dir):
+    h, snippet = A.search_hits(spark, sf_dir), F.col("snippet")
+    for word, shown in _REG:
+        snippet = F.replace(snippet, F.lit(word), F.lit(shown))
+    return V.regulatory(h.withColumn("snippet", snippet), AS_OF, 60)
+
+
+@query("regulatory_severity", "T-5", ("sev", "hits"), """
+  SELECT h.doc_id, h.ts_code, CAST(coalesce(severe,false) AS INTEGER) AS severe, CAST(coalesce(minor,false) AS INTEGER) AS minor FROM hits h LEFT JOIN sev USING (doc_id)""")
+def regulatory_severity(spark, sf_dir):
+    return regulatory_hits(spark, sf_dir).select("doc_id", "ts_code", F.col("severe").cast("int").alias("severe"), F.col("minor").cast("int").alias("minor"))
+
+
+_PRIMARY = " OR ".join(f"contains(url,'{d}')" for d in X.PRIMARY_SOURCES)
+
+
+@query("merged_verdicts", "T-7", ("hits", "veto", "sev", "find", "stock_basic"), f"""
+  WITH h AS (SELECT h.doc_id, h.ts_code, h.url, h.snippet, v.veto, coalesce(severe,false) AS severe, coalesce(minor,false) AS minor FROM hits h LEFT JOIN veto v USING (doc_id) LEFT JOIN sev USING (doc_id)),
+  f AS (SELECT ts_code, count(*) AS n, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM find GROUP BY 1),
+  op AS (SELECT ts_code, list(url ORDER BY doc_id)[1:2] AS links FROM h WHERE doc_id IN (SELECT doc_id FROM find) GROUP BY 1),
+  d AS (SELECT ts_code, arg_min(veto, doc_id) FILTER (veto IS NOT NULL) AS veto, arg_min(url, doc_id) FILTER (veto IS NOT NULL) AS vurl, arg_max(url, doc_id) FILTER (severe) AS surl, bool_or(severe) AS severe, bool_or(minor) AS minor,
+      list(url ORDER BY doc_id) FILTER ({_PRIMARY}) AS prim, list(url ORDER BY doc_id) AS flat FROM h GROUP BY 1),
+  m AS (SELECT b.ts_code, ['pass','fail','warn'][b.k%3+1] AS soft, d.*, coalesce(f.n,0) AS n, coalesce(op.links,[]) AS links, (SELECT count(*) FROM h WHERE h.ts_code=b.ts_code AND contains(h.snippet,'订单')) AS snippets
+    FROM stock_basic b LEFT JOIN d ON d.ts_code=b.ts_code LEFT JOIN f ON f.ts_code=b.ts_code LEFT JOIN op ON op.ts_code=b.ts_code),
+  v AS (SELECT *, CASE WHEN veto IS NOT NULL THEN veto WHEN severe THEN 'severe_regulatory' END AS reason,
+      CASE WHEN veto IS NOT NULL OR coalesce(severe,false) THEN 'fail' WHEN soft='fail' AND (n>=1 OR snippets>=2) THEN 'warn' ELSE soft END AS verdict,
+      coalesce(prim, flat, [])[1:3] AS src FROM m)
+  SELECT ts_code, verdict, reason, CAST(verdict<>'fail' AND coalesce(minor,false) AS INTEGER) AS noted,
+    coalesce(CASE WHEN reason IS NOT NULL THEN coalesce(vurl, surl) ELSE array_to_string(list_concat(src, list_filter(links, lambda x: NOT list_contains(src,x))),'|') END,'') AS sources FROM v""")
+def merged_verdicts(spark, sf_dir):
+    h = regulatory_hits(spark, sf_dir)
+    vetoed = V.hard_veto(A.search_hits(spark, sf_dir), AS_OF, 60, 0.03).select("doc_id", "veto", F.col("snippet").contains("订单").alias("_op"))
+    h = h.select("doc_id", "ts_code", "url", "severe", "minor").join(vetoed, "doc_id")
+    soft = A.stock_basic(spark, sf_dir).select("ts_code", F.element_at(F.array(F.lit("pass"), F.lit("fail"), F.lit("warn")), (F.col("instrument_key") % 3 + 1).cast("int")).alias("verdict"))
+    found = V.positive_findings(A.search_hits(spark, sf_dir))
+    links = top_n(found.select("ts_code", "doc_id", "source_url").distinct(), ["ts_code"], 2, F.col("doc_id"))
+    links = links.groupBy("ts_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source_url"))), lambda x: x["source_url"]).alias("links"))
+    count = found.groupBy("ts_code").agg(F.count(F.lit(1)).alias("findings"))
+    snippets = h.where("_op").groupBy("ts_code").agg(F.count(F.lit(1)).alias("snippets"))
+    f = soft.select("ts_code").join(count, "ts_code", "left").join(snippets, "ts_code", "left").join(links, "ts_code", "left")
+    out = V.merged_verdicts(h, soft, f)
+    return out.select("ts_code", "verdict", "reason", F.col("noted").cast("int").alias("noted"), F.array_join("sources", "|").alias("sources"))
