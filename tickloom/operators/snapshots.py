@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.sources.workspace import saved
+
 KEY = ["run_id", "signal_date", "ts_code"]
 UNHASHED = ("snapshot_created_at", "signal_payload_hash")
 
@@ -71,27 +73,37 @@ def append_snapshots(spark: SparkSession, path: str, new: DataFrame, idempotent:
 
     The hash covers candidate columns alone, so a re-run at another time stays idempotent.
     """
+    new = saved(new, "snapshot")  # the candidates are computed once
     if not new.take(1):
         raise ValueError("cannot snapshot an empty candidate table")
     dup = duplicate_keys(new).take(5)
     if dup:
         raise ValueError(f"duplicate snapshot keys: {dup}")
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as exc:  # no table yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        existing = None
+    days = [r.signal_date for r in new.select("signal_date").distinct().collect()]  # a calendar's size
+    existing = stored_days(spark, path, days)
     rows = new
     if existing is not None:
-        clash = conflicts(new, existing).take(5)
+        # conflict and novelty from one join with the stored rows of the same days
+        old = existing.select(*KEY, F.coalesce("signal_payload_hash", F.lit("")).alias("_old"))
+        met = saved(new.join(old, KEY, "left"), "met")
+        clash = met.where("_old IS NOT NULL AND NOT (signal_payload_hash <=> _old)").select(*KEY).take(5)
         if clash:
             raise ValueError(f"conflicting immutable snapshot rows: {clash}")
-        if not idempotent and new.join(existing.select(*KEY), KEY, "left_semi").take(1):
+        if not idempotent and met.where("_old IS NOT NULL").take(1):
             raise ValueError("snapshot rows already exist")
-        rows = to_append(new, existing)
+        rows = met.where("_old IS NULL").drop("_old")
     fresh = rows.count()
     if fresh:
         rows.repartition("signal_date").sortWithinPartitions("signal_date", "run_id", "ts_code").write.mode("append").partitionBy(
             "signal_date").parquet(path)
     return fresh
+
+
+def stored_days(spark: SparkSession, path: str, days: list) -> DataFrame | None:
+    """Stored rows of these days; files of other days are not read. None where there is no table yet."""
+    try:
+        return spark.read.parquet(path).where(F.col("signal_date").isin(days))
+    except Exception as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return None

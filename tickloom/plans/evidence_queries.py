@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import text as X
@@ -11,6 +12,7 @@ from tickloom.plans.common import day, flag, r6
 from tickloom.plans.oracle_base import code_of, cte
 from tickloom.plans.registry import query
 from tickloom.sources import adapters as A
+from tickloom.sources.workspace import saved
 
 _body = "text"
 for _w, _s in A.HIT_WORDS:
@@ -197,17 +199,18 @@ def pick_returns(spark, sf_dir):
     """Distinct picks with entry, latest and calendar-day returns."""
     from tickloom.operators.asof import last_bar_at_or_before as at
 
-    picks = report_picks(spark, sf_dir).groupBy("ts_code", "report_date").agg(F.min(F.struct("conv_id", "turn", "action")).alias("m")).select("ts_code", "report_date", "m.action")
+    picks = report_picks(spark, sf_dir).groupBy("ts_code", "report_date").agg(F.min(F.struct("conv_id", "turn", "action", "conclusion", "name")).alias("m")).select("ts_code", "report_date", "m.action", "m.conclusion", "m.name")
     bars = A.bars(spark, sf_dir).select("ts_code", "trade_date", F.col("trade_date").alias("d"), F.col("close").alias("p"))
     # all dates of a pick asked for in one pass: day 0 and the horizons
     days = F.explode(F.array(*[F.lit(h) for h in (0, 1, 3, 5, 10, 20)]))
-    asks = picks.select("ts_code", "report_date", "action", days.alias("h")).withColumn("ask", F.expr("date_add(report_date, h)"))
+    kept = ["ts_code", "report_date", "action", "conclusion", "name"]
+    asks = picks.select(*kept, days.alias("h")).withColumn("ask", F.expr("date_add(report_date, h)"))
     a = at(bars, asks, "ask", ["d", "p"])
-    wide = a.groupBy("ts_code", "report_date", "action").agg(
+    wide = a.groupBy(*kept).agg(
         F.max(F.when(F.col("h") == 0, F.col("d"))).alias("entry_date"), *[F.max(F.when(F.col("h") == h, F.col("p"))).alias(f"p{h}") for h in (0, 1, 3, 5, 10, 20)])
     last = bars.groupBy("ts_code").agg(F.max(F.struct("d", "p")).alias("l"))
     j = wide.join(last, "ts_code").where("entry_date is not null and entry_date <> l.d")
-    return j.select("ts_code", "report_date", "action", "entry_date", F.col("p0").alias("entry_price"), ((F.col("l.p") / F.col("p0") - 1) * 100).alias("total_return_pct"),
+    return j.select(*kept, "entry_date", F.col("p0").alias("entry_price"), ((F.col("l.p") / F.col("p0") - 1) * 100).alias("total_return_pct"),
                     *[((F.col(f"p{h}") / F.col("p0") - 1) * 100).alias(f"d{h}") for h in (1, 3, 5, 10, 20)])
 
 
@@ -244,3 +247,67 @@ def pick_performance(spark, sf_dir):
 def pick_repeats(spark, sf_dir):
     p = report_picks(spark, sf_dir).select("ts_code", "report_date").distinct()
     return p.groupBy("ts_code").agg(F.min("report_date").alias("first_seen"), F.count(F.lit(1)).alias("reports")).where("reports >= 3").select("ts_code", day("first_seen"), "reports")
+
+
+# Conclusions of the first report generation; the others are of the second. Days from which a pick is recent.
+OLD_SYSTEM = ["观察", "推荐", "回避", "强烈推荐"]
+RECENT_FROM = "2000-09-01"
+HORIZONS = (1, 3, 5, 10, 20)
+
+
+def pick_splits(picks, bound):
+    """Performance per split and action in one aggregation: overall, recency, system, report date, and each horizon by its own return.
+
+    (split, value, action, picks, mean, median, win rate, best, worst, mix); mix counts the conclusions, most frequent first."""
+    c = F.col
+    own = lambda split, value: F.struct(F.lit(split).alias("split"), value.alias("value"), c("total_return_pct").alias("r"))
+    parts = [own("overall", F.lit("all")), own("recency", F.when(c("report_date") >= RECENT_FROM, "recent").otherwise("older")),
+             own("system", F.when(c("conclusion").isin(OLD_SYSTEM), "old").otherwise("new")), own("report_date", F.date_format("report_date", "yyyy-MM-dd"))]
+    parts += [F.struct(F.lit("horizon").alias("split"), F.lit(f"d{h}").alias("value"), c(f"d{h}").alias("r")) for h in HORIZONS]
+    actions = F.when(c("action").isin("buy", "watch"), F.array(F.lit("all"), "action")).otherwise(F.array(F.lit("all")))
+    long = picks.select("conclusion", actions.alias("_a"), F.explode(F.array(*parts)).alias("s")).select("conclusion", F.explode("_a").alias("action"), "s.*")
+    long = long.where("r IS NOT NULL")
+    keys = ["split", "value", "action"]
+    med = percentiles(long, keys, "r", {"median_return": 0.5}, bound)
+    mixed = long.groupBy(*keys, "conclusion").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum"), F.count_if(c("r") > 0).alias("won"), F.max("r").alias("best"), F.min("r").alias("worst"))
+    mix = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-c("n")).alias("o"), "conclusion", "n"))), lambda x: F.concat(x["conclusion"], F.lit(":"), x["n"])), ", ")
+    stats = mixed.groupBy(*keys).agg(F.sum("n").alias("picks"), F.round(F.sum("sum") / F.sum("n"), 4).alias("mean_return"), F.round(F.sum("won") / F.sum("n"), 6).alias("win_rate"),
+                                     F.round(F.max("best"), 4).alias("best"), F.round(F.min("worst"), 4).alias("worst"), mix.alias("mix"))
+    return stats.join(med, keys).withColumn("median_return", F.round("median_return", 4))
+
+
+cte("pr2", ("picks", "bars"), f"""
+  SELECT *, (lp/p0-1)*100 AS total_return_pct FROM (SELECT ts_code, report_date, action, conclusion, name, {', '.join(f'{_pa(h)} AS p{h}' for h in (0, *HORIZONS))},
+    (SELECT max(trade_date) FROM bars b WHERE b.ts_code=p.ts_code AND b.trade_date<=p.report_date) AS entry_date, (SELECT arg_max(close,trade_date) FROM bars b WHERE b.ts_code=p.ts_code) AS lp, (SELECT max(trade_date) FROM bars b WHERE b.ts_code=p.ts_code) AS ld
+   FROM (SELECT * FROM picks QUALIFY row_number() OVER (PARTITION BY ts_code, report_date ORDER BY conv_id, turn)=1) p) WHERE entry_date IS NOT NULL AND entry_date<>ld""")
+_OLD = ", ".join(f"'{x}'" for x in OLD_SYSTEM)
+cte("prl", ("pr2",), f"""
+  SELECT x.*, a AS act FROM (
+    SELECT 'overall' AS split, 'all' AS value, total_return_pct AS r, action, conclusion FROM pr2 UNION ALL
+    SELECT 'recency', CASE WHEN report_date>=DATE '{RECENT_FROM}' THEN 'recent' ELSE 'older' END, total_return_pct, action, conclusion FROM pr2 UNION ALL
+    SELECT 'system', CASE WHEN conclusion IN ({_OLD}) THEN 'old' ELSE 'new' END, total_return_pct, action, conclusion FROM pr2 UNION ALL
+    SELECT 'report_date', strftime(report_date,'%Y-%m-%d'), total_return_pct, action, conclusion FROM pr2 UNION ALL
+    {' UNION ALL '.join(f"SELECT 'horizon', 'd{h}', (p{h}/p0-1)*100, action, conclusion FROM pr2" for h in HORIZONS)}) x,
+    (VALUES ('all'),('buy'),('watch')) v(a) WHERE (a='all' OR a=action) AND r IS NOT NULL""")
+
+
+@query("pick_splits", "A-27", ("prl",), """
+  SELECT split, value, act AS action, count(*) AS picks, round(avg(r),4) AS mean_return, round(median(r),4) AS median_return, round(avg(CASE WHEN r>0 THEN 1.0 ELSE 0.0 END),6) AS win_rate,
+    round(max(r),4) AS best, round(min(r),4) AS worst, any_value(mix) AS mix
+  FROM prl JOIN (SELECT split, value, act, string_agg(conclusion||':'||n, ', ' ORDER BY n DESC, conclusion) AS mix FROM (SELECT split, value, act, conclusion, count(*) AS n FROM prl GROUP BY ALL) GROUP BY ALL) USING (split, value, act)
+  GROUP BY split, value, act""")
+def pick_splits_query(spark, sf_dir):
+    return pick_splits(saved(pick_returns(spark, sf_dir), "picks"), A.table(spark, sf_dir, "conversations").count())
+
+
+@query("pick_extremes", "A-28", ("pr2",), """
+  SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY o, ts_code, report_date) AS INTEGER) AS place, ts_code, name, strftime(report_date,'%Y-%m-%d') AS report_date, conclusion, round(total_return_pct,4) AS total_return_pct
+  FROM (SELECT 'winner' AS kind, -total_return_pct AS o, * FROM pr2 UNION ALL SELECT 'loser', total_return_pct, * FROM pr2) QUALIFY place<=10""")
+def pick_extremes(spark, sf_dir):
+    p = pick_returns(spark, sf_dir).select("ts_code", "name", "report_date", "conclusion", "total_return_pct")
+    sides = []
+    for kind, first in (("winner", F.desc("total_return_pct")), ("loser", F.asc("total_return_pct"))):
+        top = p.orderBy(first, "ts_code", "report_date").limit(10)
+        sides.append(top.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(first, "ts_code", "report_date")).alias("place"), "*"))  # ten rows
+    both = sides[0].union(sides[1])
+    return both.select("kind", "place", "ts_code", "name", day("report_date"), "conclusion", r6("total_return_pct", 4))

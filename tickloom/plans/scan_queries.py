@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.plans.common import day, r6, rounded, sql_day, sql_round
@@ -11,6 +13,7 @@ from tickloom.sources import adapters as A
 from tickloom.sources import catalog as K
 from tickloom.sources import readers as D
 from tickloom.sources import sinks as Z
+from tickloom.sources.workspace import shared_folder
 from tickloom.streaming import streams as R
 
 
@@ -77,6 +80,24 @@ def statement_upsert(spark, sf_dir):
     return D.upsert_quarters(merged, fresh).select("ts_code", day("end_date"), F.round("total_revenue", 2).alias("total_revenue"), r6("eps"))
 
 
+@query("statement_store", "S-17 J-12", ("financial", "stock_basic"), """
+  SELECT ts_code, strftime(end_date,'%Y-%m-%d') AS end_date, round(total_revenue*f,2) AS total_revenue, round(total_assets,2) AS total_assets, round(n_cashflow_act*f,2) AS n_cashflow_act, round(eps,6) AS eps
+  FROM (SELECT x.*, CASE WHEN k%3=0 AND end_date>=DATE '2000-12-31' THEN 1.5 ELSE 1 END AS f FROM financial x) WHERE NOT (k%3<>0 AND end_date>DATE '2001-06-30')
+  QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY end_date DESC)<=12""")
+def statement_store(spark, sf_dir):
+    """Four feeds up to a day, stored; then those of every third instrument again, changed and with later quarters, merged in."""
+    f = A.financial(spark, sf_dir)
+    columns = ["total_revenue", "total_assets", "n_cashflow_act", "eps"]
+    feeds = lambda df: [df.select("ts_code", "end_date", c) for c in columns]
+    path = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
+    Z.merge_statements(spark, path, feeds(f.where("end_date <= date '2001-06-30'")))
+    third = f.where("instrument_key % 3 = 0 AND end_date >= date '2000-12-31'")
+    for c in ("total_revenue", "n_cashflow_act"):
+        third = third.withColumn(c, F.col(c) * 1.5)
+    Z.merge_statements(spark, path, feeds(third))
+    return spark.read.parquet(path).select("ts_code", day("end_date"), *[F.round(c, 2).alias(c) for c in columns[:3]], r6("eps"))
+
+
 @query("staleness_plan", "S-18", ("financial", "stock_basic"), """
   SELECT ts_code, strftime(m,'%Y-%m-%d') AS newest, CASE WHEN m IS NULL THEN 'full' WHEN m<DATE '2001-12-31' THEN 'stale' ELSE 'skip' END AS action FROM stock_basic LEFT JOIN (
     SELECT ts_code, max(end_date) AS m FROM financial WHERE n_income IS NULL GROUP BY 1) USING (ts_code)""")

@@ -51,6 +51,16 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return normalise_bars(spark.read.option("mergeSchema", True).parquet(path))
 
 
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """Statement files whose columns differ, united by name, with one date column `end_date`: the first of DATE_ALIASES that
+    a row has as a date. Rows without any go; the other alias columns stay as they are."""
+    raw = spark.read.option("mergeSchema", True).parquet(path)
+    known = [c for c in DATE_ALIASES if c in raw.columns]
+    if not known:
+        raise ValueError(f"no date column of {DATE_ALIASES} in {path}")
+    return raw.withColumn("end_date", F.coalesce(*[to_day(F.col(c)) for c in known])).where("end_date IS NOT NULL")
+
+
 def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last loaded row per key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(seq))
