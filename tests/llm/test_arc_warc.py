@@ -65,3 +65,16 @@ def test_short_payloads_may_stay_responses(spark):
     arc_warc.convert(spark, arc, warc, least_bytes=3)
     read = {r.key: (r.warc_type, r.refers_to, r.payload) for r in arc_warc.read_warc(spark, warc).collect()}
     assert read == {1: ("response", None, b"ab"), 2: ("response", None, b"ab"), 3: ("response", None, b"abcd"), 4: ("revisit", 3, None)}
+
+
+def test_a_rerun_gives_the_same_archives(spark):
+    """Names of archives tell their tasks apart, and record ids don't hang on the names of Spark's files."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"text {i % 7}") for i in range(60)], "page_id long, url string, html string").repartition(3, "page_id")
+    runs = []
+    for _ in range(2):
+        arc, warc = arc_warc.fresh_path(spark, "arc"), arc_warc.fresh_path(spark, "warc")
+        arc_warc.write_arc(pages, arc, "page_id", "url", "html")
+        arc_warc.convert(spark, arc, warc)
+        names = {name for r in arc_warc._files(spark, arc).collect() for name, _ in arc_warc.named(r.archive, arc_warc.unzipped(bytes(r.content)))}
+        runs.append((names, sorted((r.key, r.record_id) for r in arc_warc.read_warc(spark, warc).collect())))
+    assert runs[0] == runs[1] and len(runs[0][0]) == 3 and len({i for _, i in runs[0][1]}) == 60

@@ -89,3 +89,10 @@ def test_accounts_of_all_countries():
         rest = "1" * (size - 4)
         check = 98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97
         assert [s for s in pii.find_spans(f"{country}{check:02d}{rest}") if s[0] == "iban"]
+
+
+def test_confirmed_numbers_stay_masked_beside_contrary_words():
+    text = "a test account, sample: DE89370400440532013000, example card 4111 1111 1111 1111, sample version 10.0.0.1"
+    scores = {k: s for k, _, _, s in pii.find_spans(text)}
+    assert scores["iban"] >= pii.THRESHOLD and scores["card"] >= pii.THRESHOLD and scores["ip"] < pii.THRESHOLD
+    assert "DE89" not in pii.masked(text, pii.find_spans(text)) and "4111" not in pii.masked(text, pii.find_spans(text))

@@ -28,10 +28,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import discard, fresh_path, saved
+from tickloom.llm.shared import delete, discard, fresh_path, saved
 
 ARCHIVE_BYTES = 4 << 20
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
@@ -104,6 +105,15 @@ def split_http(block: bytes) -> tuple[bytes, bytes] | None:
     return (block, b"") if cut < 0 else (block[:cut + 4], block[cut + 4:])
 
 
+def named(file: str, data: bytes) -> Iterator[tuple[str, dict]]:
+    """Records of an archive with the name that its version block gives it, or else its file's; a rerun writes other files of the same names."""
+    name = file
+    for record in parse_arc(data):
+        if record["url"].startswith(b"filedesc://") and len(record["url"]) > 11:
+            name = record["url"][11:].decode("utf-8", "replace")
+        yield name, record
+
+
 def _key(head: bytes) -> int | None:
     m = HTTP_KEY.search(head)
     return int(m[1]) if m else None
@@ -173,14 +183,14 @@ def write_arc(records: DataFrame, path: str, key: str, url: str, payload: str) -
     """The rows as ARC archives of about ARCHIVE_BYTES; every other archive is of version 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, parts, size = 0, [], 0
+        count, parts, size, task = 0, [], 0, TaskContext.get().partitionId()
 
         def blob() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], names=["data"])
 
         for batch in batches:
             for k, u, h in zip(*(c for c in batch.columns)):
-                version, name = 1 + count % 2, f"tickloom-{count}.arc"
+                version, name = 1 + count % 2, f"tickloom-{task:06d}-{count:06d}.arc"
                 if not parts:
                     parts = [version_block(name, version)]
                     size = len(parts[0])
@@ -215,9 +225,9 @@ def arc_digests(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for r in parse_arc(unzipped(content.as_py())):
+                for own, r in named(name, unzipped(content.as_py())):
                     if http := split_http(r["block"]):
-                        yield name, r["ordinal"], _key(http[0]), record_id(name, r), sha1_base32(http[1]), len(http[1])
+                        yield name, r["ordinal"], _key(http[0]), record_id(own, r), sha1_base32(http[1]), len(http[1])
 
     return _files(spark, path).mapInArrow(lambda b: _batches(rows(b), schema), "archive string, ordinal int, key long, record_id string, digest string, size long")
 
@@ -234,7 +244,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
         for batch in batches:
             for name, content, revisits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 of = {r["ordinal"]: (r["key"], r["record_id"]) for r in revisits.as_py() or []}
-                blob = b"".join(warc_record(name, r, of.get(r["ordinal"])) for r in parse_arc(unzipped(content.as_py())))
+                blob = b"".join(warc_record(own, r, of.get(r["ordinal"])) for own, r in named(name, unzipped(content.as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array([blob[:-4]], pa.binary())], names=["data"])
 
     joined = _files(spark, arc_path).join(listed, "archive", "left").select("archive", "content", "again")
@@ -276,5 +286,5 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc, key, url, payload)
     convert(spark, arc, warc)
-    discard(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc))
+    delete(spark, arc)
     return read_warc(spark, warc, payloads=False)

@@ -45,6 +45,8 @@ IBAN_LENGTH = {"AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE":
                "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30}
 
 #: Score of a confirmed match without any context; what a supporting or a contrary word nearby adds.
+#: A number that its checksum confirms stays at the threshold at least.
+CHECKED = ("card", "iban")
 START = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7}
 SUPPORT, AGAINST, NEAR, THRESHOLD = 0.2, -0.3, 48, 0.5
 FOR = {
@@ -121,7 +123,8 @@ def _ibans(t: str) -> Iterator[tuple[int, int]]:
 def score(t: str, kind: str, start: int, end: int) -> float:
     """Words within NEAR code points on either side decide: each sort of context counts once."""
     near = {w.lower() for w in WORD.findall(t[max(0, start - NEAR):start]) + WORD.findall(t[end:end + NEAR])}
-    return round(min(1.0, START[kind] + SUPPORT * bool(near & FOR[kind]) + AGAINST * bool(near & CONTRARY)), 2)
+    told = min(1.0, START[kind] + SUPPORT * bool(near & FOR[kind]) + AGAINST * bool(near & CONTRARY))
+    return round(max(told, THRESHOLD) if kind in CHECKED else told, 2)
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
@@ -66,13 +67,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of saved tables that are still in use, by the table's identity.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """df written once to the shared folder and read back: it cuts lineage and outlives lost executors.
 
     files: at most so many, for tables known to be small beside the number of shuffle partitions."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
 
 
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -82,10 +89,11 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return (df.where(place < int(share * (1 << 40))) if share < 1 else df).orderBy(place, key).limit(most)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a saved table that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    """Deletes the folder of a saved table that no later step reads; no file names are listed for it."""
+    delete(df.sparkSession, _FOLDERS.pop(df))
