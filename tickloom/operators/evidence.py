@@ -124,19 +124,25 @@ def chunk_items(df: DataFrame, items: str, budget: int, out: str = "chunk") -> D
     budget = max(50, budget)
     most = max(120, budget * 2 - 1000)
     need = lambda t: F.ceil(F.length(t) / 2).cast("int")
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("ids"))
+    none = F.array().cast("array<struct<at:int,chunk:int>>")
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.lit(0).alias("at"), F.lit(-1).alias("last"), none.alias("starts"))
 
     def step(acc: Column, text: Column) -> Column:
         n = need(text)
         full = (acc["used"] > 0) & (acc["used"] + n > budget)
         own = n > budget
         chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
+        begun = F.array(F.struct(acc["at"].alias("at"), chunk.alias("chunk")))
         return F.struct(
             F.when(own, chunk + 1).otherwise(chunk).alias("chunk"),
             F.when(own, 0).otherwise(F.when(full, 0).otherwise(acc["used"]) + n).alias("used"),
-            F.concat(acc["ids"], F.array(chunk)).alias("ids"))
+            (acc["at"] + 1).alias("at"), chunk.alias("last"),
+            F.when(chunk == acc["last"], acc["starts"]).otherwise(F.concat(acc["starts"], begun)).alias("starts"))
 
-    df = df.withColumn(out, F.aggregate(items, start, step, lambda a: a["ids"]))
+    # only where chunks start is carried along; each start then stands for the items up to the next
+    df = df.withColumn("_starts", F.aggregate(items, start, step, lambda a: a["starts"]))
+    ends = lambda i: F.coalesce(F.get(F.col("_starts"), i + 1)["at"], F.size(items))
+    df = df.withColumn(out, F.flatten(F.transform("_starts", lambda s, i: F.array_repeat(s["chunk"], ends(i) - s["at"])))).drop("_starts")
     return df.withColumn(items, F.transform(items, lambda t: F.when(need(t) > budget, F.substring(t, 1, most)).otherwise(t)))
 
 

@@ -82,12 +82,51 @@ def theme_status(web: DataFrame, capital: DataFrame) -> DataFrame:
     return j.withColumn("validation_status", status).drop("_w", "_c")
 
 
-def market_sentiment(top_list: DataFrame, top_inst: DataFrame) -> DataFrame:
-    """Flow, breadth and seat parts of one market-wide score with its band."""
-    f = top_list.agg(F.sum("net_amount").alias("net"), F.sum(F.abs("net_amount")).alias("gross"), F.count_distinct("ts_code").alias("names"))
-    s = top_inst.agg(F.sum("net_buy").alias("seat"), F.sum(F.abs("net_buy")).alias("seat_gross"))
-    pct = lambda a, b: (F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) + 1) * 50
+def market_sentiment(top_list: DataFrame, top_inst: DataFrame, least_amount: float = 1e8) -> DataFrame:
+    """One row: capital flow, breadth and theme strength from 0 to 1, the score of their weighted sum from 0 to 100, and its label.
+
+    A net sum counts against the sum of amounts, `least_amount` at least, cut to -1 .. 1. Without listings the score is 50."""
+    def part(net: Column, whole: Column) -> Column:
+        share = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), net / F.greatest(F.abs(whole), F.lit(least_amount))))
+        return (share + 1) / 2
+
+    f = top_list.agg(F.sum("net_amount").alias("net"), F.sum("amount").alias("amount"), F.count_distinct("ts_code").alias("names"), F.count(F.lit(1)).alias("rows"))
+    s = top_inst.agg(F.sum("net_buy").alias("seat"), (F.sum("buy") + F.sum("sell")).alias("seat_amount"))
+    c = F.col
     j = f.crossJoin(s)  # one row each
-    j = j.select(pct("net", "gross").alias("flow"), (F.least(F.lit(1.0), F.col("names") / 100) * 100).alias("breadth"), pct("seat", "seat_gross").alias("seats"))
-    x = F.col("flow") * 0.4 + F.col("breadth") * 0.3 + F.col("seats") * 0.3
-    return j.select("*", x.alias("score"), F.when(x >= 70, "very_bullish").when(x >= 55, "bullish").when(x >= 45, "neutral").when(x >= 30, "bearish").otherwise("very_bearish").alias("label"))
+    j = j.select("rows", F.when(c("amount") == 0, 0.5).otherwise(part(c("net"), c("amount"))).alias("flow"), F.least(F.lit(1.0), c("names") / 100).alias("breadth"),
+                 F.coalesce(part(c("seat"), c("seat_amount")), F.lit(0.5)).alias("theme"))
+    x = F.floor(F.round(c("flow") * 0.4 + c("breadth") * 0.3 + c("theme") * 0.3, 2) * 100).cast("int")
+    score = F.when(c("rows") == 0, 50).otherwise(x)
+    label = F.when(c("rows") == 0, "NO DATA").when(x >= 70, "BULLISH").when(x >= 55, "NEUTRAL-BULLISH").when(x >= 45, "NEUTRAL").when(x >= 30, "NEUTRAL-BEARISH").otherwise("BEARISH")
+    return j.select(score.alias("score"), label.alias("label"), *[F.round(n, 2).alias(a) for n, a in (("flow", "capital_flow"), ("breadth", "breadth"), ("theme", "theme_strength"))])
+
+
+def latest_breadth(rows: DataFrame) -> DataFrame:
+    """One row for the latest date: advancing to declining names, shares above two averages, and of rising volume, in percent.
+
+    rows: trade_date, close, sma20, sma60, return_5d, vol_ratio_5_20."""
+    c = F.col
+    share = lambda cond: F.round(F.count_if(cond) / F.count(F.lit(1)) * 100, 1)
+    falling = F.count_if(c("return_5d") < 0)
+    last = rows.join(rows.agg(F.max("trade_date").alias("trade_date")), "trade_date", "left_semi")
+    return last.groupBy("trade_date").agg(
+        F.when(falling > 0, F.round(F.count_if(c("return_5d") > 0) / falling, 2)).otherwise(1.0).alias("advance_decline_ratio"),
+        share(c("close") > c("sma20")).alias("pct_above_ma20"), share(c("close") > c("sma60")).alias("pct_above_ma60"), share(c("vol_ratio_5_20") > 1).alias("volume_breadth"))
+
+
+CARD_HORIZONS = (5, 20, 60, 120)
+
+
+def factor_cards(rows: DataFrame) -> DataFrame:
+    """Per instrument and horizon: the 5-day return at the far end of the horizon (or the oldest bar of it), and the latest bar's indicators, rounded.
+
+    rows: ts_code, trade_date, close, return_5d, rsi14, adx, sma20, sma60, atr14, bb_width."""
+    c = F.col
+    w = Window.partitionBy("ts_code").orderBy(F.desc("trade_date"))
+    d = rows.select("ts_code", "return_5d", "rsi14", "adx", (c("close") / c("sma20") - 1).alias("dist_ma20"), (c("close") / c("sma60") - 1).alias("dist_ma60"),
+                    (c("atr14") / c("close")).alias("atr_pct"), c("bb_width").alias("bbw"), F.row_number().over(w).alias("_k")).where(c("_k") <= max(CARD_HORIZONS))
+    digits = {"rsi14": 1, "adx": 1, "dist_ma20": 2, "dist_ma60": 2, "atr_pct": 2, "bbw": 2}
+    far = [F.struct(F.lit(h).alias("horizon"), F.round(F.max_by(F.struct("return_5d"), F.when(c("_k") <= h, c("_k")))["return_5d"], 2).alias("ret")) for h in CARD_HORIZONS]
+    per = d.groupBy("ts_code").agg(F.array(*far).alias("_far"), *[F.round(F.max(F.when(c("_k") == 1, c(n))), k).alias(n) for n, k in digits.items()])
+    return per.select("ts_code", F.explode("_far").alias("_f"), *digits).select("ts_code", "_f.*", *digits)

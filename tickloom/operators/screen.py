@@ -84,6 +84,19 @@ def relative_valuation(df: DataFrame, bound: int, p: ScreenParams = ScreenParams
         (over | (s >= p.outlier_pct * 100) | ((c("valuation_data_points") == 0) & c("_v_pe").isNull())).alias("valuation_outlier"))
 
 
+#: What a universe without valuation columns gets.
+VALUATION_DEFAULTS = {"valuation_quality_score": 50.0, "valuation_stretch_score": 50.0, "valuation_label": "估值待补充", "valuation_outlier": False,
+                      "pe_percentile_industry": None, "pb_percentile_industry": None, "ps_ttm_percentile_industry": None}
+
+
+def with_valuation_columns(df: DataFrame) -> DataFrame:
+    """df with all valuation columns: neutral ones where they are missing, and blank labels told by the stretch score."""
+    made = {c: F.lit(v) if v is not None else F.lit(None).cast("double") for c, v in VALUATION_DEFAULTS.items() if c not in df.columns}
+    out = df.withColumns(made) if made else df
+    blank = F.trim(F.coalesce("valuation_label", F.lit(""))) == ""
+    return out.withColumn("valuation_label", F.when(blank, S.valuation_label(F.col("valuation_stretch_score"))).otherwise(F.col("valuation_label")))
+
+
 def obv_scores(df: DataFrame, bound: int, plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
     """Percentile of positive OBV slopes over the universe, plus a divergence bonus."""
     c = F.col

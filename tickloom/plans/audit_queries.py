@@ -8,6 +8,8 @@ from tickloom.functions import labels_text as P
 from tickloom.functions import scores as S
 from tickloom.functions import text as X
 from tickloom.operators import evidence as V
+from tickloom.operators import flow as W
+from tickloom.operators import screen as C
 from tickloom.operators import selection as U
 from tickloom.operators.ranking import top_n
 from tickloom.operators.timeseries import by_date, is_last
@@ -16,7 +18,7 @@ from tickloom.plans.evidence_queries import AS_OF
 from tickloom.plans.flow_queries import regimes
 from tickloom.plans.oracle_base import cte
 from tickloom.plans.registry import query
-from tickloom.plans.screen_queries import quality, signals_last
+from tickloom.plans.screen_queries import indicators, quality, signals_last
 from tickloom.sources import adapters as A
 
 _CATS = list(X.FINDING_WORDS)
@@ -182,12 +184,19 @@ def primary_themes(spark, sf_dir):
     return j.select("name", F.when(F.col("p") == F.col("best"), "primary").when(F.col("p") <= 2, "expanded").alias("tier")).where("tier is not null")
 
 
-@query("valuation_defaults", "P-10", ("siglast",), """
-  SELECT ts_code, CASE WHEN pe IS NULL THEN 50 ELSE round(100-least(100,pe),6) END AS valuation_quality_score, CASE WHEN pe IS NULL THEN '估值待补充' ELSE '合理' END AS valuation_label FROM siglast""")
+# a universe from before the valuation columns: stretch and label for some names only
+_LEGACY = ["round(100*close_position,6) AS valuation_stretch_score", "CASE WHEN k%4=0 THEN NULL WHEN k%4=1 THEN ' ' ELSE '适中溢价' END AS valuation_label"]
+
+
+@query("valuation_defaults", "P-10", ("siglast",), f"""
+  SELECT ts_code, 50.0::DOUBLE AS valuation_quality_score, valuation_stretch_score, CASE WHEN trim(coalesce(valuation_label,''))<>'' THEN valuation_label WHEN valuation_stretch_score IS NULL THEN '估值待补充'
+      WHEN valuation_stretch_score>=85 THEN '显著高估' WHEN valuation_stretch_score>=65 THEN '偏贵' WHEN valuation_stretch_score>=40 THEN '适中溢价' ELSE '合理' END AS valuation_label,
+    0 AS valuation_outlier, NULL::DOUBLE AS pe_percentile_industry, NULL::DOUBLE AS pb_percentile_industry, NULL::DOUBLE AS ps_ttm_percentile_industry
+  FROM (SELECT ts_code, {', '.join(_LEGACY)} FROM siglast)""")
 def valuation_defaults(spark, sf_dir):
-    s = signals_last(spark, sf_dir)
-    return s.select("ts_code", F.when(F.col("pe").isNull(), 50.0).otherwise(F.round(100 - F.least(F.lit(100.0), "pe"), 6)).alias("valuation_quality_score"),
-                    F.when(F.col("pe").isNull(), "估值待补充").otherwise("合理").alias("valuation_label"))
+    legacy = signals_last(spark, sf_dir).withColumnRenamed("instrument_key", "k").selectExpr("ts_code", *_LEGACY)
+    out = C.with_valuation_columns(legacy)
+    return out.withColumn("valuation_outlier", F.col("valuation_outlier").cast("int"))
 
 
 def filter_by(df, rules: dict):
@@ -209,14 +218,27 @@ def candidate_screener(spark, sf_dir):
     return filter_by(j, {"pe_max": 20, "volume_boost_min": 0.9, "exchange": ["SSE", "SZSE"]}).select("ts_code", r6("pe"))
 
 
-_H = (5, 20, 60, 120)
+_DIGITS = {"rsi14": 1, "adx": 1, "dist_ma20": 2, "dist_ma60": 2, "atr_pct": 2, "bbw": 2}
 
 
-@query("factor_card", "A-33", ("bars",), f"""
-  SELECT ts_code, {', '.join(f'round(r{h},6) AS r{h}' for h in _H)} FROM (SELECT ts_code, rn, nbars, {', '.join(f'close/lag(close,{h}) OVER w-1 AS r{h}' for h in _H)} FROM bars WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date)) WHERE rn=nbars""")
+@query("factor_card", "A-33", ("sig",), f"""
+  SELECT ts_code, horizon, round(arg_max(r, k) FILTER (k<=horizon),2) AS ret, {', '.join(f'round(max(CASE WHEN k=1 THEN {n} END),{d}) AS {n}' for n, d in _DIGITS.items())}
+  FROM (SELECT ts_code, {{'v': return_5d}} AS rs, return_5d AS r, rsi14, adx, close/sma20-1 AS dist_ma20, close/sma60-1 AS dist_ma60, atr14/close AS atr_pct, bb_width AS bbw,
+      row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS k FROM sig), (VALUES (5),(20),(60),(120)) h(horizon)
+  WHERE k<=120 GROUP BY ts_code, horizon""")
 def factor_card(spark, sf_dir):
-    r = [F.round(F.col("close") / F.lag("close", h).over(by_date()) - 1, 6).alias(f"r{h}") for h in _H]
-    return A.bars(spark, sf_dir).select("ts_code", *r, is_last().alias("l")).where("l").drop("l")
+    return W.factor_cards(indicators(spark, sf_dir))
+
+
+@query("evidence_gaps", "P-17", ("find", "stock_basic"), f"""
+  SELECT ts_code, CASE WHEN coalesce(n,0)<2 THEN array_to_string(list_filter({list(X.FINDING_WORDS)!r}, lambda x: NOT list_contains(coalesce(c,[]), x)),'|') ELSE '' END AS gaps
+  FROM stock_basic LEFT JOIN (SELECT ts_code, count(*) AS n, list(DISTINCT category) AS c FROM find GROUP BY 1) USING (ts_code)""")
+def evidence_gaps(spark, sf_dir):
+    """Categories that nothing was found for, of names with fewer than two findings."""
+    per = V.positive_findings(A.search_hits(spark, sf_dir)).groupBy("ts_code").agg(F.count(F.lit(1)).alias("n"), F.collect_set("category").alias("c"))
+    j = A.stock_basic(spark, sf_dir).select("ts_code").join(per, "ts_code", "left")
+    left = F.array_except(F.array(*map(F.lit, X.FINDING_WORDS)), F.coalesce("c", F.array().cast("array<string>")))
+    return j.select("ts_code", F.when(F.coalesce("n", F.lit(0)) < 2, F.array_join(left, "|")).otherwise("").alias("gaps"))
 
 
 @query("movers", "K-6 K-7", ("siglast",), "SELECT ts_code, round(return_20d,6) AS return_20d FROM siglast ORDER BY siglast.return_20d DESC, ts_code LIMIT 10")

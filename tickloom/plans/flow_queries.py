@@ -76,23 +76,32 @@ def list_presence(spark, sf_dir):
         F.count(F.lit(1)).alias("appearances"), F.round(F.sum("net_amount"), 4).alias("net"), F.max_by("reason", "event_id").alias("last_reason"))
 
 
-@query("market_sentiment", "A-30", ("top_list", "top_inst"), """
-  SELECT round(f,4) AS flow, round(b,4) AS breadth, round(s,4) AS seats, round(f*0.4+b*0.3+s*0.3,4) AS score FROM (
-    SELECT (sum(net_amount)/sum(abs(net_amount))+1)*50 AS f, least(1.0,count(DISTINCT ts_code)/100.0)*100 AS b FROM top_list), (SELECT (sum(net_buy)/sum(abs(net_buy))+1)*50 AS s FROM top_inst)""")
+# thresholds of a market's size are parameters; the given amounts are small
+_FLOOR = 1.0
+
+
+@query("market_sentiment", "A-30", ("top_list", "top_inst"), f"""
+  SELECT score, CASE WHEN n=0 THEN 'NO DATA' WHEN score>=70 THEN 'BULLISH' WHEN score>=55 THEN 'NEUTRAL-BULLISH' WHEN score>=45 THEN 'NEUTRAL' WHEN score>=30 THEN 'NEUTRAL-BEARISH' ELSE 'BEARISH' END AS label,
+    round(f,2) AS capital_flow, round(b,2) AS breadth, round(t,2) AS theme_strength
+  FROM (SELECT *, CAST(floor(round(f*0.4+b*0.3+t*0.3,2)*100) AS INTEGER) AS score FROM (
+    SELECT count(*) AS n, (greatest(-1,least(1,sum(net_amount)/greatest(abs(sum(2*l_buy-net_amount)),{_FLOOR})))+1)/2 AS f, least(1.0,count(DISTINCT ts_code)/100.0) AS b FROM top_list),
+    (SELECT (greatest(-1,least(1,sum(net_buy)/greatest(abs(sum(buy)+sum(sell)),{_FLOOR})))+1)/2 AS t FROM top_inst))""")
 def market_sentiment(spark, sf_dir):
-    return W.market_sentiment(A.top_list(spark, sf_dir), A.top_inst(spark, sf_dir)).select(*rounded(["flow", "breadth", "seats", "score"], 4))
+    return W.market_sentiment(A.top_list(spark, sf_dir), A.top_inst(spark, sf_dir), _FLOOR)
 
 
 @query("market_breadth", "A-31", ("ind",), f"""
-  SELECT {sql_day('trade_date')}, round(avg(CASE WHEN return_5d>0 THEN 1.0 ELSE 0.0 END),6) AS advancing, round(avg(CASE WHEN close>sma20 THEN 1.0 ELSE 0.0 END),6) AS above_ma20,
-    round(avg(CASE WHEN volume_ratio_5d_vs_60d>1 THEN 1.0 ELSE 0.0 END),6) AS volume_up FROM ind GROUP BY 1""")
+  SELECT {sql_day('trade_date')}, CASE WHEN count(*) FILTER (return_5d<0)>0 THEN round(count(*) FILTER (return_5d>0)/count(*) FILTER (return_5d<0),2) ELSE 1.0 END AS advance_decline_ratio,
+    round(count(*) FILTER (close>sma20)/count(*)*100,1) AS pct_above_ma20, round(count(*) FILTER (close>sma60)/count(*)*100,1) AS pct_above_ma60, round(count(*) FILTER (v5/v20>1)/count(*)*100,1) AS volume_breadth
+  FROM (SELECT *, avg(vol) OVER (w ROWS 4 PRECEDING) AS v5, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING)=20 THEN avg(vol) OVER (w ROWS 19 PRECEDING) END AS v20 FROM ind WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date))
+  WHERE trade_date=(SELECT max(trade_date) FROM ind) GROUP BY trade_date""")
 def market_breadth(spark, sf_dir):
     from tickloom.plans.screen_queries import indicators
 
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    return indicators(spark, sf_dir).groupBy("trade_date").agg(
-        share(F.col("return_5d") > 0).alias("advancing"), share(F.col("close") > F.col("sma20")).alias("above_ma20"),
-        share(F.col("volume_ratio_5d_vs_60d") > 1).alias("volume_up")).select(day("trade_date"), "advancing", "above_ma20", "volume_up")
+    w = R.Window.partitionBy("ts_code").orderBy("trade_date")
+    v20 = F.when(F.count(F.lit(1)).over(w.rowsBetween(-19, 0)) == 20, F.avg("vol").over(w.rowsBetween(-19, 0)))
+    rows = indicators(spark, sf_dir).select("ts_code", "trade_date", "close", "sma20", "sma60", "return_5d", (F.avg("vol").over(w.rowsBetween(-4, 0)) / v20).alias("vol_ratio_5_20"))
+    return W.latest_breadth(rows).select(day("trade_date"), "advance_decline_ratio", "pct_above_ma20", "pct_above_ma60", "volume_breadth")
 
 
 @query("theme_status", "J-22", ("tl", "stock_basic"), """
