@@ -241,6 +241,6 @@ def evidence_gaps(spark, sf_dir):
     return j.select("ts_code", F.when(F.coalesce("n", F.lit(0)) < 2, F.array_join(left, "|")).otherwise("").alias("gaps"))
 
 
-@query("movers", "K-6 K-7", ("siglast",), "SELECT ts_code, round(return_20d,6) AS return_20d FROM siglast ORDER BY siglast.return_20d DESC, ts_code LIMIT 10")
+@query("movers", "K-7", ("siglast",), "SELECT ts_code, round(return_20d,6) AS return_20d FROM siglast ORDER BY siglast.return_20d DESC, ts_code LIMIT 10")
 def movers(spark, sf_dir):
     return signals_last(spark, sf_dir).orderBy(F.desc("return_20d"), "ts_code").limit(10).select("ts_code", r6("return_20d"))

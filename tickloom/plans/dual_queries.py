@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scores as S
 from tickloom.operators import evidence as V
 from tickloom.operators import flow as W
+from tickloom.operators import report as P
 from tickloom.operators import selection as U
+from tickloom.operators import timing as M
 from tickloom.plans.audit_queries import audits
 from tickloom.plans.common import r6
 from tickloom.plans.evidence_queries import THEMES, _any
 from tickloom.plans.oracle_base import cte
 from tickloom.plans.registry import query
-from tickloom.plans.screen_queries import screened
+from tickloom.plans.screen_queries import screened, signals_last
 from tickloom.sources import adapters as A
 from tickloom.sources.workspace import saved
 
@@ -48,8 +51,8 @@ def theme_list_strength(spark, sf_dir):
     return U.list_strength(_matched(spark, sf_dir).where(F.size("matched_themes") > 0), themes)
 
 
-@query("dual_list", "K-2 K-4 U-1 U-2 U-3 J-5", ("pre", "strong"), """
-  SELECT ts_code, list_type, round(pre_audit,4) AS pre_audit, strength AS theme_strength_score, CAST(row_number() OVER (ORDER BY list_type='technical', pre_audit DESC, ts_code) AS INTEGER) AS position
+cte("dual", ("pre", "strong"), """
+  SELECT ts_code, list_type, pre_audit, strength AS theme_strength_score, CAST(row_number() OVER (ORDER BY list_type='technical', pre_audit DESC, ts_code) AS INTEGER) AS position
   FROM (
     WITH th AS (SELECT * FROM pre JOIN strong USING (ts_code) QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=30),
     pool AS (SELECT ts_code FROM pre WHERE consolidation_score>=20 QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=20)
@@ -57,6 +60,9 @@ def theme_list_strength(spark, sf_dir):
     UNION ALL SELECT ts_code, pre_audit, strength, 'theme_driven' FROM th WHERE ts_code IN (SELECT ts_code FROM th EXCEPT SELECT ts_code FROM pool)
     UNION ALL SELECT ts_code, pre_audit, 0.0, 'technical' FROM (
       SELECT * FROM pre WHERE consolidation_score>=20 AND ts_code NOT IN (SELECT ts_code FROM th) QUALIFY row_number() OVER (ORDER BY pre_audit DESC, ts_code)<=20))""")
+
+
+@query("dual_list", "K-2 K-4 U-1 U-2 U-3 J-5", ("dual",), "SELECT ts_code, list_type, round(pre_audit,4) AS pre_audit, theme_strength_score, position FROM dual")
 def dual_list(spark, sf_dir):
     themes = spark.createDataFrame(_THEME_ROWS, "theme string, status string, capital_signal boolean")
     out = U.dual_list(_universe(spark, sf_dir), _matched(spark, sf_dir), themes, 2)
@@ -123,3 +129,58 @@ def refill_rounds(spark, sf_dir):
     universe = saved(_universe(spark, sf_dir), "universe")
     out = U.refilled(universe, _matched(spark, sf_dir), b.where("instrument_key % 9 = 0"), themes, b.where("instrument_key % 20 = 1"))
     return out.select("round", "ts_code", "list_type", "filter_tier", "theme_strength_score")
+
+
+# report tables: the dual list with its names, themes, valuation, place in the box and audits
+cte("cand", ("dual", "scr", "themed", "siglast", "conf", "top_list"), """
+  SELECT d.*, s.name, s.valuation_label, s.fundamental_quality_score, s.consolidation_score, s.volume_boost, t.themes, g.close_position, c.confidence, least(1.0,coalesce(h,0)/5.0) AS recency
+  FROM dual d JOIN scr s ON s.ts_code=d.ts_code LEFT JOIN themed t ON t.ts_code=d.ts_code LEFT JOIN siglast g ON g.ts_code=d.ts_code
+    LEFT JOIN (SELECT ts_code, avg(confidence) AS confidence FROM conf GROUP BY 1) c ON c.ts_code=d.ts_code LEFT JOIN (SELECT ts_code AS hc, count(*) AS h FROM top_list GROUP BY 1) ON hc=d.ts_code""")
+
+
+def _candidates(spark, sf_dir):
+    themes = spark.createDataFrame(_THEME_ROWS, "theme string, status string, capital_signal boolean")
+    c = F.col
+    screen = saved(screened(spark, sf_dir).join(W.hit_counts(A.top_list(spark, sf_dir)), "ts_code", "left").withColumn("toplist_recency_score", F.coalesce("toplist_recency_score", F.lit(0.0))), "screen")
+    score = S.pre_audit(c("fundamental_quality_score"), c("valuation_quality_score"), c("consolidation_score"), c("squeeze_readiness"), c("toplist_recency_score"))
+    universe = screen.select("ts_code", "composite_score", "consolidation_score", "volume_boost", F.round(score, 6).alias("pre_audit"))
+    matched = _matched(spark, sf_dir).select("ts_code", "matched_themes")
+    dual = U.dual_list(universe, matched, themes, 2).select("ts_code", "list_type", F.col("pre_audit").alias("alpha_rank_score"), "theme_strength_score", "position")
+    more = screen.select("ts_code", "name", "valuation_label", "fundamental_quality_score", "consolidation_score", "volume_boost", "toplist_recency_score")
+    sure = _confident(spark, sf_dir).groupBy("ts_code").agg(F.avg("confidence").alias("confidence"))
+    place = signals_last(spark, sf_dir).select("ts_code", "close_position")
+    return saved(dual.join(more, "ts_code").join(matched, "ts_code", "left").join(place, "ts_code", "left").join(sure, "ts_code", "left"), "candidates")
+
+
+_TOLD = "coalesce(nullif(array_to_string(themes[1:2], ', '),''),'{}')"
+
+
+@query("report_tables_of_names", "K-6 P-16", ("cand",), f"""
+  SELECT 'theme' AS kind, position, name||'('||ts_code||')' AS stock, {_TOLD.format('待确认')} AS themes, valuation_label AS valuation,
+    printf('%.2f',theme_strength_score)||' '||printf('%.1f',fundamental_quality_score)||' '||printf('%.1f',pre_audit) AS told FROM (SELECT * FROM cand WHERE list_type<>'technical' ORDER BY position LIMIT 5)
+  UNION ALL SELECT 'core', position, name||'('||ts_code||')', {_TOLD.format('技术形态入选')}, valuation_label,
+    CASE WHEN close_position IS NULL THEN '—' ELSE printf('%.0f',close_position*100)||'%分位' END||' 横盘分'||printf('%.0f',consolidation_score)||'，量能'||printf('%.2f',volume_boost)||' '||printf('%.2f',coalesce(confidence,0.5))
+      ||' alpha评分'||printf('%.1f',pre_audit)||'；拥挤度'||printf('%.2f',recency) FROM (SELECT * FROM cand WHERE list_type<>'theme_driven' ORDER BY position LIMIT 10)
+  UNION ALL SELECT 'order', CAST(row_number() OVER (ORDER BY coalesce(close_position,0.5), position) AS INTEGER), ts_code, '', '', '' FROM cand""")
+def report_tables_of_names(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    theme = P.theme_table(c).select(F.lit("theme").alias("kind"), "position", "stock", "themes", "valuation", F.concat_ws(" ", "strength", "quality", "alpha").alias("told"))
+    core = P.core_table(c, 10).select(F.lit("core"), "position", "stock", "themes", "valuation", F.concat_ws(" ", "box", "shape", "confidence", "reason"))
+    w = Window.orderBy(F.coalesce("close_position", F.lit(0.5)), "position")  # two capped lists
+    order = P.report_order(c).select(F.lit("order"), F.row_number().over(w), "ts_code", *[F.lit("")] * 3)
+    return theme.union(core).union(order)
+
+
+@query("signals_overlay", "J-21", ("siglast", "scr", "tm"), """
+  SELECT ts_code, round(adx,6) AS adx, ma_trend, round(consolidation_score,4) AS consolidation_score,
+    CASE WHEN ma_trend='bearish' AND pos<0.5 AND adx_>25 THEN 'downtrend' WHEN pos<0.2 AND (ma_trend='bearish' OR obv_divergence) THEN 'bottom_fishing' WHEN pos>0.85 AND ignition AND dt<0.05 THEN 'breakout_zone'
+      WHEN pos>0.8 AND adx_>30 AND adx_slope>0 THEN 'breakout_zone' WHEN ma_trend='bullish' AND adx_>30 AND bos_20d THEN 'uptrend' WHEN ma_trend='bullish' AND adx_>22 THEN 'uptrend' ELSE 'range' END AS market_regime
+  FROM (SELECT *, coalesce(nullif(adx,0),20) AS adx_, coalesce(nullif(close_position,0),0.5) AS pos, coalesce(nullif(dist_to_box_top,0),0.10) AS dt FROM (
+    SELECT s.* REPLACE (coalesce(c.adx*1.5,s.adx) AS adx, coalesce(CASE WHEN c.k%2=0 THEN 'bullish' END,s.ma_trend) AS ma_trend), c.consolidation_score FROM siglast s JOIN tm USING (ts_code) LEFT JOIN scr c ON c.ts_code=s.ts_code))""")
+def signals_overlay(spark, sf_dir):
+    """Candidates with a changed ADX, and a trend for every second one, laid over the signals; the regime is judged after."""
+    trend = F.when(F.col("instrument_key") % 2 == 0, "bullish")
+    c = screened(spark, sf_dir).select("ts_code", (F.col("adx") * 1.5).alias("adx"), trend.alias("ma_trend"), "consolidation_score")
+    t = M.latest_timing(A.bars(spark, sf_dir)).select("ts_code", "timing_bos", "timing_score")
+    out = U.add_regime(P.overlay(signals_last(spark, sf_dir), c).join(t, "ts_code"))
+    return out.select("ts_code", r6("adx"), "ma_trend", r6("consolidation_score", 4), "market_regime")

@@ -76,7 +76,7 @@ def positive_findings(spark, sf_dir):
     return V.positive_findings(A.search_hits(spark, sf_dir)).select("doc_id", "ts_code", "category", "confidence")
 
 
-@query("findings_per_instrument", "P-17 T-15", ("find",), """
+@query("findings_per_instrument", "T-15", ("find",), """
   SELECT ts_code, count(*) AS findings, count(DISTINCT category) AS categories, 5-count(DISTINCT category) AS gaps FROM find GROUP BY 1""")
 def findings_per_instrument(spark, sf_dir):
     f = V.positive_findings(A.search_hits(spark, sf_dir))
@@ -124,26 +124,26 @@ _TOK = {n: sorted({w for w in " ".join([n, *k]).replace("-", " ").split() if len
 _any = lambda n, c: "(" + " OR ".join(f"contains({c},'{t}')" for t in _TOK[n]) + ")"
 
 
-@query("theme_text_match", "J-15 P-11 F-28", ("hits",), f"""
+@query("theme_text_match", "", ("hits",), f"""
   SELECT doc_id, coalesce(array_to_string(list_filter([{', '.join(f"CASE WHEN {_any(n, 't')} THEN '{n}' END" for n in THEMES)}], lambda x: x IS NOT NULL)[1:2],'|'),'') AS themes FROM (SELECT doc_id, name||' '||industry||' '||snippet AS t FROM hits)""")
 def theme_text_match(spark, sf_dir):
     h = A.search_hits(spark, sf_dir).select("doc_id", F.concat_ws(" ", "name", "industry", "snippet").alias("t"))
     return V.theme_matches(h, "t", THEMES, ["doc_id"]).select("doc_id", F.array_join("matched_themes", "|").alias("themes"))
 
 
-@query("theme_industry_match", "J-16 J-18", ("stock_basic",), f"""
+@query("theme_industry_match", "J-16", ("stock_basic",), f"""
   SELECT ts_code, coalesce(array_to_string(list_filter([{', '.join(f"CASE WHEN {_any(n, 'industry')} THEN '{n}' END" for n in THEMES)}], lambda x: x IS NOT NULL)[1:2],'|'),'') AS themes FROM stock_basic""")
 def theme_industry_match(spark, sf_dir):
     return V.theme_matches(A.stock_basic(spark, sf_dir), "industry", THEMES, ["ts_code"]).select("ts_code", F.array_join("matched_themes", "|").alias("themes"))
 
 
-@query("theme_match_validation", "J-17", ("hits",), " UNION ALL ".join(
+@query("theme_match_validation", "", ("hits",), " UNION ALL ".join(
     f"SELECT ts_code, '{n}' AS theme, " + "+".join(f"CAST(bool_or(contains(snippet,'{t}')) AS BIGINT)" for t in _TOK[n]) + " AS hits FROM hits GROUP BY 1 HAVING bool_or(" + _any(n, "snippet") + ")" for n in THEMES))
 def theme_match_validation(spark, sf_dir):
     return V.token_hits(A.search_hits(spark, sf_dir), "snippet", THEMES, ["ts_code"]).select("ts_code", "theme", "hits")
 
 
-@query("names_in_evidence", "J-14", ("hits",), "SELECT ts_code, count(*) AS mentions FROM hits WHERE length(name)>=3 AND contains(snippet,name) GROUP BY 1")
+@query("names_in_evidence", "", ("hits",), "SELECT ts_code, count(*) AS mentions FROM hits WHERE length(name)>=3 AND contains(snippet,name) GROUP BY 1")
 def names_in_evidence(spark, sf_dir):
     h = A.search_hits(spark, sf_dir).where((F.length("name") >= 3) & F.col("snippet").contains(F.col("name")))
     return h.groupBy("ts_code").agg(F.count(F.lit(1)).alias("mentions"))

@@ -121,7 +121,7 @@ def live_bar_merge(spark, sf_dir):
     return D.merge_live(b, live).select("ts_code", day("trade_date"), r6("close"), "source")
 
 
-@query("event_payloads", "S-13 T-14", (), "SELECT event_id, event_type AS event, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events")
+@query("event_payloads", "S-13", (), "SELECT event_id, event_type AS event, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events")
 def event_payloads(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event"), F.from_json("props", "k bigint")["k"].alias("k"))
 
