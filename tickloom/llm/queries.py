@@ -146,6 +146,23 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT k, array_to_string(w[i:i + 3], ' ') AS shingle
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.k AS a, y.k AS b, count(*) AS m FROM s x JOIN s y USING (shingle) GROUP BY x.k, y.k) p
+  JOIN n na ON na.k = p.a JOIN n nb ON nb.k = p.b WHERE 100 * m >= 85 * (na.n + nb.n - m)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM d LEFT JOIN n USING (k) LEFT JOIN (SELECT r.a AS k, min(o.doc_id) AS least_id FROM reach r JOIN d o ON o.k = r.b GROUP BY r.a) USING (k)
+"""
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -188,4 +205,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_url_filter": op8_url_filter, "op9_pii": op9_pii, "op10_warc": op10_warc,
            "op11_jaccard_join": op11_jaccard_join, "op12_importance": op12_importance, "op13_prefix_trie": op13_prefix_trie}
-SQL = {"op3_license_scan": OP3_SQL, "op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL, "op12_importance": OP12_SQL}
+SQL = {"op3_license_scan": OP3_SQL, "op4_lm_score": OP4_SQL, "op7_quality_rules": OP7_SQL, "op11_jaccard_join": OP11_SQL, "op12_importance": OP12_SQL}
