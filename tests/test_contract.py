@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_mod.queries(), entry_mod.oracle_sql()
 # a spread over all modules; the whole list runs with `python -m tickloom.oracle_check`
 SAMPLE = ["listed_instruments", "normalised_bars", "panel_volatility", "pattern_retest", "forward_labels", "snapshot_append", "indicator_adx",
-          "fundamental_quality", "industry_heat", "hard_veto", "pick_returns", "catalog_sql"]
+          "fundamental_quality", "industry_heat", "hard_veto", "pick_returns", "catalog_sql", "dual_list", "theme_named_stocks", "merged_verdicts",
+          "statement_store", "pick_splits", "market_sentiment", "factor_card", "evidence_chunks"]
 
 
 def test_every_oracle_has_a_query():
