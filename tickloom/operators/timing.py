@@ -53,11 +53,11 @@ def latest_timing(bars: DataFrame) -> DataFrame:
         F.max(F.when(c("broke_now"), 1).otherwise(0)).over(rows(-20, 0)).alias("recent_break"),
         F.max(F.when(c("rn") == c("n"), c("close"))).over(all_rows).alias("last_close"),
         F.max(F.when(c("rn") == c("n"), c("atr"))).over(all_rows).alias("last_atr"),
-        F.collect_list(F.when(c("swing").isNotNull(), F.struct("rn", "swing"))).over(all_rows).alias("_sw"),
+        F.max(F.when(c("swing").isNotNull(), c("rn"))).over(all_rows).alias("_last_swing_rn"),
     )
     # the swing before the last one: its first break, then a later low back in the zone
-    prev = F.when(F.size("_sw") >= 2, F.element_at(F.array_sort("_sw"), -2))
-    df = df.withColumn("_prev", prev)
+    earlier = c("swing").isNotNull() & (c("rn") < c("_last_swing_rn"))
+    df = df.withColumn("_prev", F.max(F.when(earlier, F.struct("rn", "swing"))).over(all_rows))
     df = df.withColumn("_break_rn", F.min(F.when((c("rn") > c("_prev.rn")) & (c("close") > c("_prev.swing")), c("rn"))).over(all_rows))
     bottom, top = c("_prev.swing") - c("last_atr") * 0.3, c("_prev.swing") + c("last_atr") * 0.2
     touched = (c("rn") > c("_break_rn")) & (c("low") >= bottom) & (c("low") <= top)
@@ -70,7 +70,7 @@ def latest_timing(bars: DataFrame) -> DataFrame:
     bos = enough & F.coalesce(c("close") > c("_swing_now"), no) & c("swing").isNull()
     flags = last.select(
         "ts_code", "trade_date", "poc", bos.alias("timing_bos"),
-        (bos & atr_ok & (F.size("_sw") >= 2) & (c("_touched") == 1) & F.coalesce(c("close") > bottom, no)).alias("timing_true_bos"),
+        (bos & atr_ok & c("_prev").isNotNull() & (c("_touched") == 1) & F.coalesce(c("close") > bottom, no)).alias("timing_true_bos"),
         (bos & (c("vol20") > 0) & (c("vol") > c("vol20") * 1.5)).alias("timing_joc"),
         F.coalesce(atr_ok & (F.abs(c("close") - c("poc")) <= c("atr")), no).alias("timing_poc"),
         F.coalesce(atr_ok & (F.abs(c("close") - c("poc")) <= c("atr")) & (c("n") >= 20)
