@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, ic as I
@@ -14,8 +16,9 @@ from tickloom.plans.common import day, flag, r6, rounded, sql_day, sql_round
 from tickloom.plans.oracle_base import cte
 from tickloom.plans.panel_queries import panel
 from tickloom.plans.pattern_queries import pattern_panel
-from tickloom.plans.registry import query
+from tickloom.plans.registry import _SQL, query
 from tickloom.sources import adapters as A
+from tickloom.sources.workspace import saved
 
 _W = "PARTITION BY ts_code ORDER BY trade_date"
 SNAP_FACTORS = ["alpha_rank_score", "vol_contraction"]
@@ -341,6 +344,20 @@ def promotion_gates(spark, sf_dir):
     return I.promotion_gates(m).select("scenario", *map(flag, ["improve_top_decile_10d", "hit_rate_minimum", "spread_positive", "pass"]))
 
 
+_STUDY = {"ic_by_date": ("ic_by_date", "n"), "ic_summary": ("ic_summary", "periods"), "quantile_returns": ("quantile_returns", "n"), "top_n_returns": ("top_n_returns", "selected"),
+          "robustness": ("robustness_breakdowns", "n")}
+
+
+@query("factor_study", "A-13 V-7", ("icd", "lpairs", "gpairs"), " UNION ALL ".join(
+    f"SELECT '{frame}' AS frame, count(*) AS row_count, CAST(sum({n}) AS BIGINT) AS total FROM ({_SQL[name][1]}) WHERE factor='alpha_rank_score'" for frame, (name, n) in _STUDY.items()))
+def factor_study(spark, sf_dir):
+    """The whole study of one factor from labels that are written once: rows of each frame, and what they count."""
+    rows = saved(labels(spark, sf_dir), "labels")
+    study = I.evaluate_factors(rows, ["alpha_rank_score", "absent"], RETS, cross_bound(spark, sf_dir), pooled_bound(spark, sf_dir))
+    out = [getattr(study, frame).agg(F.count(F.lit(1)).alias("row_count"), F.sum(n).cast("long").alias("total")).select(F.lit(frame).alias("frame"), "row_count", "total") for frame, (_, n) in _STUDY.items()]
+    return reduce(lambda a, b: a.union(b), out)
+
+
 @query("signal_calendar", "V-3", (), """
   SELECT strftime(d,'%Y-%m-%d') AS trade_day, strftime(CAST(date_trunc('week',d) AS DATE)+4,'%Y-%m-%d') AS anchor_friday
   FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)""")
