@@ -82,7 +82,7 @@ def statement_upsert(spark, sf_dir):
 
 @query("statement_store", "S-17 J-12", ("financial", "stock_basic"), """
   SELECT ts_code, strftime(end_date,'%Y-%m-%d') AS end_date, round(total_revenue*f,2) AS total_revenue, round(total_assets,2) AS total_assets, round(n_cashflow_act*f,2) AS n_cashflow_act, round(eps,6) AS eps
-  FROM (SELECT x.*, CASE WHEN k%3=0 AND end_date>=DATE '2000-12-31' THEN 1.5 ELSE 1 END AS f FROM financial x) WHERE NOT (k%3<>0 AND end_date>DATE '2001-06-30')
+  FROM (SELECT x.*, CASE WHEN k%3=0 AND end_date>=DATE '2000-12-31' THEN 2 ELSE 1 END AS f FROM financial x) WHERE NOT (k%3<>0 AND end_date>DATE '2001-06-30')
   QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY end_date DESC)<=12""")
 def statement_store(spark, sf_dir):
     """Four feeds up to a day, stored; then those of every third instrument again, changed and with later quarters, merged in."""
@@ -93,7 +93,7 @@ def statement_store(spark, sf_dir):
     Z.merge_statements(spark, path, feeds(f.where("end_date <= date '2001-06-30'")))
     third = f.where("instrument_key % 3 = 0 AND end_date >= date '2000-12-31'")
     for c in ("total_revenue", "n_cashflow_act"):
-        third = third.withColumn(c, F.col(c) * 1.5)
+        third = third.withColumn(c, F.col(c) * 2)
     Z.merge_statements(spark, path, feeds(third))
     return spark.read.parquet(path).select("ts_code", day("end_date"), *[F.round(c, 2).alias(c) for c in columns[:3]], r6("eps"))
 
