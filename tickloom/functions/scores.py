@@ -28,6 +28,26 @@ def positive(c: Column) -> Column:
     return F.when((c > 0) & ~F.isnan(c) & (c < F.lit(float("inf"))), c)
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """The number to `digits` decimals: it is scaled, rounded half away from zero and scaled back, as SQL engines do with doubles.
+
+    F.round goes by the shortest decimal text instead: 56.949999999999996, a sum that should be 56.95, would become 56.9."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def printed(x: Column, digits: int) -> Column:
+    """The number with no or one decimal as C's printf shows it: its exact binary value, ties to even; Java's format takes ties up."""
+    if digits == 0:
+        return F.rint(x)
+    a = F.abs(x)
+    whole = F.floor(a)
+    tenths = ((a - whole) * 2.0**59).cast("long") * 10  # the fraction is exact in 59 bits wherever a tie can be
+    digit, rest, half = F.shiftright(tenths, 59), tenths.bitwiseAND(F.lit(2**59 - 1)), 2**58
+    up = F.when((rest > half) | ((rest == half) & (digit % 2 == 1)), 1).otherwise(0)
+    shown = F.when(a < 2.0**52, (whole * 10 + digit + up) / 10.0).otherwise(a)
+    return F.when(x < 0, -shown).otherwise(shown)
+
+
 def linear(v: Column, lo: float, hi: float, points: float, invert: bool = False) -> Column:
     if hi <= lo:
         return F.lit(0.0)

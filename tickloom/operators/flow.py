@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tickloom.functions.scores import half_up
 from tickloom.operators.ranking import top_n
 
 NORTH_SEATS, INST_SEAT = "沪股通|深股通", "机构专用"  # fixed values: seat names
@@ -102,19 +103,23 @@ def market_sentiment(top_list: DataFrame, top_inst: DataFrame, least_amount: flo
     return j.select(score.alias("score"), label.alias("label"), *[F.round(n, 2).alias(a) for n, a in (("flow", "capital_flow"), ("breadth", "breadth"), ("theme", "theme_strength"))])
 
 
-def latest_breadth(rows: DataFrame) -> DataFrame:
-    """One row for the latest date: advancing to declining names, shares above two averages, and of rising volume, in percent.
+def breadth(rows: DataFrame) -> DataFrame:
+    """One row a date: advancing to declining names, shares above two averages, and of rising volume, in percent.
 
     rows: trade_date, close, sma20, sma60, return_5d, vol_ratio_5_20."""
     c = F.col
-    share = lambda cond: F.round(F.count_if(cond) / F.count(F.lit(1)) * 100, 1)
+    share = lambda cond: half_up(F.count_if(cond) / F.count(F.lit(1)) * 100, 1)
     falling = F.count_if(c("return_5d") < 0)
-    last = rows.join(rows.agg(F.max("trade_date").alias("trade_date")), "trade_date", "left_semi")
-    return last.groupBy("trade_date").agg(
-        F.when(falling > 0, F.round(F.count_if(c("return_5d") > 0) / falling, 2)).otherwise(1.0).alias("advance_decline_ratio"),
+    return rows.groupBy("trade_date").agg(
+        F.when(falling > 0, half_up(F.count_if(c("return_5d") > 0) / falling, 2)).otherwise(1.0).alias("advance_decline_ratio"),
         share(c("close") > c("sma20")).alias("pct_above_ma20"), share(c("close") > c("sma60")).alias("pct_above_ma60"), share(c("vol_ratio_5_20") > 1).alias("volume_breadth"))
 
 
+def latest_breadth(rows: DataFrame) -> DataFrame:
+    """breadth of the latest date."""
+    return breadth(rows.join(rows.agg(F.max("trade_date").alias("trade_date")), "trade_date", "left_semi"))
+
+
 CARD_HORIZONS = (5, 20, 60, 120)
 
 

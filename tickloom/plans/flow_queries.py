@@ -94,14 +94,14 @@ def market_sentiment(spark, sf_dir):
   SELECT {sql_day('trade_date')}, CASE WHEN count(*) FILTER (return_5d<0)>0 THEN round(count(*) FILTER (return_5d>0)/count(*) FILTER (return_5d<0),2) ELSE 1.0 END AS advance_decline_ratio,
     round(count(*) FILTER (close>sma20)/count(*)*100,1) AS pct_above_ma20, round(count(*) FILTER (close>sma60)/count(*)*100,1) AS pct_above_ma60, round(count(*) FILTER (v5/v20>1)/count(*)*100,1) AS volume_breadth
   FROM (SELECT *, avg(vol) OVER (w ROWS 4 PRECEDING) AS v5, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING)=20 THEN avg(vol) OVER (w ROWS 19 PRECEDING) END AS v20 FROM ind WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date))
-  WHERE trade_date=(SELECT max(trade_date) FROM ind) GROUP BY trade_date""")
+  GROUP BY trade_date""")
 def market_breadth(spark, sf_dir):
     from tickloom.plans.screen_queries import indicators
 
     w = R.Window.partitionBy("ts_code").orderBy("trade_date")
     v20 = F.when(F.count(F.lit(1)).over(w.rowsBetween(-19, 0)) == 20, F.avg("vol").over(w.rowsBetween(-19, 0)))
     rows = indicators(spark, sf_dir).select("ts_code", "trade_date", "close", "sma20", "sma60", "return_5d", (F.avg("vol").over(w.rowsBetween(-4, 0)) / v20).alias("vol_ratio_5_20"))
-    return W.latest_breadth(rows).select(day("trade_date"), "advance_decline_ratio", "pct_above_ma20", "pct_above_ma60", "volume_breadth")
+    return W.breadth(rows).select(day("trade_date"), "advance_decline_ratio", "pct_above_ma20", "pct_above_ma60", "volume_breadth")
 
 
 @query("theme_status", "J-22", ("tl", "stock_basic"), """
