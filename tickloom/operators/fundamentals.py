@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tickloom.functions.scores import clamp
+from tickloom.functions.scores import clamp, half_up, printed
 
 QUARTERS = 12
 
@@ -212,7 +212,7 @@ def classify_lifecycle(s: DataFrame) -> DataFrame:
     out = s.select(
         "*", F.when(q < 2, "unknown").when(blind, "unknown").when(young, "growth").when(bank, "mature").otherwise(stage).alias("stage"),
         F.when((q < 2) | blind, "").when(young, F.when(c("f_small"), "pre_revenue").otherwise("expansion")).when(bank, "steady").otherwise(sub).alias("subflavor"),
-        F.when(q < 2, 0.0).when(blind, F.greatest(F.lit(0.1), q / 24)).when(young | bank, F.round(few, 2)).otherwise(F.round(conf, 2)).alias("confidence"))
+        F.when(q < 2, 0.0).when(blind, F.greatest(F.lit(0.1), q / 24)).when(young | bank, half_up(few, 2)).otherwise(half_up(conf, 2)).alias("confidence"))
     return out.drop(*[x for x in out.columns if x.startswith(("f_", "g_"))])
 
 
@@ -350,9 +350,9 @@ def quality_scores(s: DataFrame) -> DataFrame:
     d = run_scorers(s, {"_pm": profitability_mature(), "_gm": growth_mature(), "_hm": health_mature(), "_pg": profitability_growth(),
                         "_gg": growth_growth(), "_hg": health_growth(), "_eq": earnings_quality()})
     d = d.select(
-        "*", *[F.round(F.when(grow, c(g)).otherwise(c(m)), 1).alias(n) for n, g, m in (
+        "*", *[half_up(F.when(grow, c(g)).otherwise(c(m)), 1).alias(n) for n, g, m in (
             ("profitability", "_pg", "_pm"), ("growth_quality", "_gg", "_gm"), ("financial_health", "_hg", "_hm"))],
-        F.round("_eq", 1).alias("earnings_quality")).drop("_pm", "_gm", "_hm", "_pg", "_gg", "_hg", "_eq")
+        half_up(c("_eq"), 1).alias("earnings_quality")).drop("_pm", "_gm", "_hm", "_pg", "_gg", "_hg", "_eq")
     dims = ["profitability", "growth_quality", "financial_health", "earnings_quality"]
     total = sum((c(n) * w for n, w in zip(dims, STAGE_WEIGHTS["other"])), F.lit(0.0))
     for st in ("growth", "mature", "cyclical", "declining"):
@@ -365,7 +365,7 @@ def quality_scores(s: DataFrame) -> DataFrame:
         .when(c("stage") == "mature", F.when(x >= 70, "优质").when(x >= 50, "稳健").when(x >= 35, "关注").otherwise("偏弱"))
         .when(c("stage").isin("cyclical", "declining"), F.when(x >= 50, "周期关注").otherwise("周期风险"))
         .otherwise(F.when(x >= 40, "中性").otherwise("待观察")))
-    return d.select("*", F.round("_raw", 1).alias("fundamental_quality_score"), label.alias("label"), F.round("completeness", 2).alias("data_completeness"))
+    return d.select("*", half_up(x, 1).alias("fundamental_quality_score"), label.alias("label"), half_up(c("completeness"), 2).alias("data_completeness"))
 
 
 def add_bullets(s: DataFrame) -> DataFrame:
@@ -378,23 +378,23 @@ def add_bullets(s: DataFrame) -> DataFrame:
     word = lambda x, hi, mid, *w: F.when(x > hi, w[0]).when(x > mid, w[1]).when(x > 0, w[2]).otherwise(w[3])
     sway = lambda x, k, *w: F.when(x > k, w[0]).when(x < -k, w[1]).otherwise(w[2])
     items = [
-        F.when(g.isNotNull(), F.concat(F.lit("营收"), word(g, 0.15, 0.05, "快速增长", "稳健增长", "缓慢增长", "下滑"), fmt("（年化%.1f%%），基于%d个季度数据。", g * 100, F.size("v_revenue")))),
+        F.when(g.isNotNull(), F.concat(F.lit("营收"), word(g, 0.15, 0.05, "快速增长", "稳健增长", "缓慢增长", "下滑"), fmt("（年化%.1f%%），基于%d个季度数据。", printed(g * 100, 1), F.size("v_revenue")))),
         F.when(ni.isNotNull(), F.when(losing, F.when(ni > 0, "公司尚处投入期，但亏损幅度收窄，经营杠杆逐步显现。").otherwise("公司尚处投入期，盈利路径有待兑现，关注现金消耗节奏。"))
                .otherwise(F.concat(F.lit("净利润趋势"), sway(ni, 0.05, "改善", "承压", "平稳"), F.lit("。")))),
         F.when(gm.isNotNull(), F.concat(F.lit("毛利率"), sway(gm, 0.03, "改善", "承压", "稳定"), F.lit("，反映产品竞争力和成本控制能力。"))),
         F.when(cf.isNotNull(), F.concat(F.lit("经营现金流"), sway(cf, 0.05, "改善", "走弱", "稳定"), F.lit("。"))),
-        F.when(d > 60, fmt("资产负债率偏高（%.0f%%），关注偿债压力。", d)).when(d < 30, fmt("资产负债率低（%.0f%%），财务结构稳健。", d)),
-        F.when(y.isNotNull(), F.concat(F.lit("营收同比"), word(y, 20, 10, "高增长", "稳健增长", "低速增长", "下滑"), fmt("（近四季均值%.1f%%）。", y))),
-        F.when(oy > 0, fmt("营业利润同比增长%.1f%%，主业盈利改善。", oy)).when(oy < -10, fmt("营业利润同比下滑%.1f%%，关注主业承压。", oy)),
-        F.when((d > 40) & (pd_ < 3), fmt("利润对债务覆盖不足（利润/负债=%.1f%%），关注偿债能力。", pd_)),
+        F.when(d > 60, fmt("资产负债率偏高（%.0f%%），关注偿债压力。", printed(d, 0))).when(d < 30, fmt("资产负债率低（%.0f%%），财务结构稳健。", printed(d, 0))),
+        F.when(y.isNotNull(), F.concat(F.lit("营收同比"), word(y, 20, 10, "高增长", "稳健增长", "低速增长", "下滑"), fmt("（近四季均值%.1f%%）。", printed(y, 1)))),
+        F.when(oy > 0, fmt("营业利润同比增长%.1f%%，主业盈利改善。", printed(oy, 1))).when(oy < -10, fmt("营业利润同比下滑%.1f%%，关注主业承压。", printed(oy, 1))),
+        F.when((d > 40) & (pd_ < 3), fmt("利润对债务覆盖不足（利润/负债=%.1f%%），关注偿债能力。", printed(pd_, 1))),
         F.when((c("stage") == "growth") & (c("subflavor") == "pre_revenue"), "企业处于早期成长阶段，评分侧重成长潜力和现金可持续性，不因当前未盈利而直接否定。"),
-        F.when(c("completeness") < 0.5, fmt("财务数据覆盖度有限（%.0f%%），部分指标基于有限样本估计。", c("completeness") * 100)),
+        F.when(c("completeness") < 0.5, fmt("财务数据覆盖度有限（%.0f%%），部分指标基于有限样本估计。", printed(c("completeness") * 100, 0))),
     ]
     stage_cn = reduce(lambda acc, kv: F.when(c("stage") == kv[0], kv[1]).otherwise(acc), STAGE_NAMES.items(), c("stage"))
-    revenue = F.when(y.isNotNull(), fmt("营收同比%+.1f%%", y)).when(g.isNotNull(), fmt("营收CAGR %.1f%%", g * 100)).otherwise("营收趋势未知")
+    revenue = F.when(y.isNotNull(), fmt("营收同比%+.1f%%", printed(y, 1))).when(g.isNotNull(), fmt("营收CAGR %.1f%%", printed(g * 100, 1))).otherwise("营收趋势未知")
     way = lambda x, what, good="改善", bad="承压": F.when(x > 0, what + good).when(x <= 0, what + bad).otherwise(what + "趋势未知")
     summary = F.concat(F.lit("【"), stage_cn, F.lit("】"), revenue, F.lit("，"), way(ni, "盈利"), F.lit("，"), way(cf, "现金流"),
-                       fmt("。综合质量得分%.0f/100。", c("_raw")))
+                       fmt("。综合质量得分%.0f/100。", printed(c("_raw"), 0)))
     return s.select("*", F.slice(_valid(F.array(*items)), 1, 5).alias("bullets"), summary.alias("summary"))
 
 
