@@ -35,6 +35,12 @@ def half_up(x: Column, digits: int) -> Column:
     return F.round(x * 10.0**digits) / 10.0**digits
 
 
+def snapped(x: Column) -> Column:
+    """The number on a grid of 1e-12. Means of doubles differ in their last bits with the order of addition; on the grid
+    a ratio that is exactly 1, 0.8 or 1.5 compares as such, whatever the order was."""
+    return F.rint(x * 1e12) / 1e12
+
+
 def printed(x: Column, digits: int) -> Column:
     """The number with no or one decimal as C's printf shows it: its exact binary value, ties to even; Java's format takes ties up."""
     if digits == 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.scores import snapped
 from tickloom.operators.timeseries import EPS, add_ema, by_date, full, rows, sma, to_date_rows, true_range
 
 OBV_DIVERGENCE_NORM = 0.05
@@ -121,4 +122,4 @@ def box_signals(df: DataFrame) -> DataFrame:
 
 def turnover_spikes(df: DataFrame, n: int = 20, mult: float = 1.5) -> DataFrame:
     """Bars whose turnover exceeds a multiple of its full trailing mean."""
-    return df.withColumn("_m", sma("turnover_rate", n)).where(F.col("turnover_rate") > F.col("_m") * mult).drop("_m")
+    return df.withColumn("_m", sma("turnover_rate", n)).where(snapped(F.try_divide("turnover_rate", "_m")) > mult).drop("_m")

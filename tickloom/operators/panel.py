@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.scores import snapped
 from tickloom.operators.timeseries import by_date, rows, whole
 
 HORIZONS = (1, 3, 5, 10, 20)
@@ -52,8 +53,8 @@ def add_features(base: DataFrame) -> DataFrame:
         (c("ma5") - c("ma10")).alias("ma_short_term_slope"),
         (c("ma20") - c("ma60")).alias("ma_trend_spread"),
         div(c("ma20") - c("_ma20_5"), c("_ma20_5")).alias("ma20_slope_5d"),
-        div(c("vol"), c("vol_ma20")).alias("vol_ratio"),
-        div(c("vol_ma5"), c("vol_ma20")).alias("vol_contraction"),
+        snapped(div(c("vol"), c("vol_ma20"))).alias("vol_ratio"),
+        snapped(div(c("vol_ma5"), c("vol_ma20"))).alias("vol_contraction"),
         div(c("open") - c("pre_close"), c("pre_close")).alias("gap_pct"),
         F.when(c("open") > c("pre_close") * 1.005, 1.0).otherwise(0.0).alias("gap_up_flag"),
         div(low_of_body - c("low"), c("high") - c("low")).alias("lower_wick_pct"),
@@ -63,7 +64,7 @@ def add_features(base: DataFrame) -> DataFrame:
         div(c("tr_avg_14"), c("close")).alias("atr_pct"),
         div(c("std_20d") * 2, c("ma20")).alias("bb_width"),
         (div(c("vol"), c("vol_ma20")) * (div(c("close") - c("high_20d"), c("high_20d")) + 0.01)).alias("joc_interaction"),
-        div(c("turnover_rate"), c("turnover_ma20")).alias("turnover_accel"),
+        snapped(div(c("turnover_rate"), c("turnover_ma20"))).alias("turnover_accel"),
         div(c("high_20d") - c("low_20d"), c("close")).alias("range_pct_20d"),
         div(c("high_60d") - c("low_60d"), c("close")).alias("range_pct_60d"),
         div(div(c("tr_avg_14"), c("close")), div(c("tr_avg_14"), c("close_14_ago"))).alias("adx_proxy"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tickloom.functions.scores import snapped
 from tickloom.operators.timeseries import EPS, by_date, rows, sma, to_date_rows, true_range, whole
 
 SWING = 10
@@ -15,7 +16,7 @@ DETECTORS = ("timing_bos", "timing_true_bos", "timing_joc", "timing_poc", "timin
 
 
 def volume_profile_poc(bars: DataFrame) -> DataFrame:
-    """Middle of the price bin with the most volume over the last 60 closes (at least 20)."""
+    """Middle of the price bin with the most volume over the last 60 closes (at least 20), the lowest of equal ones."""
     back = F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))
     recent = bars.select("ts_code", "trade_date", "close", "vol", back.alias("_b")).where(F.col("_b") <= POC_BARS)
     w = Window.partitionBy("ts_code")
@@ -23,7 +24,7 @@ def volume_profile_poc(bars: DataFrame) -> DataFrame:
                       F.count(F.lit(1)).over(w).alias("n"), F.sum("vol").over(w).alias("total")).where("n >= 20 and total > 0")
     pos = F.try_divide(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo")) * POC_BINS - 1e-9
     bin_ = F.least(F.lit(POC_BINS - 1), F.greatest(F.lit(0), F.floor(F.coalesce(pos, F.lit(0.0))))).cast("int")
-    per = r.groupBy("ts_code", bin_.alias("bin")).agg(F.sum("vol").alias("v"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    per = r.groupBy("ts_code", bin_.alias("bin")).agg(F.round(F.sum("vol"), 6).alias("v"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     best = per.groupBy("ts_code").agg(F.max(F.struct(F.col("v"), -F.col("bin"), F.col("lo"), F.col("hi"))).alias("m"))
     b = -F.col("m.col2")
     step = (F.col("m.hi") - F.col("m.lo")) / POC_BINS
@@ -67,17 +68,18 @@ def latest_timing(bars: DataFrame) -> DataFrame:
     enough = c("n") >= 2 * SWING + 1
     atr_ok = F.coalesce(c("atr") > 0, F.lit(False))
     no = F.lit(False)
+    against = snapped(F.try_divide("vol", "vol20"))
     bos = enough & F.coalesce(c("close") > c("_swing_now"), no) & c("swing").isNull()
     flags = last.select(
         "ts_code", "trade_date", "poc", bos.alias("timing_bos"),
         (bos & atr_ok & c("_prev").isNotNull() & (c("_touched") == 1) & F.coalesce(c("close") > bottom, no)).alias("timing_true_bos"),
-        (bos & (c("vol20") > 0) & (c("vol") > c("vol20") * 1.5)).alias("timing_joc"),
+        (bos & (c("vol20") > 0) & (against > 1.5)).alias("timing_joc"),
         F.coalesce(atr_ok & (F.abs(c("close") - c("poc")) <= c("atr")), no).alias("timing_poc"),
         F.coalesce(atr_ok & (F.abs(c("close") - c("poc")) <= c("atr")) & (c("n") >= 20)
-                   & F.exists("_past", lambda x: x > c("poc") + c("atr") * 0.5) & (c("vol") < c("vol20")), no).alias("timing_poc_retest"),
+                   & F.exists("_past", lambda x: x > c("poc") + c("atr") * 0.5) & (against < 1), no).alias("timing_poc_retest"),
         ((c("any_gap") == 1) & (c("n") >= 7)).alias("timing_gap_hold"),
         F.coalesce((c("n") >= 60) & atr_ok & (c("ma20") > c("ma20_ago")) & (F.abs(c("close") - c("ma20")) <= c("atr"))
-                   & (c("recent_break") == 1) & (c("vol") < c("vol20")), no).alias("timing_lps"),
+                   & (c("recent_break") == 1) & (against < 1), no).alias("timing_lps"),
     )
     total = sum((c(d).cast("int") for d in DETECTORS), F.lit(0))
     return flags.withColumn("timing_score", total / 7.0).withColumn("structure_score", c("timing_score"))
