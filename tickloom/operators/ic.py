@@ -128,23 +128,26 @@ def panel_ic(panel: DataFrame, features: list[str], returns: dict[int, str], bou
              min_dates: int = 20, plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
     """Mean, deviation and t of daily correlations per feature and horizon over complete rows.
 
-    Up to `plain_rows` instruments every row moves once, by date: return ranks, the
-    unpivot of the features, their ranks and the daily aggregation stay in that stage.
+    Up to `plain_rows` instruments the complete rows are written, each moves once by date, and all its columns are ranked before the unpivot of the
+    features, so sorts hold a row once and not once a feature; the daily aggregation stays in that stage.
     Larger cross-sections are ranked by running totals over distinct values, from one written copy of the complete rows.
     """
     ys = list(returns.values())
     cols = [*features, *ys]
     # plain references: renaming each column would multiply the optimizer's constraint set
     full = panel.select("trade_date", *cols).dropna("any", subset=cols)
-    ranked = R.average_ranks(full, ["trade_date"], {y: f"_r_{y}" for y in ys}, bound, plain_rows=plain_rows)
     ry = [f"_r_{y}" for y in ys]
-    item = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))
-    long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
     if bound <= plain_rows:
-        # values are complete here; the layout by date already serves this window
-        o = Window.partitionBy("trade_date", "feature").orderBy("x")
-        long = long.withColumn("rx", (F.rank().over(o) + F.count(F.lit(1)).over(o)) / 2.0)
+        # written once: without the panel's lineage the windows plan in seconds; all values are there, so rows below and rows not above are enough
+        full = saved(full, "complete")
+        over = {c: Window.partitionBy("trade_date").orderBy(c) for c in cols}
+        ranked = full.select("*", *[((F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2.0).alias(f"_r_{c}") for c, w in over.items()])
+        item = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_r_{f}").alias("rx")) for f in features]))
+        long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
     else:
+        ranked = R.average_ranks(full, ["trade_date"], dict(zip(ys, ry)), bound, plain_rows=plain_rows)
+        item = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))
+        long = ranked.select("trade_date", *ys, *ry, item.alias("_i")).select("trade_date", *ys, *ry, "_i.*")
         long = R.average_rank(long, ["trade_date", "feature"], "x", "rx", bound, plain_rows=plain_rows)
     daily = long.groupBy("trade_date", "feature").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sx"),
