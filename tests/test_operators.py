@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import evidence, fundamentals, ic, labels, patterns, ranking, selection, snapshots, timeseries
-from tickloom.sources import catalog, readers
+from tickloom.sources import adapters, catalog, readers
 
 
 def bars_frame(spark, closes, code="600001.SH", start="2024-01-01", **cols):
@@ -108,6 +108,17 @@ def test_quantiles_and_ic_same_in_both_plans(spark):
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+@pytest.mark.parametrize("high, kind", [([600, 7, 90], "bigint"), ([2**40, 7, 2**30], "decimal(38,0)")])
+def test_lines_keep_their_order_in_one_number(spark, high, kind):
+    rng = np.random.default_rng(8)
+    rows = [(int(d), int(o), int(n), int(p)) for d, o, n, p in zip(rng.integers(0, 7, 200), rng.integers(0, high[0] + 1, 200), rng.integers(0, 8, 200), rng.integers(0, high[2] + 1, 200))]
+    df = spark.createDataFrame([*rows, (6, *high), (0, 0, 0, 0)], "d int, o long, n long, p long")
+    out = df.withColumn("s", adapters.packed(F.col("d"), ["o", "n", "p"], [0, 0, 0], high))
+    assert dict(out.dtypes)["s"] == kind
+    got = [tuple(r)[:4] for r in out.orderBy("s").collect()]
+    assert got == sorted(got)
+
+
 def test_top_n_ties_by_code(spark):
     df = spark.createDataFrame([("b", 90.0), ("a", 90.0), ("c", 80.0)], "ts_code string, s double").withColumn("d", F.lit(1))
     got = [r["ts_code"] for r in ranking.top_n(df, ["d"], 2, F.desc("s"), F.col("ts_code")).orderBy(F.desc("s"), "ts_code").collect()]

@@ -34,6 +34,30 @@ def ts_code_of(key: Column) -> Column:
     return F.concat(_by_board(key, BOARD_PREFIX), padded, _by_board(key, BOARD_SUFFIX))
 
 
+def _line_order(spark: SparkSession, sf_dir: str, day: Column) -> Column:
+    """(day of the week, order, line, part) of a line in one number, so min_by and max_by stay in the hash aggregate.
+
+    A long where the largest keys leave room for it, else a 38-digit number, which costs several times as much a line;
+    keys beyond its digits are an error, not another order."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    ends = table(spark, sf_dir, "lineitem").agg(*[f(k) for k in keys for f in (F.min, F.max)]).first()  # three columns, one row
+    low, high = [v or 0 for v in ends[::2]], [v or 0 for v in ends[1::2]]
+    return packed(day, keys, low, high)
+
+
+def packed(day: Column, keys: list[str], low: list[int], high: list[int]) -> Column:
+    """day (0 to 6) and three keys, whose least and largest values are given, as one number in their order."""
+    if min(low) >= 0 and 7 * (high[0] + 1) * (high[1] + 1) * (high[2] + 1) < 2**63:
+        out = day.cast("long")
+        for k, most in zip(keys, high):
+            out = out * F.lit(most + 1).cast("long") + F.col(k)
+        return out
+    order, line, part = keys
+    digits = F.concat(day.cast("string"), F.lpad(order, 18, "0"), F.lpad(line, 5, "0"), F.lpad(part, 14, "0"))
+    fits = (F.col(order) < 10**18) & (F.col(line) < 10**5) & (F.col(part) < 10**14)
+    return F.when(fits, digits.cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a key of lineitem has more digits than the order of lines keeps")))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly price bars: open/close by (ship date, order, line), prices on a log scale around 10."""
     line = table(spark, sf_dir, "lineitem").select(
@@ -41,11 +65,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("d"),
     ).where("l_quantity > 0 and l_extendedprice > 0")
     week = F.trunc("d", "week")
-    # day, order, line and part side by side in one 38-digit number: whole keys in order, and min_by/max_by stay in the
-    # hash aggregate; keys beyond their digits are an error, not another order
-    digits = F.concat(F.datediff("d", week).cast("string"), F.lpad("l_orderkey", 18, "0"), F.lpad("l_linenumber", 5, "0"), F.lpad("l_partkey", 14, "0"))
-    fits = (F.col("l_orderkey") < 10**18) & (F.col("l_linenumber") < 10**5) & (F.col("l_partkey") < 10**14)
-    seq = F.when(fits, digits.cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a key of lineitem has more digits than the order of lines keeps")))
+    seq = _line_order(spark, sf_dir, F.datediff("d", week))
     price = F.round(10 + 0.5 * F.log(F.col("l_extendedprice") / F.col("l_quantity") / 2000), 10)
     out = (
         line.select("l_suppkey", week.alias("trade_date"), (F.col("l_quantity") * (1 + F.col("l_discount"))).alias("q"),
