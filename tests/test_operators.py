@@ -108,6 +108,21 @@ def test_quantiles_and_ic_same_in_both_plans(spark):
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def test_pairs_with_gaps_rank_as_in_pandas(spark):
+    rng = np.random.default_rng(6)
+    gap = lambda v: None if rng.random() < 0.2 else float(v)
+    rows = [(d, gap(rng.integers(0, 5)), gap(rng.normal()), gap(rng.integers(0, 4)), gap(rng.normal())) for d in range(3) for _ in range(50)]
+    df = spark.createDataFrame([*rows, (9, 1.0, None, None, None)], "signal_date int, f1 double, f2 double, y1 double, y2 double")
+    out = ic.ic_by_date(df, ["f1", "f2"], ["y1", "y2"], 50)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]  # a row is ranked once, not once a pair
+    got, pdf = {(r["signal_date"], r["factor"], r["return_col"]): r for r in out.collect()}, df.toPandas()
+    assert len(got) == 16 and got[9, "f1", "y1"]["n"] == 0
+    for (d, f, y), r in got.items():
+        both = pdf[pdf["signal_date"] == d][[f, y]].dropna()
+        if len(both) > 2:
+            assert r["n"] == len(both) and r["rank_ic"] == pytest.approx(both[f].rank().corr(both[y].rank())) and r["ic"] == pytest.approx(both[f].corr(both[y]))
+
+
 @pytest.mark.parametrize("high, kind", [([600, 7, 90], "bigint"), ([2**40, 7, 2**30], "decimal(38,0)")])
 def test_lines_keep_their_order_in_one_number(spark, high, kind):
     rng = np.random.default_rng(8)

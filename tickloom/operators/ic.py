@@ -27,18 +27,51 @@ def long_pairs(df: DataFrame, factors: list[str], returns: list[str], keep: list
 
 def ic_by_date(df: DataFrame, factors: list[str], returns: list[str], bound: int, by: tuple[str, ...] = ("signal_date",),
                plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
-    """Pearson and rank correlation per date over rows where factor and return are present."""
+    """Pearson and rank correlation per date over rows where factor and return are present.
+
+    Up to `plain_rows` rows a group each row moves once, by group, and is ranked before the unpivot to pairs: one sort a column serves all its pairs."""
     keys = [*by, "factor", "return_col"]
-    p = long_pairs(df, factors, returns, list(by))
-    # a pair with one side missing loses both, so groups without any valid pair still report n = 0
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    p = p.select(*keys, F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
-    ranked = R.average_ranks(p, keys, {"x": "_rx", "y": "_ry"}, bound, plain_rows=plain_rows)
+    if bound <= plain_rows:
+        ranked = _ranked_pairs(df, factors, returns, list(by))
+    else:
+        p = long_pairs(df, factors, returns, list(by))
+        # a pair with one side missing loses both, so groups without any valid pair still report n = 0
+        both = F.col("x").isNotNull() & F.col("y").isNotNull()
+        p = p.select(*keys, F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
+        ranked = R.average_ranks(p, keys, {"x": "_rx", "y": "_ry"}, bound, plain_rows=plain_rows)
     return ranked.groupBy(*keys).agg(
         F.count("x").alias("n"), guarded_corr("x", "y").alias("ic"), guarded_corr("_rx", "_ry").alias("rank_ic"),
         F.avg("y").alias("mean_return"))
 
 
+def _ranked_pairs(df: DataFrame, factors: list[str], returns: list[str], by: list[str]) -> DataFrame:
+    """long_pairs with both sides null where one is missing, and their average ranks `_rx` and `_ry` among the group's rows that have the pair."""
+    xs, ys = {f: f"_x{i}" for i, f in enumerate(factors)}, {r: f"_y{i}" for i, r in enumerate(returns)}
+    df = df.select(*by, *[F.col(n).cast("double").alias(c) for n, c in (xs | ys).items()])
+
+    def ranks(own: str, others: list[str]) -> list[Column]:
+        w = Window.partitionBy(*by).orderBy(own)
+        out = []
+        for o in others:  # rows of the pair up to this value, less half of the others that tie
+            pair = F.count(F.when(F.col(own).isNotNull() & F.col(o).isNotNull(), 1))
+            upto = pair.over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            out.append((upto - (pair.over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2.0).alias(f"_r{own}{o}"))
+        return out
+
+    for own in xs.values():
+        df = df.select("*", *ranks(own, list(ys.values())))
+    for own in ys.values():
+        df = df.select("*", *ranks(own, list(xs.values())))
+
+    def pair(f: str, r: str) -> Column:
+        x, y = F.col(xs[f]), F.col(ys[r])
+        both = x.isNotNull() & y.isNotNull()
+        values = {"x": x, "y": y, "_rx": F.col(f"_r{xs[f]}{ys[r]}"), "_ry": F.col(f"_r{ys[r]}{xs[f]}")}
+        return F.struct(F.lit(f).alias("factor"), F.lit(r).alias("return_col"), *[F.when(both, c).alias(n) for n, c in values.items()])
+
+    return df.select(*by, F.explode(F.array(*[pair(f, r) for f in factors for r in returns])).alias("_p")).select(*by, "_p.*")
+
+
 def summarize_ic(ic: DataFrame) -> DataFrame:
     """Periods, means and information ratios per factor and return column."""
     def ratio(c: str) -> Column:
