@@ -123,6 +123,14 @@ def test_pairs_with_gaps_rank_as_in_pandas(spark):
             assert r["n"] == len(both) and r["rank_ic"] == pytest.approx(both[f].rank().corr(both[y].rank())) and r["ic"] == pytest.approx(both[f].corr(both[y]))
 
 
+def test_study_of_pooled_sizes_ranks_no_pool(spark, monkeypatch):
+    df = spark.createDataFrame([(dt.date(2026, 1, 1), f"{i}", "a", float(i), float(-i)) for i in range(6)], "signal_date date, ts_code string, industry string, f double, ret_1d double")
+    monkeypatch.setattr(ranking, "placed", lambda *_: pytest.fail("ranked the pool"))
+    study = ic.evaluate_factors(df, ["f"], ["ret_1d"], 6, ranking.PLAIN_ROWS + 1, pooled_ranks=False)
+    r = study.robustness.first()
+    assert r["n"] == 6 and r["ic"] == pytest.approx(-1)
+
+
 @pytest.mark.parametrize("high, kind", [([600, 7, 90], "bigint"), ([2**40, 7, 2**30], "decimal(38,0)")])
 def test_lines_keep_their_order_in_one_number(spark, high, kind):
     rng = np.random.default_rng(8)

@@ -26,22 +26,22 @@ def long_pairs(df: DataFrame, factors: list[str], returns: list[str], keep: list
 
 
 def ic_by_date(df: DataFrame, factors: list[str], returns: list[str], bound: int, by: tuple[str, ...] = ("signal_date",),
-               plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
-    """Pearson and rank correlation per date over rows where factor and return are present.
+               plain_rows: int = R.PLAIN_ROWS, ranks: bool = True) -> DataFrame:
+    """Pearson and rank correlation per date over rows where factor and return are present; without `ranks` no rank_ic.
 
     Up to `plain_rows` rows a group each row moves once, by group, and is ranked before the unpivot to pairs: one sort a column serves all its pairs."""
     keys = [*by, "factor", "return_col"]
-    if bound <= plain_rows:
+    if ranks and bound <= plain_rows:
         ranked = _ranked_pairs(df, factors, returns, list(by))
     else:
         p = long_pairs(df, factors, returns, list(by))
         # a pair with one side missing loses both, so groups without any valid pair still report n = 0
         both = F.col("x").isNotNull() & F.col("y").isNotNull()
         p = p.select(*keys, F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
-        ranked = R.average_ranks(p, keys, {"x": "_rx", "y": "_ry"}, bound, plain_rows=plain_rows)
+        ranked = R.average_ranks(p, keys, {"x": "_rx", "y": "_ry"}, bound, plain_rows=plain_rows) if ranks else p
+    rank_ic = [guarded_corr("_rx", "_ry").alias("rank_ic")] if ranks else []
     return ranked.groupBy(*keys).agg(
-        F.count("x").alias("n"), guarded_corr("x", "y").alias("ic"), guarded_corr("_rx", "_ry").alias("rank_ic"),
-        F.avg("y").alias("mean_return"))
+        F.count("x").alias("n"), guarded_corr("x", "y").alias("ic"), *rank_ic, F.avg("y").alias("mean_return"))
 
 
 def _ranked_pairs(df: DataFrame, factors: list[str], returns: list[str], by: list[str]) -> DataFrame:
@@ -126,12 +126,12 @@ def top_n_returns(df: DataFrame, factors: list[str], returns: list[str], n: int)
 
 
 def robustness(df: DataFrame, factors: list[str], returns: list[str], group_cols: list[str], bound: int,
-               plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
-    """Size, mean return and correlations per value of each grouping column, in one pass over all of them."""
+               plain_rows: int = R.PLAIN_ROWS, ranks: bool = True) -> DataFrame:
+    """Size, mean return and correlations per value of each grouping column, in one pass over all of them; without `ranks` no rank_ic."""
     g = F.explode(F.array(*[F.struct(F.lit(c).alias("group_col"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("group_value"))
                             for c in group_cols]))
     long = df.select(*factors, *returns, g.alias("_g")).select(*factors, *returns, "_g.*")
-    return ic_by_date(long, factors, returns, bound, by=("group_col", "group_value"), plain_rows=plain_rows)
+    return ic_by_date(long, factors, returns, bound, by=("group_col", "group_value"), plain_rows=plain_rows, ranks=ranks)
 
 
 @dataclass(frozen=True)
@@ -145,15 +145,18 @@ class FactorStudy:
 
 def evaluate_factors(labels: DataFrame, factors: list[str], returns: list[str], bound: int, pooled_bound: int,
                      quantiles: int = 5, top: int = 10,
-                     group_cols: tuple[str, ...] = ("industry", "list_type", "market", "exchange")) -> FactorStudy:
-    """All five result frames; `bound` limits a date's cross-section, `pooled_bound` the whole label table."""
+                     group_cols: tuple[str, ...] = ("industry", "list_type", "market", "exchange"), pooled_ranks: bool = True) -> FactorStudy:
+    """All five result frames; `bound` limits a date's cross-section, `pooled_bound` the whole label table.
+
+    Ranks over the whole label table are made before the frame is read, so a caller that doesn't read the robustness frame's rank_ic
+    can leave it out (`pooled_ranks`)."""
     factors = [f for f in factors if f in labels.columns]
     returns = [r for r in returns if r in labels.columns]
     ic = ic_by_date(labels, factors, returns, bound)
     return FactorStudy(
         ic, summarize_ic(ic), quantile_returns(labels, factors, returns, quantiles, bound),
         top_n_returns(labels, factors, returns, top),
-        robustness(labels, factors, returns, [g for g in group_cols if g in labels.columns], pooled_bound),
+        robustness(labels, factors, returns, [g for g in group_cols if g in labels.columns], pooled_bound, ranks=pooled_ranks),
     )
 
 
