@@ -131,6 +131,20 @@ def test_study_of_pooled_sizes_ranks_no_pool(spark, monkeypatch):
     assert r["n"] == 6 and r["ic"] == pytest.approx(-1)
 
 
+def test_percentiles_sort_only_values_near_them(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vals = {"a": rng.normal(size=40000), "b": rng.integers(0, 3, 9000).astype(float), "c": np.array([5.0]), "d": np.array([1.0, 2.0])}
+    df = spark.createDataFrame(pd.DataFrame([(g, v) for g, vs in vals.items() for v in vs], columns=["g", "v"]))
+    sorted_rows, own = [], ranking.running
+    monkeypatch.setattr(ranking, "running", lambda d, *a: (sorted_rows.append(d.count()), own(d, *a))[1])
+    got = ranking.percentiles(df, ["g"], "v", {"p10": 0.1, "p90": 0.9}, 10**9, 10).toPandas().set_index("g")
+    for g, vs in vals.items():
+        assert got.loc[g, "p10"] == pytest.approx(np.percentile(vs, 10), abs=1e-12) and got.loc[g, "p90"] == pytest.approx(np.percentile(vs, 90), abs=1e-12)
+    assert 0 < sum(sorted_rows) < 2000
+    monkeypatch.setattr(ranking, "_around", lambda *_: None)  # ends that miss a place: all values are placed
+    pd.testing.assert_frame_equal(got, ranking.percentiles(df, ["g"], "v", {"p10": 0.1, "p90": 0.9}, 10**9, 10).toPandas().set_index("g").loc[got.index])
+
+
 @pytest.mark.parametrize("high, kind", [([600, 7, 90], "bigint"), ([2**40, 7, 2**30], "decimal(38,0)")])
 def test_lines_keep_their_order_in_one_number(spark, high, kind):
     rng = np.random.default_rng(8)

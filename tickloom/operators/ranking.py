@@ -92,13 +92,48 @@ def percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, fl
     df = df.where(F.col(value).isNotNull())
     if bound <= plain_rows:
         return df.groupBy(*group).agg(*[F.percentile(value, p).alias(k) for k, p in probs.items()])
+    near = _around(df, group, value, probs)
+    return placed(df, group, [value]).groupBy(*group).agg(*_at_places(probs)) if near is None else near
+
+
+def _at_places(probs: dict[str, float], own=lambda k: F.lit(True)) -> list[Column]:
+    """Interpolated values at the positions of probs, of rows (_v, _ties, _upto, _n) that own(k) keeps for k."""
     aggs = []
     for k, p in probs.items():  # the values at the two places around the position
         pos = (F.col("_n") - 1) * F.lit(p) + 1
-        at = lambda r: F.max(F.when((r > F.col("_upto") - F.col("_ties")) & (r <= F.col("_upto")), F.col("_v")))
+        at = lambda r: F.max(F.when(own(k) & (r > F.col("_upto") - F.col("_ties")) & (r <= F.col("_upto")), F.col("_v")))  # noqa: E731, B023
         part = F.max(pos - F.floor(pos))
         aggs.append((at(F.floor(pos)) + F.when(part > 0, (at(F.floor(pos) + 1) - at(F.floor(pos))) * part).otherwise(0.0)).alias(k))
-    return placed(df, group, [value]).groupBy(*group).agg(*aggs)
+    return aggs
+
+
+def _around(df: DataFrame, group: list[str], value: str, probs: dict[str, float], accuracy: int = 2000) -> DataFrame | None:
+    """Exact percentiles from the rows near them: approximate ones give two ends, rows below are counted, and only values between are sorted.
+
+    None if the ends of any percentile don't hold both of its places."""
+    v, margin = F.col(value).cast("double"), 3.0 / accuracy
+    ends = {k: [max(0.0, p - margin), min(1.0, p + margin)] for k, p in probs.items()}
+    held = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(v, e, accuracy).alias(f"_e_{k}") for k, e in ends.items()])
+    j = df.select(*group, v.alias("_v")).join(saved(held, "ends"), group)
+    small = F.col("_n") < 5 * accuracy  # kept whole: the ends may be one row apart; NaN is the largest double
+    low = {k: F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"_e_{k}")[0]) for k in probs}
+    high = {k: F.when(small, F.lit(float("nan"))).otherwise(F.col(f"_e_{k}")[1]) for k in probs}
+    sides = j.groupBy(*group, "_n").agg(*[F.count_if(F.col("_v") < low[k]).alias(f"_below_{k}") for k in probs],
+                                        *[F.count_if(F.col("_v") <= high[k]).alias(f"_up_{k}") for k in probs])
+    sides = saved(sides, "sides")
+    missed = F.lit(False)
+    for k, p in probs.items():
+        pos = (F.col("_n") - 1) * F.lit(p) + 1
+        missed = missed | (F.floor(pos) <= F.col(f"_below_{k}")) | (F.ceil(pos) > F.col(f"_up_{k}"))
+    if not sides.where(missed).isEmpty():
+        return None
+    each = F.explode(F.array(*[F.when((F.col("_v") >= low[k]) & (F.col("_v") <= high[k]), F.lit(k)) for k in probs]))
+    counts = j.select(*group, "_v", each.alias("_k")).where("_k IS NOT NULL").groupBy(*group, "_k", "_v").agg(F.count(F.lit(1)).alias("_ties"))
+    below = F.lit(0)
+    for k in probs:
+        below = F.when(F.col("_k") == k, F.col(f"_below_{k}")).otherwise(below)
+    upto = running(counts, [*group, "_k"], ["_v"], {"_upto": F.col("_ties")}).join(sides, group).withColumn("_upto", F.col("_upto") + below)
+    return upto.groupBy(*group).agg(*_at_places(probs, lambda k: F.col("_k") == k))
 
 
 def top_n(df: DataFrame, group: list[str], n: int, *order: Column) -> DataFrame:
