@@ -104,3 +104,29 @@ def test_refill_rounds_leave_out_what_was_audited(spark):
     assert len(tech) == len(set(tech)) and {r.filter_tier for r in few if r.list_type == "technical"} == {"technical"}
     none = U.round_candidates(u, matched.limit(0), named.limit(0), themes, 0).collect()
     assert {r.filter_tier for r in none} == {"OFF_THEME_FALLBACK"}
+
+
+def test_texts_send_on_only_what_looks_like_an_anchor(spark, tmp_path):
+    """The join by runs gets the places of anchors, not every run of a text; long patterns, names at both ends and shared anchors are found."""
+    patterns = [f"Supplier#{i:09d}" for i in range(300)] + ["长" * 70, "é😀", "x"]
+    texts = [(i, f"Supplier#{i:09d} " + "the quick brown fox " * 50 + f"Supplier#{i * 7 % 400:09d}") for i in range(100)] + [(100, "长" * 75), (101, "aé😀b")]
+    t = spark.createDataFrame(texts, "tid int, text string")
+    out = contained(spark.createDataFrame([(p,) for p in patterns], "pattern string"), t)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p, i) for p in patterns for i, s in texts if p in s}
+    out = contained(spark.createDataFrame([(p,) for p in patterns[:300]], "pattern string"), t)
+    plan = out._jdf.queryExecution().executedPlan()
+    out.collect()
+    made = exploded(plan)
+    assert made and max(made) < 5_000  # the texts have 100,000 characters
+
+
+def exploded(node) -> list[int]:
+    """Rows made by each explode of an executed plan."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exploded(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return exploded(node.plan())
+    own = [node.metrics().apply("numOutputRows").value()] if kind == "GenerateExec" else []
+    return own + [n for i in range(node.children().size()) for n in exploded(node.children().apply(i))]
