@@ -144,16 +144,17 @@ cte("picks_said", ("ans", "thm"), r"""
 
 
 def _decoded(spark, sf_dir):
-    """Picks and damaged answers; picks are written once, as several joins read them."""
-    picks, damaged = H.decoded_answers(answers(spark, sf_dir), items(spark, sf_dir), saved(themes(spark, sf_dir), "themes"))
-    return saved(picks, "picks"), damaged
+    """Picks, damaged answers and the themes without their texts; picks and themes are written once, as several joins read them."""
+    t = saved(themes(spark, sf_dir).select("theme", "ord", "keywords"), "themes")
+    picks, damaged = H.decoded_answers(answers(spark, sf_dir), items(spark, sf_dir), t)
+    return saved(picks, "picks"), damaged, t
 
 
 @query("theme_answers", "T-14", ("picks_said", "ans"), """
   SELECT batch, ts_code, CAST(pos AS BIGINT) AS pos, theme, 0 AS damaged FROM picks_said
   UNION ALL SELECT batch, NULL, NULL, NULL, 1 FROM ans WHERE batch%6=4""")
 def theme_answers(spark, sf_dir):
-    picks, damaged = _decoded(spark, sf_dir)
+    picks, damaged, _ = _decoded(spark, sf_dir)
     none = F.lit(None)
     return picks.select("batch", "ts_code", F.col("pos").cast("long").alias("pos"), "theme", F.lit(0).alias("damaged")).union(
         damaged.select("batch", none.cast("string"), none.cast("long"), none.cast("string"), F.lit(1)))
@@ -170,7 +171,8 @@ cte("checked", ("picks_said", "tok_check", "prof", "named"), """
 @query("theme_picks_checked", "J-17 F-28", ("checked",), """
   SELECT ts_code, pos, theme, 'strict' AS rule FROM checked WHERE strict UNION ALL SELECT ts_code, pos, theme, 'relaxed' FROM checked WHERE relaxed""")
 def theme_picks_checked(spark, sf_dir):
-    picks, t, p = _decoded(spark, sf_dir)[0].select("ts_code", F.col("pos").cast("long").alias("pos"), "theme"), themes(spark, sf_dir), profiles(spark, sf_dir)
+    picks, _, t = _decoded(spark, sf_dir)
+    picks, p = picks.select("ts_code", F.col("pos").cast("long").alias("pos"), "theme"), profiles(spark, sf_dir)
     strict = H.checked_picks(picks, t, p)
     relaxed = H.checked_picks(picks, t, p, _named(spark, sf_dir), relaxed=True)
     return strict.withColumn("rule", F.lit("strict")).union(relaxed.withColumn("rule", F.lit("relaxed")))
@@ -182,9 +184,9 @@ def theme_picks_checked(spark, sf_dir):
     LEFT JOIN (SELECT ts_code, list(theme ORDER BY pos) AS p FROM (SELECT ts_code, theme, min(pos) AS pos FROM checked WHERE relaxed GROUP BY 1,2) GROUP BY 1) c ON c.ts_code=prof.ts_code
     LEFT JOIN named n ON n.ts_code=prof.ts_code)""")
 def theme_merge(spark, sf_dir):
-    picks, t, p = _decoded(spark, sf_dir)[0].select("ts_code", "pos", "theme"), themes(spark, sf_dir), profiles(spark, sf_dir)
-    named = _named(spark, sf_dir)
-    once = H.checked_picks(picks, t, p, named, relaxed=True).groupBy("ts_code", "theme").agg(F.min("pos").alias("pos"))
+    picks, _, t = _decoded(spark, sf_dir)
+    named, p = _named(spark, sf_dir), profiles(spark, sf_dir)
+    once = H.checked_picks(picks.select("ts_code", "pos", "theme"), t, p, named, relaxed=True).groupBy("ts_code", "theme").agg(F.min("pos").alias("pos"))
     out = H.merged(p, once, named)
     return out.select("ts_code", F.array_join("matched_themes", "|").alias("themes"), F.col("off_theme").cast("int").alias("off_theme"))
 
