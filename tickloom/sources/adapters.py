@@ -276,9 +276,15 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     key = F.pmod(i, F.lit(n).cast("long"))
     basic = stock_basic(spark, sf_dir).select("instrument_key", "ts_code", "symbol", "name", "industry")
-    body = F.col("text")
-    for word, shown in HIT_WORDS:
-        body = F.replace(body, F.lit(word), F.replace(F.lit(shown), F.lit("{name}"), F.col("name")))
+
+    def told(c: Column) -> Column:
+        for word, shown in HIT_WORDS:
+            c = F.replace(c, F.lit(word), F.replace(F.lit(shown), F.lit("{name}"), F.col("name")))
+        return c
+
+    def first(c: Column) -> Column:
+        return F.substring_index(c, "\n", 1)
+
     shift = F.date_sub(F.lit("2024-01-31").cast("date"), (i % 120).cast("int"))
     host = F.element_at(F.array(*[F.lit(h) for h in HIT_HOSTS]), (i % 6 + 1).cast("int"))
     j = d.withColumn("instrument_key", key).join(basic, "instrument_key")
@@ -286,4 +292,4 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "ts_code", "symbol", "name", "industry", "source", "lang",
         F.concat(F.lit("https://www."), host, F.lit("/a/"), i.cast("string"), F.when(i % 7 == 0, "?stockCode=600000").otherwise("")).alias("url"),
         F.when(i % 3 == 0, F.date_format(shift, "yyyyMMdd")).when(i % 3 == 1, F.date_format(shift, "yyyy/MM/dd")).otherwise(F.date_format(shift, "yyyy-MM-dd")).alias("date"),
-        F.split_part(body, F.lit("\n"), F.lit(1)).alias("title"), body.alias("snippet"))
+        first(told(first(F.col("text")))).alias("title"), told(F.col("text")).alias("snippet"))  # no word holds a line's end: the title needs no whole text
