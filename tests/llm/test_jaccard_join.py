@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import jaccard_join
@@ -87,3 +89,39 @@ def test_defined_cases(spark):
     got = sorted((r.key or -1, r.n_shingles, r.component) for r in jaccard_join.similar_documents(docs).collect())
     assert got == [(-1, 27, 3), (3, 3, 3), (3, 27, 3), (3, 27, 3), (5, 27, 3), (8, 0, 8), (9, 0, 9), (11, 1, 11), (12, 1, 11), (13, 1, 13), (14, 5, 14), (15, 0, 15)]
     assert jaccard_join.similar_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 60, 1 << 17])
+def test_shingle_sets_of_odd_texts(monkeypatch, at_once):
+    """Sizes, and what sets share, as of plain sets: all white space and near misses of it, words of any length, nulls, parts of arrays."""
+    monkeypatch.setattr(jaccard_join, "BYTES", at_once)
+    rng = random.Random(5)
+    marks = ["a", "B", "b", "\xe9", "\u6f22", "\0", "\x1c", "\x85", "\xa0", *" \t\n\x0b\x0c\r"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.choice([1, 3, 20, 200]))) for _ in range(150)]
+    texts += [" ".join("x" * n for n in range(1, 140)), "y" * 3000, "y" * 3001, None, "", "\n"]
+    for size in (1, 2, 4):
+        plain = []
+        for t in texts:
+            words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+            plain.append({tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+        column = pa.array([None, "before", *texts], pa.string()).slice(2)
+        sets = [set(s.tolist()) for s in jaccard_join.shingle_sets(column, size)]
+        assert [len(s) for s in sets] == [len(p) for p in plain]
+        assert all(len(s & t) == len(p & q) for s, p in zip(sets, plain) for t, q in zip(sets, plain))
+    assert jaccard_join.shingle_sets(column.slice(0, 0), 4) == []
+
+
+def test_shingles_cost_no_more_than_a_few_splits():
+    """Of texts with more different words than a cache holds."""
+    rng = random.Random(6)
+    column = pa.array([" ".join(f"{rng.randrange(400_000):x}word" for _ in range(400)) for _ in range(2_000)])
+
+    def seconds(f):
+        def once():
+            start = time.thread_time()
+            f()
+            return time.thread_time() - start
+
+        return min(once() for _ in range(3))
+
+    assert seconds(lambda: jaccard_join.shingle_sets(column, 4)) < 4 * seconds(lambda: [t.as_py().encode().split() for t in column])

@@ -40,36 +40,67 @@ from tickloom.llm.shared import saved
 from tickloom.llm.simhash import LOWER, components
 
 SHINGLE, PERCENT = 4, 85
-#: Counts in the table of rareness, and in a row of it; words whose hash is kept; sets of a frequent shingle's list in one task.
-SLOTS, IN_ROW, WORDS_KEPT, LIST = 1 << 20, 1 << 10, 300_000, 2_000
+#: Counts in the table of rareness, and in a row of it; sets of a frequent shingle's list in one task.
+SLOTS, IN_ROW, LIST = 1 << 20, 1 << 10, 2_000
+#: Bytes of texts whose words are hashed at once (they stay in a core's cache); bytes of a word that is hashed on its own.
+BYTES, LONG_WORD = 1 << 17, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-class Shingles:
-    """Sets of texts; hashes of words are kept while they fit."""
-
-    def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The text's distinct shingles as ascending uint64."""
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.size:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = len(h) - self.size + 1
-        x = h[:n].copy()
-        for k in range(1, self.size):
-            x = (x ^ (x >> np.uint64(29))) * MIX[0] + h[k:n + k]
+IN_WORD = bytes(c != 32 and not 9 <= c <= 13 for c in range(256))
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def hashed_words(text: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words text[start:start + length], eight bytes at a time for all words at once; text has 16 bytes more at its end."""
+    eights, out = np.frombuffer(text, "<u8", len(text) // 8), length.astype(np.uint64) * MIX[0]
+    live = np.arange(len(start))
+    for k in range(0, LONG_WORD, 8):
+        at, left = start[live] + k, np.minimum(length[live] - k, 8)
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        eight = (eights[place] >> shift | eights[place + 1] << np.uint64(1) << (np.uint64(63) - shift)) & FIRST_BYTES[left]
+        x = (out[live] ^ eight) * MIX[1]
+        out[live] = x ^ (x >> np.uint64(32))
+        live = live[length[live] > k + 8]
+        if not len(live):
+            break
+    for i in live:  # longer ones
+        out[i] = xxhash.xxh64_intdigest(text[start[i]:start[i] + length[i]], 1)
+    out *= MIX[0]
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as ascending uint64, made for BYTES of texts at once."""
+    texts, sets = texts.cast(pa.large_binary()).fill_null(b""), []
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + BYTES, "right")) - 1)
+        cut = edges[a:b + 1] - edges[a]
+        n = int(cut[-1])
+        text = (texts.buffers()[2][edges[a]:edges[b]].to_pybytes() if n else b"").translate(LOWER) + bytes(16)
+        inner = np.frombuffer(text.translate(IN_WORD), bool, n)
+        first, last, inside = inner.copy(), inner.copy(), cut[(cut > 0) & (cut < n)]
+        first[1:] &= ~inner[:-1]
+        last[:-1] &= ~inner[1:]
+        first[inside], last[inside - 1] = inner[inside], inner[inside - 1]  # words end with their text
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        h = hashed_words(text, start, end - start)
+        x = h[:max(len(h) - size + 1, 0)].copy()
+        for k in range(1, size):
+            x = (x ^ (x >> np.uint64(29))) * MIX[0] + h[k:len(x) + k]
         x = (x ^ (x >> np.uint64(32))) * MIX[1]
-        return np.unique(x ^ (x >> np.uint64(29)))
+        x ^= x >> np.uint64(29)
+        word = np.searchsorted(start, cut).tolist()
+        for i, j in zip(word, word[1:]):
+            if j - i >= size:
+                tokens = x[i:j - size + 1]
+                tokens.sort()
+                sets.append(tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))])
+            else:
+                words = [text[p:q] for p, q in zip(start[i:j], end[i:j])]
+                sets.append(np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)] if words else [], np.uint64))
+        a = b
+    return sets
 
 
 def identity(tokens: np.ndarray) -> int:
@@ -81,9 +112,9 @@ def rareness(texts: DataFrame, size: int) -> np.ndarray:
     """64 * log2 of the count of each slot over all documents: a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, total = Shingles(size), np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            sets = [made.of(t.as_py()) for t in batch.column(0)]
+            sets = shingle_sets(batch.column(0), size)
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         if total.any():
@@ -114,11 +145,10 @@ def index(docs: DataFrame, levels, spread: float, size: int, percent: int) -> Da
     parts: over how many tasks the list of a posted shingle is dealt, by what its slot counts beyond twice the average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, seen, level = Shingles(size), set(), levels.value
+        seen, level = set(), levels.value
         for batch in batches:
             sids, sizes, posted, parts = [], [], [], []
-            for t in batch.column(2):
-                tokens = made.of(t.as_py())
+            for tokens in shingle_sets(batch.column(2), size):
                 sid, n = identity(tokens), len(tokens)
                 sids.append(sid)
                 sizes.append(n)
@@ -142,9 +172,8 @@ def tokens_of(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """(sid, tokens) of the sets asked for (addr, sid), read from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Shingles(size)
         for batch in batches:
-            sets = [made.of(t.as_py()) for t in batch.column(1)]
+            sets = shingle_sets(batch.column(1), size)
             ok = [identity(s) == sid for s, sid in zip(sets, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "tokens"]).filter(pa.array(ok, pa.bool_()))
 

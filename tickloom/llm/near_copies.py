@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.jaccard_join import Shingles
+from tickloom.llm.jaccard_join import shingle_sets
 from tickloom.llm.shared import WordHashes, mixed_runs, saved
 from tickloom.llm.simhash import CHUNK, components
 
@@ -133,9 +133,8 @@ def similar(docs: DataFrame, address: DataFrame, pairs: DataFrame, shingle: int,
     """Pairs (a, b) whose shingle sets have the similarity, exactly."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Shingles(shingle)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made.of(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), shingle)], pa.list_(pa.int64()))], names=["node", "tokens"])
 
     asked = address.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     texts = docs.join(asked, "addr").select("node", "text").mapInArrow(tokens, "node long, tokens array<long>").dropDuplicates(["node"])
