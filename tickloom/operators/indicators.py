@@ -120,6 +120,7 @@ def box_signals(df: DataFrame) -> DataFrame:
     )
 
 
-def turnover_spikes(df: DataFrame, n: int = 20, mult: float = 1.5) -> DataFrame:
-    """Bars whose turnover exceeds a multiple of its full trailing mean."""
-    return df.withColumn("_m", sma("turnover_rate", n)).where(snapped(F.try_divide("turnover_rate", "_m")) > mult).drop("_m")
+def turnover_spikes(df: DataFrame, n: int = 20, mult: float = 1.5, exact_ties: bool = True) -> DataFrame:
+    """Bars whose turnover exceeds a multiple of its full trailing mean; without `exact_ties` the doubles are compared as they are."""
+    above = snapped(F.try_divide("turnover_rate", "_m")) > mult if exact_ties else F.col("turnover_rate") > F.col("_m") * mult
+    return df.withColumn("_m", sma("turnover_rate", n)).where(above).drop("_m")
