@@ -55,7 +55,7 @@ def write_tables(folder, frame):
             os.symlink(f"{SMALL}/{t}.parquet", folder / f"{t}.parquet")
 
 
-@pytest.mark.parametrize("frame,name", [(spike, "turnover_spikes")])
+@pytest.mark.parametrize("frame,name", [(spike, "turnover_spikes"), (spike, "pattern_break_of_structure"), (spike, "pattern_rolling_max")])
 def test_ties_of_doubles_are_those_of_the_sql(spark, tmp_path, frame, name):
     write_tables(tmp_path, frame)
     ok, note = compare(spark, duck(str(tmp_path)), str(tmp_path), name, entry_mod.queries()[name], entry_mod.oracle_sql()[name])
