@@ -36,15 +36,36 @@ def spike(rng):
             return vol
 
 
+def level(rng):
+    """20 volumes whose last five have the same mean, which the doubles put below it."""
+    while True:
+        cents = [rng.randrange(2000, 9000) for _ in range(19)]
+        cents.append((sum(cents[:15]) - 3 * sum(cents[15:19])) // 3)
+        vol = [c / 100 for c in cents]
+        if cents[-1] > 0 and 4 * sum(cents[15:]) == sum(cents) and added(vol[-5:]) / added(vol) < 1:
+            return vol
+
+
+def calm(rng):
+    """20 volumes whose last five have a mean of exactly 0.8 of theirs, which the doubles put below it."""
+    while True:
+        cents = [rng.randrange(2000, 9000) for _ in range(19)]
+        cents.append((sum(cents[:15]) - 4 * sum(cents[15:19])) // 4)
+        vol = [c / 100 for c in cents]
+        if cents[-1] > 0 and 5 * sum(cents[15:]) == sum(cents) and added(vol[-5:]) / added(vol) < 0.8:
+            return vol
+
+
 def write_tables(folder, frame):
+    swing, end = (12.0, 11.0) if frame is calm else (11.0, 12.0)
     rng, vols = random.Random(7), []
     while len(vols) < WEEKS:
         at = len(vols) - (FIRST - 19)
         vols += frame(rng) if at >= 0 and at % EVERY == 0 else [rng.randrange(2000, 9000) / 100]
     rows = []
     for i, v in enumerate(vols[:WEEKS]):
-        o = (i - FIRST) % EVERY  # a swing high 15 rows before the frame's end, and a break of it there
-        price = 12.0 if o == 0 else 11.0 if o == 17 else 10.0
+        o = (i - FIRST) % EVERY  # a swing high 15 rows before the frame's end, and a break of it there; where calm a price half way
+        price = end if o == 0 else swing if o == 17 else 10.0
         rows.append((i, 1, 1, 1, v, v * 2000 * math.exp((price - 10) / 0.5), 0.0, 0.0, "N", "O", dt.datetime(1996, 1, 1) + dt.timedelta(weeks=i)))
     lines = pd.DataFrame(rows, columns="l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split())
     lines["l_linenumber"] = lines["l_linenumber"].astype("int32")
@@ -55,7 +76,8 @@ def write_tables(folder, frame):
             os.symlink(f"{SMALL}/{t}.parquet", folder / f"{t}.parquet")
 
 
-@pytest.mark.parametrize("frame,name", [(spike, "turnover_spikes"), (spike, "pattern_break_of_structure"), (spike, "pattern_rolling_max")])
+@pytest.mark.parametrize("frame,name", [(spike, "turnover_spikes"), (spike, "pattern_break_of_structure"), (spike, "pattern_rolling_max"),
+                                        (level, "snapshot_payload_hash"), (level, "robustness_breakdowns"), (calm, "pattern_derived_signals")])
 def test_ties_of_doubles_are_those_of_the_sql(spark, tmp_path, frame, name):
     write_tables(tmp_path, frame)
     ok, note = compare(spark, duck(str(tmp_path)), str(tmp_path), name, entry_mod.queries()[name], entry_mod.oracle_sql()[name])

@@ -38,9 +38,12 @@ def add_base_windows(bars: DataFrame) -> DataFrame:
     )
 
 
-def add_features(base: DataFrame) -> DataFrame:
-    """Ratio features; a zero denominator gives null instead of an infinity."""
+def add_features(base: DataFrame, exact_ties: bool = True) -> DataFrame:
+    """Ratio features; a zero denominator gives null instead of an infinity.
+
+    With `exact_ties` ratios of means that are equal are exactly 1; without, they are the doubles that adding rows in their order gives."""
     div = F.try_divide
+    of_means = (lambda a, b: snapped(div(a, b))) if exact_ties else div
     c = F.col
     low_of_body = F.least("open", "close")
     high_of_body = F.greatest("open", "close")
@@ -53,8 +56,8 @@ def add_features(base: DataFrame) -> DataFrame:
         (c("ma5") - c("ma10")).alias("ma_short_term_slope"),
         (c("ma20") - c("ma60")).alias("ma_trend_spread"),
         div(c("ma20") - c("_ma20_5"), c("_ma20_5")).alias("ma20_slope_5d"),
-        snapped(div(c("vol"), c("vol_ma20"))).alias("vol_ratio"),
-        snapped(div(c("vol_ma5"), c("vol_ma20"))).alias("vol_contraction"),
+        of_means(c("vol"), c("vol_ma20")).alias("vol_ratio"),
+        of_means(c("vol_ma5"), c("vol_ma20")).alias("vol_contraction"),
         div(c("open") - c("pre_close"), c("pre_close")).alias("gap_pct"),
         F.when(c("open") > c("pre_close") * 1.005, 1.0).otherwise(0.0).alias("gap_up_flag"),
         div(low_of_body - c("low"), c("high") - c("low")).alias("lower_wick_pct"),
@@ -64,7 +67,7 @@ def add_features(base: DataFrame) -> DataFrame:
         div(c("tr_avg_14"), c("close")).alias("atr_pct"),
         div(c("std_20d") * 2, c("ma20")).alias("bb_width"),
         (div(c("vol"), c("vol_ma20")) * (div(c("close") - c("high_20d"), c("high_20d")) + 0.01)).alias("joc_interaction"),
-        snapped(div(c("turnover_rate"), c("turnover_ma20"))).alias("turnover_accel"),
+        of_means(c("turnover_rate"), c("turnover_ma20")).alias("turnover_accel"),
         div(c("high_20d") - c("low_20d"), c("close")).alias("range_pct_20d"),
         div(c("high_60d") - c("low_60d"), c("close")).alias("range_pct_60d"),
         div(div(c("tr_avg_14"), c("close")), div(c("tr_avg_14"), c("close_14_ago"))).alias("adx_proxy"),
@@ -72,5 +75,5 @@ def add_features(base: DataFrame) -> DataFrame:
     ).drop(*[f"_lead{h}" for h in HORIZONS])
 
 
-def factor_panel(bars: DataFrame, min_rows: int = 120) -> DataFrame:
-    return add_features(add_base_windows(bars)).where(F.col("stock_rows") >= min_rows)
+def factor_panel(bars: DataFrame, min_rows: int = 120, exact_ties: bool = True) -> DataFrame:
+    return add_features(add_base_windows(bars), exact_ties).where(F.col("stock_rows") >= min_rows)
