@@ -73,30 +73,25 @@ def _ranked_pairs(df: DataFrame, factors: list[str], returns: list[str], by: lis
 
 
 def summarize_ic(ic: DataFrame) -> DataFrame:
-    """Periods, means and information ratios per factor and return column."""
+    """Periods, means and information ratios per factor and return column; of the rank correlations where there are any."""
     def ratio(c: str) -> Column:
         return F.when(F.count(c) >= 2, F.try_divide(F.avg(c), F.stddev_samp(c)))
 
+    of_ranks = [F.avg("rank_ic").alias("mean_rank_ic"), ratio("rank_ic").alias("rank_ic_ir")] if "rank_ic" in ic.columns else []
     return ic.groupBy("factor", "return_col").agg(
-        F.count("ic").alias("periods"), F.avg("ic").alias("mean_ic"), F.avg("rank_ic").alias("mean_rank_ic"),
-        ratio("ic").alias("ic_ir"), ratio("rank_ic").alias("rank_ic_ir"))
+        F.count("ic").alias("periods"), F.avg("ic").alias("mean_ic"), ratio("ic").alias("ic_ir"), *of_ranks)
 
 
 def quantile_returns(df: DataFrame, factors: list[str], returns: list[str], quantiles: int, bound: int,
                      plain_rows: int = R.PLAIN_ROWS) -> DataFrame:
     """Return statistics per date and factor quantile; equal factor values are ordered by ts_code."""
     keys = ["signal_date", "factor", "return_col"]
-    v = long_pairs(df, factors, returns, ["signal_date", "ts_code"]).where("x is not null and y is not null")
     group = [*keys, "quantile"]
     basics = [F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_return"), F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("hit_rate")]
     if bound <= plain_rows:
-        # one layout by date, factor and return serves sizes, order and both aggregations
-        w = Window.partitionBy(*keys)
-        r = v.select("*", F.row_number().over(w.orderBy("x", "ts_code")).alias("_r"), F.dense_rank().over(w.orderBy("x")).alias("_dr"))
-        r = r.select("*", F.count(F.lit(1)).over(w).alias("_n"), F.max("_dr").over(w).alias("_u"))
-        r = r.withColumn("_q", F.least(F.lit(quantiles), "_u", "_n")).where("_q >= 2")
+        r = _numbered_pairs(df, factors, returns).withColumn("_q", F.least(F.lit(quantiles), "_u", "_n")).where("_q >= 2")
         return r.withColumn("quantile", _bucket()).groupBy(*group).agg(*basics, F.median("y").alias("median_return"))
-    v = saved(v, "pairs")
+    v = saved(long_pairs(df, factors, returns, ["signal_date", "ts_code"]).where("x is not null and y is not null"), "pairs")
     size = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("x").alias("_u"))
     size = size.withColumn("_q", F.least(F.lit(quantiles).cast("long"), "_u", "_n")).where("_q >= 2")
     r = R.row_rank(v, keys, "x", "ts_code", "_r", bound, plain_rows=plain_rows).join(size, keys)
@@ -104,6 +99,32 @@ def quantile_returns(df: DataFrame, factors: list[str], returns: list[str], quan
     return b.groupBy(*group).agg(*basics).join(R.percentiles(b.select(*group, "y"), group, "y", {"median_return": 0.5}, bound, plain_rows), group)
 
 
+def _numbered_pairs(df: DataFrame, factors: list[str], returns: list[str]) -> DataFrame:
+    """Pairs with both sides present: y, row number by (x, ts_code) on the date (`_r`), pairs (`_n`) and distinct x (`_u`) of the date.
+
+    Each row moves once, by date, and is numbered before the unpivot to pairs: one sort a factor serves all its pairs, their sizes and both aggregations."""
+    xs, ys = {f: f"_x{i}" for i, f in enumerate(factors)}, {r: f"_y{i}" for i, r in enumerate(returns)}
+    df = df.select("signal_date", "ts_code", *[F.col(n).cast("double").alias(c) for n, c in (xs | ys).items()])
+    day = Window.partitionBy("signal_date")
+    for x in xs.values():
+        has = {y: F.col(x).isNotNull() & F.col(y).isNotNull() for y in ys.values()}
+        pairs = {y: F.count(F.when(h, 1)) for y, h in has.items()}
+        upto = day.orderBy(x, "ts_code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df = df.select("*", *[p.over(upto).alias(f"_r{x}{y}") for y, p in pairs.items()])
+        lower, same = (day.orderBy(x).rangeBetween(a, Window.currentRow) for a in (Window.unboundedPreceding, Window.currentRow))
+        first = {y: has[y] & (F.col(f"_r{x}{y}") == p.over(lower) - p.over(same) + 1) for y, p in pairs.items()}  # of the pairs with this x
+        df = df.select("*", *[h.alias(f"_f{x}{y}") for y, h in first.items()])
+        df = df.select("*", *[p.over(day).alias(f"_n{x}{y}") for y, p in pairs.items()], *[F.count_if(f"_f{x}{y}").over(day).alias(f"_u{x}{y}") for y in ys.values()])
+
+    def pair(f: str, r: str) -> Column:
+        x, y = xs[f], ys[r]
+        item = F.struct(F.lit(f).alias("factor"), F.lit(r).alias("return_col"), F.col(y).alias("y"), *[F.col(f"{k}{x}{y}").alias(k) for k in ("_r", "_n", "_u")])
+        return F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), item)
+
+    each = F.explode(F.array(*[pair(f, r) for f in factors for r in returns]))
+    return df.select("signal_date", each.alias("_p")).where("_p IS NOT NULL").select("signal_date", "_p.*")
+
+
 def _bucket() -> Column:
     return F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * F.col("_q") / (F.col("_n") - 1))).cast("int")
 
@@ -145,14 +166,15 @@ class FactorStudy:
 
 def evaluate_factors(labels: DataFrame, factors: list[str], returns: list[str], bound: int, pooled_bound: int,
                      quantiles: int = 5, top: int = 10,
-                     group_cols: tuple[str, ...] = ("industry", "list_type", "market", "exchange"), pooled_ranks: bool = True) -> FactorStudy:
+                     group_cols: tuple[str, ...] = ("industry", "list_type", "market", "exchange"), pooled_ranks: bool = True,
+                     date_ranks: bool = True) -> FactorStudy:
     """All five result frames; `bound` limits a date's cross-section, `pooled_bound` the whole label table.
 
     Ranks over the whole label table are made before the frame is read, so a caller that doesn't read the robustness frame's rank_ic
-    can leave it out (`pooled_ranks`)."""
+    can leave it out (`pooled_ranks`); ranks on a date move every row, so a caller that reads no rank_ic at all can leave them out too (`date_ranks`)."""
     factors = [f for f in factors if f in labels.columns]
     returns = [r for r in returns if r in labels.columns]
-    ic = ic_by_date(labels, factors, returns, bound)
+    ic = ic_by_date(labels, factors, returns, bound, ranks=date_ranks)
     return FactorStudy(
         ic, summarize_ic(ic), quantile_returns(labels, factors, returns, quantiles, bound),
         top_n_returns(labels, factors, returns, top),

@@ -50,6 +50,31 @@ def forward_labels(bars: DataFrame, signals: DataFrame, horizons=LABEL_HORIZONS)
     payload = ["entry_date", "entry_open", "limit_base",
                *[f"exit_date_{h}d" for h in horizons], *[f"exit_close_{h}d" for h in horizons]]
     j = asof.first_bar_after(moves, signals, "signal_date", payload, has_bars="_known")
+    return _labelled(j, [n for n in signals.columns if n != "snapshot_created_at"], horizons)
+
+
+def with_next_bar(bars: DataFrame, horizons=LABEL_HORIZONS) -> DataFrame:
+    """Bars with what forward_labels finds for a signal on each of them: the entry is the next bar. Nothing is joined, as every bar of an instrument is there."""
+    w = by_date()
+    moves = bars.withColumn("limit_base", F.coalesce(F.col("pre_close"), F.lag("close").over(w)))
+    return moves.select(
+        *bars.columns, F.lead("trade_date").over(w).alias("entry_date"), F.lead("open").over(w).alias("entry_open"), F.lead("limit_base").over(w).alias("limit_base"),
+        *[F.lead("trade_date", 1 + h).over(w).alias(f"exit_date_{h}d") for h in horizons],
+        *[F.lead("close", 1 + h).over(w).alias(f"exit_close_{h}d") for h in horizons], F.lit(True).alias("_known"))
+
+
+def next_bar_columns(horizons=LABEL_HORIZONS) -> list[str]:
+    """The columns that with_next_bar adds."""
+    return ["entry_date", "entry_open", "limit_base", *[f"exit_date_{h}d" for h in horizons], *[f"exit_close_{h}d" for h in horizons], "_known"]
+
+
+def labels_on_bars(signals: DataFrame, horizons=LABEL_HORIZONS) -> DataFrame:
+    """forward_labels of signals that carry the columns of with_next_bar."""
+    return _labelled(signals, [n for n in signals.columns if n not in next_bar_columns(horizons)], horizons)
+
+
+def _labelled(j: DataFrame, passed: list[str], horizons) -> DataFrame:
+    """Status, flags and returns from the entry and the exits of each signal."""
     c = F.col
     pct = limit_pct(c("ts_code"))
     good = c("entry_open").isNotNull() & (c("entry_open") > 0)
@@ -65,7 +90,6 @@ def forward_labels(bars: DataFrame, signals: DataFrame, horizons=LABEL_HORIZONS)
             F.when(good, c(f"exit_close_{h}d")).alias(f"exit_close_{h}d"),
             F.when(good, c(f"exit_close_{h}d") / c("entry_open") - 1).alias(f"ret_{h}d"),
         ]
-    passed = [n for n in signals.columns if n != "snapshot_created_at"]
     return j.select(
         *passed, "entry_date", "entry_open", status.alias("label_status"),
         (c("entry_date").isNotNull() & up).alias("limit_up_at_entry"),
